@@ -111,15 +111,33 @@ class Matcher:
         return sorted(out)
 
 
-def matches(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def groups(items: DataFrame, item_col: str = "item_id", item_text: str = "text"):
+    """Lists of (item_id, normal text) of at most GROUP_CHARS characters (one item at least)."""
+    group: list[tuple[int, str]] = []
+    size = 0
+    for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():
+        text = normal(row["t"])
+        if not text:
+            continue
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append((row["i"], text))
+        size += len(text)
+    if group:
+        yield group
+
+
+HIT = "doc_id long, item_id long, start int, end int, distance int"
+
+
+def matches(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, distance): items found in documents; offsets are into the normal text."""
     spark = docs.sparkSession
     prepare(spark)
-    group: list[tuple[int, str]] = []
-    out, size = None, 0
 
     def one_pass(group):
-        shared = spark.sparkContext.broadcast(list(group))
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches):
             matcher = Matcher(shared.value, budget)
@@ -131,22 +149,33 @@ def matches(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_col: s
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "start", "end", "distance"])
 
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, item_id long, start int, end int, distance int")
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, HIT)
 
-    for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():
-        text = normal(row["t"])
-        if not text:
-            continue
-        if group and size + len(text) > GROUP_CHARS:
-            made = one_pass(group)
-            out = made if out is None else out.unionByName(made)
-            group, size = [], 0
-        group.append((row["i"], text))
-        size += len(text)
-    if group:
-        made = one_pass(group)
-        out = made if out is None else out.unionByName(made)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, start int, end int, distance int")
+    out = None
+    for group in groups(items):
+        out = one_pass(group) if out is None else out.unionByName(one_pass(group))
+    return out if out is not None else spark.createDataFrame([], HIT)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, budget: float = BUDGET, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no item stands."""
+    spark = docs.sparkSession
+    prepare(spark)
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def one_pass(df, group):
+        shared = spark.sparkContext.broadcast(group)
+
+        def run(batches):
+            matcher = Matcher(shared.value, budget)
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and matcher(normal(t))) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return df.mapInArrow(run, schema)
+
+    for group in groups(items):
+        docs = one_pass(docs, group)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op3_bpe, op4_quality, op5_lm, op7_topk, op8_decontaminate, op9_sharding, op10_toxicity
+from . import op1_substrings, op2_lines, op3_bpe, op4_quality, op5_lm, op6_minhash, op7_topk, op8_decontaminate, op9_sharding, op10_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_substrings.query,
+    "op2_line_dedup": op2_lines.query,
     "op3_bpe": op3_bpe.query,
     "op4_quality": op4_quality.query,
     "op5_lm_scoring": op5_lm.query,
+    "op6_minhash": op6_minhash.query,
     "op7_topk": op7_topk.query,
     "op8_decontaminate": op8_decontaminate.query,
     "op9_sharding": op9_sharding.query,
