@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import op3_bpe, op10_toxicity
+from tessera.llm import op2_lines, op3_bpe, op6_minhash, op8_decontaminate, op10_toxicity
 from tessera.llm.common import shared_dir, table
 
 
@@ -16,12 +17,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_toxicity.keep_clean(docs, model)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal lines one stays; the documents' texts are rebuilt, and n_chars with them."""
+    return op2_lines.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return op6_minhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to the edit budget, go."""
+    return op8_decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each remaining text."""
     return op3_bpe.encode(docs)
 
 
-STAGES = [("toxicity", toxicity), ("bpe", bpe)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("bpe", bpe),
+]
 #: Learnt scores and merges are beyond SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
