@@ -2,20 +2,26 @@
 
 ``members`` keeps of each bucket with several ids its smallest id (the representative) and the other ids: one row per id
 and bucket. ``link`` verifies every member against its representative, joins what is alike by distributed
-union-find, and then compares only members of a bucket that are still in different components: the bucket's members
-outside the representative's component against the others. So no link that some bucket offers between components is
-lost, and a bucket of many alike ids costs one comparison an id.
+union-find, and then compares only members of a bucket that are still in different components: within a bucket (in
+blocks of bounded size), each member outside the largest component against the others through an inverted index, until
+one component is left. So no link that some bucket offers between components is lost, a bucket of many alike ids costs
+one comparison an id, and only a forest of links leaves a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, n_shuffle
 
+#: Rows of a block of a bucket; a task holds two.
+BLOCK = 2000
+
 
 def members(rows: DataFrame) -> DataFrame:
     """(key, rep, id) from (key, id): ids of a bucket but its smallest."""
@@ -23,35 +29,83 @@ def members(rows: DataFrame) -> DataFrame:
     return rows.repartition(n_shuffle(rows.sparkSession), "key").withColumn("rep", F.min("id").over(by)).where("rep <> id").select("key", "rep", "id").distinct()
 
 
-def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _rest(neighbours):
+    """Links between components of one bucket: rows (id, label, content...) in, a forest of links out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        root = {x: x for x in pdf["label"].unique()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        near = neighbours(pdf)
+        ids, labels = pdf["id"].to_numpy(), pdf["label"].to_numpy()
+        out, left = [], len(root)
+        # the largest component's members are met by all others, so they need not be asked
+        most = pdf["label"].value_counts().index[0]
+        for i in np.flatnonzero(labels != most):
+            if left == 1:
+                break
+            for j in np.flatnonzero(near(i)):
+                a, b = find(labels[i]), find(labels[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left -= 1
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], neighbours: Callable) -> DataFrame:
     """(id, label) of ids that some verified link joins.
 
     ``found``: a materialised ``members`` table. ``content(ids)``: (id, content...) of an (id) table. ``alike(pairs)``:
-    the (a, b) of those rows of (a, b, left content, right content) that are alike.
+    the (a, b) of those rows of (a, b, left content, right content) that are alike. ``neighbours(rows)``: for the rows of
+    a bucket, a function from a row number to which rows are alike to it.
     """
     ids = materialize(found.select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct(), "candidates")
     held = materialize(content(ids), "content")
     left = held.select(F.col("id").alias("a"), F.struct(*[c for c in held.columns if c != "id"]).alias("left"))
     right = held.select(F.col("id").alias("b"), F.struct(*[c for c in held.columns if c != "id"]).alias("right"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return alike(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"))
-
     stars = found.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    edges = materialize(verified(stars), "links")
+    edges = materialize(alike(stars.join(left, "a").join(right, "b").select("a", "b", "left", "right")), "links")
     labels = materialize(components(edges), "labels")
-    own = F.coalesce("label", "id").alias("label")
-    whole = found.select("key", "id").unionByName(found.select("key", F.col("rep").alias("id")).distinct()).join(labels, "id", "left").select("key", "id", own)
-    top = found.select("key", F.col("rep").alias("id")).distinct().join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("top"))
-    rest = whole.join(top, "key").where("label <> top")
-    rest = materialize(rest, "rest")
-    again = (
-        rest.select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-        .join(whole.join(rest.select("key").distinct(), "key", "left_semi"), "key").where("label <> lx")
-        .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        .join(stars.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
-    )
-    more = materialize(verified(again), "links")
+    # buckets of three ids or more that are still in several components; of buckets with the same ids one will do
+    whole = found.select("key", "id").unionByName(found.select("key", F.col("rep").alias("id")).distinct())
+    whole = whole.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = whole.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = mixed.where("n > 2 and lo <> hi").groupBy("n", "ids").agg(F.min("key").alias("key"))
+    rest = whole.join(mixed.select("key", "n"), "key")
+    # a large bucket is cut in blocks, and every two blocks meet
+    rest = rest.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rest = rest.select("key", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "id", "label")
+    schema = "a long, b long"
+    more = materialize(rest.join(held, "id").groupBy("key", "x", "y").applyInPandas(_rest(neighbours), schema), "links")
     if more.isEmpty():
         return labels
     return components(edges.unionByName(more))
+
+
+class Overlap:
+    """Exact overlaps of one set with all sets of a bucket, from an inverted index."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.n)
+        _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        by = np.argsort(item, kind="stable")
+        self.owner = owner[by]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(item))))
+        self.items = np.split(item, np.cumsum(self.n)[:-1])
+
+    def jaccard(self, i: int) -> np.ndarray:
+        own = self.items[i]
+        lists = [self.owner[self.start[k]:self.start[k + 1]] for k in own]
+        common = np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n))
+        return common / np.maximum(self.n[i] + self.n - common, 1)

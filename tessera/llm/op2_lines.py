@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are compared in lower case with runs of white space as one blank; their elements are runs of eight characters (a shorter line
-is one element). One-permutation MinHash with empty registers filled from full ones gives a signature, bands of it
+is one element). MinHash gives a signature (one permutation for long lines), bands of it
 propose candidates, exact Jaccard of the runs (0.8 or more) verifies them, and distributed union-find keeps one line of each
 component: the first by doc_id and place. Equal lines are one node from the start. Buckets are linked through
 representatives (see ``buckets``).
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .buckets import link, members
+from .buckets import Overlap, link, members
 from .common import Bitset, bitset, materialize, mix64, prepare, table
 from .op6_minhash import band_keys, spark_xxhash64
 
@@ -31,6 +31,8 @@ RUN = 8
 THRESHOLD = 0.8
 REGISTERS = 48
 ROWS = 4
+#: Elements up to which a line has a hash for each register.
+FEW = 128
 #: Characters whose runs are hashed together: bounds the arrays of a step.
 STEP_CHARS = 1 << 20
 U = np.uint64
@@ -66,24 +68,49 @@ def run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[at], owner[at]
 
 
-def signatures(lines: list[str], registers: int = REGISTERS) -> np.ndarray:
-    """(lines, registers) one-permutation MinHash; an empty register copies a full one that a hash picks."""
+def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """MinHash signatures: (line numbers, (lines, registers)) of lines with few elements and of lines with many.
+
+    Lines of up to ``FEW`` elements take the smallest of an own hash for each register. Longer ones take one permutation
+    cut in as many parts (an empty part copies a full one that a hash picks), whose registers are near independent only
+    if elements are many. Lines that may be alike to one of the other kind, by their number of elements, take both.
+    """
     h, owner = run_hashes(lines)
-    n = len(lines)
-    out = np.full(n * registers, EMPTY, dtype=U)
-    np.minimum.at(out, owner * registers + ((h >> U(40)) * U(registers) >> U(24)).astype(np.int64), h & U((1 << 40) - 1))
-    out = out.reshape(n, registers)
-    hole = out == EMPTY
-    fill, attempt = out.copy(), 0
-    while hole.any():
-        attempt += 1
-        row, col = np.nonzero(hole)
-        pick = (mix64((col + 1).astype(U) * U(0x9E3779B97F4A7C15) + U(attempt)) % U(registers)).astype(np.int64)
-        got = out[row, pick]
-        ok = got != EMPTY
-        fill[row[ok], col[ok]] = mix64(got[ok] + U(attempt))
-        hole[row[ok], col[ok]] = False
-    return fill
+    size = np.bincount(owner, minlength=len(lines))
+    out = []
+    few = np.flatnonzero(size <= FEW)
+    if len(few):
+        begin = np.concatenate(([0], np.cumsum(size[few])[:-1]))
+        low = (h[size[owner] <= FEW] >> U(32)).astype(np.uint32)
+        seed = mix64(np.arange(1, registers + 1, dtype=U)).astype(np.uint32)
+        part = np.empty((len(few), registers), dtype=U)
+        for r in range(registers):  # the public 32-bit murmur finaliser, seeded for each register
+            y = low ^ seed[r]
+            y *= np.uint32(0x85EBCA6B)
+            y ^= y >> np.uint32(13)
+            y *= np.uint32(0xC2B2AE35)
+            y ^= y >> np.uint32(16)
+            y *= seed[r] | np.uint32(1)
+            part[:, r] = np.minimum.reduceat(y, begin)
+        out.append((few, part))
+    many = np.flatnonzero(size >= THRESHOLD * FEW)
+    if len(many):
+        x = h[size[owner] >= THRESHOLD * FEW]
+        own = np.repeat(np.arange(len(many)), size[many])
+        fill = np.full(len(many) * registers, EMPTY, dtype=U)
+        np.minimum.at(fill, own * registers + ((x >> U(40)) * U(registers) >> U(24)).astype(np.int64), x & U((1 << 40) - 1))
+        fill = fill.reshape(-1, registers)
+        full, hole, attempt = fill.copy(), fill == EMPTY, 0
+        while hole.any():
+            attempt += 1
+            row, col = np.nonzero(hole)
+            pick = (mix64((col + 1).astype(U) * U(0x9E3779B97F4A7C15) + U(attempt)) % U(registers)).astype(np.int64)
+            got = full[row, pick]
+            ok = got != EMPTY
+            fill[row[ok], col[ok]] = mix64(got[ok] + U(attempt))
+            hole[row[ok], col[ok]] = False
+        out.append((many, fill))
+    return out
 
 
 def _steps(lines: list[str]):
@@ -120,8 +147,9 @@ def bands(df: DataFrame, text_col: str = "text") -> DataFrame:
             found = _distinct(batch.column(0).to_pylist())
             ids, lines = np.fromiter(found.keys(), dtype=np.int64, count=len(found)), list(found.values())
             for part in _steps(lines):
-                keys = band_keys(signatures(lines[part]), ROWS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[part], keys.shape[1]))], ["key", "id"])
+                for at, sig in signatures(lines[part]):
+                    keys = band_keys(sig, ROWS).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[part][at], keys.shape[1]))], ["key", "id"])
 
     return df.select(text_col).mapInArrow(run, "key long, id long")
 
@@ -177,7 +205,6 @@ def _alike(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left").field("line").to_pylist(), batch.column("right").field("line").to_pylist()):
-                small, large = sorted((max(1, len(x) - RUN + 1), max(1, len(y) - RUN + 1)))
                 a, b = runs(x), runs(y)
                 keep.append(len(a & b) >= THRESHOLD * len(a | b))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -185,6 +212,14 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _neighbours(rows):
+    """Rows of a bucket alike to row i: exact Jaccard of the hashed runs."""
+    h, owner = run_hashes(rows["line"].tolist())
+    cut = np.flatnonzero(np.diff(owner)) + 1
+    sets = Overlap([np.unique(x) for x in np.split(h, cut)])
+    return lambda i: sets.jaccard(i) >= THRESHOLD
+
+
 def kept_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text_key, gone): for each document that loses lines, the comparison ids it loses whole or keeps the first of.
 
@@ -192,7 +227,7 @@ def kept_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     prepare(df.sparkSession)
     found = materialize(members(bands(df, text_col)), "members")
-    labels = materialize(link(found, lambda ids: texts_of(df, ids, text_col), _alike), "lines")
+    labels = materialize(link(found, lambda ids: texts_of(df, ids, text_col), _alike, _neighbours), "lines")
     at = materialize(places(df, id_col, text_col), "places")
     named = at.join(labels, "id", "left").select("doc", "text_key", "n", "id", F.coalesce("label", "id").alias("label"))
     first = named.groupBy("label").agg(F.min(F.struct("doc", "text_key", "n")).alias("first"), F.count("*").alias("places"))

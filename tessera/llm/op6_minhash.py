@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import link, members
+from .buckets import Overlap, link, members
 from .common import Bitset, bitset, materialize, mix64, prepare, table
 
 WORDS = 5
@@ -213,13 +213,33 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+#: Texts with a lower set Jaccard than this are not tried for probability Jaccard, which weights of 1 + ln(n) can lift but little.
+LEAST_PLAIN = 0.5
+
+
+def _neighbours(rows):
+    """Rows of a bucket alike to row i: exact set Jaccard, and probability Jaccard of what is near it."""
+    hashes, counts = list(rows["hashes"]), list(rows["counts"])
+    sets = Overlap([np.asarray(x).view(U) for x in hashes])
+
+    def near(i):
+        plain = sets.jaccard(i)
+        out = plain >= THRESHOLD
+        for j in np.flatnonzero(~out & (plain >= LEAST_PLAIN)):
+            if counts[i].max() > 1 or counts[j].max() > 1:
+                out[j] = similarity(np.asarray(hashes[i]).view(U), counts[i], np.asarray(hashes[j]).view(U), counts[j])[0] >= THRESHOLD
+        return out
+
+    return near
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of the class, whose row is kept."""
     s = materialize(signed(df, id_col, text_col), "signed")
     one = s.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("bands").alias("bands"))
     rows = one.select(F.col("sid").alias("id"), F.explode("bands").alias("key"))
     found = materialize(members(rows), "members")
-    labels = link(found, lambda ids: shingles_of(df, ids, text_col), _alike)
+    labels = link(found, lambda ids: shingles_of(df, ids, text_col), _alike, _neighbours)
     named = one.select("sid", "first").join(labels, F.col("sid") == F.col("id"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
     named = materialize(named, "named")
     top = named.groupBy("label").agg(F.min("first").alias("class_id"))
