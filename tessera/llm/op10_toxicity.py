@@ -33,6 +33,8 @@ D_WORD, D_CHAR, HIDDEN = 8, 8, 8
 TRIGRAMS = 1 << 12
 LEAST_DOCS = 3
 ROUNDS = 4
+#: Updates of a round; small samples are read more often for it.
+LEAST_UPDATES = 60
 #: A toxic document none of whose windows looks toxic so far (log-odds) is taken for mislabelled and not learnt from.
 UNLIKELY = -1.5
 THRESHOLD = 0.3
@@ -295,8 +297,9 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11):
         learn = clean | (s[best] > (np.quantile(s[best][clean], 0.98) if round_ == 0 else UNLIKELY))
         use = np.concatenate((best[learn], other[clean]))
         target = np.concatenate((y[learn], np.zeros(clean.sum())))
-        for epoch in range(2):
-            for part in np.array_split(rng.permutation(len(use)), max(1, len(use) // 96)):
+        parts = max(1, len(use) // 96)
+        for epoch in range(max(2, -(-LEAST_UPDATES // parts))):
+            for part in np.array_split(rng.permutation(len(use)), parts):
                 w, inv = np.unique(np.concatenate(([PAD], at[use[part]].ravel())), return_inverse=True)
                 inv = inv[1:].reshape(-1, WINDOW)
                 wid = ids[w].copy()

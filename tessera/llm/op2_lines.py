@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import Overlap, link, members
-from .common import Bitset, bitset, materialize, mix64, prepare, table
+from .common import Bitset, bitset, fresh, materialize, mix64, prepare, table
 from .op6_minhash import band_keys, spark_xxhash64
 
 RUN = 8
@@ -253,9 +253,10 @@ def _rebuilt(text: str | None, gone) -> tuple[str, int, int]:
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``df``, all columns, with each text rebuilt from its kept lines (``counts``: and n_lines, n_kept)."""
-    lost = kept_places(df, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    # one row of ``lost`` for each distinct document at most: the texts stay on the streamed side
-    joined = df.withColumn("_at", F.col(id_col).cast("long")).join(lost.groupBy("_doc").agg(F.collect_list(F.struct("_key", "_gone")).alias("_lost")).hint("shuffle_hash"), F.col("_at") == F.col("_doc"), "left").drop("_at", "_doc")
+    at_, doc_, lost_ = fresh(df, "at", "lost_doc", "lost")
+    lost = kept_places(df, id_col, text_col).groupBy(F.col("doc").alias(doc_)).agg(F.collect_list(F.struct("text_key", "gone")).alias(lost_))
+    # one row of ``lost`` an id at most: the texts stay on the streamed side
+    joined = df.withColumn(at_, F.col(id_col).cast("long")).join(lost.hint("shuffle_hash"), F.col(at_) == F.col(doc_), "left").drop(at_, doc_)
     schema = T.StructType([*df.schema.fields, *([T.StructField("n_lines", T.IntegerType()), T.StructField("n_kept", T.IntegerType())] if counts else [])])
     names = df.columns
     at = names.index(text_col)
@@ -264,7 +265,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, t, lost in zip(batch.column(has_id).to_pylist(), batch.column(at).to_pylist(), batch.column("_lost").to_pylist()):
+            for doc, t, lost in zip(batch.column(has_id).to_pylist(), batch.column(at).to_pylist(), batch.column(lost_).to_pylist()):
                 if t is None or doc is None:
                     n = len((t or "").split("\n"))
                     out.append((t, n, n))
@@ -272,7 +273,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts:
                 gone = ()
                 if lost:
                     key = xxhash.xxh3_64_intdigest(t) - 2**63
-                    gone = next((x["_gone"] for x in lost if x["_key"] == key), ())
+                    gone = next((x["gone"] for x in lost if x["text_key"] == key), ())
                 out.append(_rebuilt(t, gone))
             cols = [batch.column(n) for n in names]
             cols[at] = pa.array([o[0] for o in out], pa.string())

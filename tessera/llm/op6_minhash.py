@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import Overlap, link, members
-from .common import Bitset, bitset, materialize, mix64, prepare, table
+from .common import Bitset, bitset, fresh, materialize, mix64, prepare, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -251,8 +251,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that are their class's document with the smallest id (repeated rows: one)."""
-    gone = classes(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    kept = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    (name,) = fresh(df, "gone")
+    gone = classes(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
+    kept = df.join(gone, F.col(id_col) == F.col(name), "left_anti")
     return kept.dropDuplicates([id_col])
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 SHARD_BYTES = 1 << 20
 #: Deepest prefix; 2**32 buckets of the production limit hold 4 PB.
@@ -76,8 +76,9 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
     """Write the rows of each bucket to a folder of its own, one file a task and bucket."""
-    a = assign(df, id_col, text_col, limit).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    df.join(a, df[id_col].eqNullSafe(a["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    name, shard = fresh(df, "id", "shard")
+    a = assign(df, id_col, text_col, limit).select(F.col("doc_id").alias(name), F.col("shard").alias(shard)).distinct()
+    df.join(a, F.col(id_col).eqNullSafe(F.col(name))).drop(name).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
