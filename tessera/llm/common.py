@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/checkpoints/tessera"
@@ -128,8 +128,12 @@ def bitset(df: DataFrame, column: str, words: int = BITSET_WORDS):
 # --- connected components ------------------------------------------------------
 
 def _local_forest(batches):
-    """Union-find over one partition's edges, in bounded chunks; emits a forest with the same components."""
+    """Union-find over one partition's edges, in bounded chunks; emits a forest with the same components.
+
+    ``moved`` on a chunk's rows: some edge up to there was moved.
+    """
     parent: dict = {}
+    moved = False
 
     def find(x):
         while parent.get(x, x) != x:
@@ -141,9 +145,10 @@ def _local_forest(batches):
         pairs = [(find(x), x) for x in list(parent) if find(x) != x]
         parent.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([moved] * len(pairs), pa.bool_())], ["a", "b", "moved"])
 
     for batch in batches:
+        moved = moved or any(batch.column(2).to_pylist())
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ra, rb = find(a), find(b)
             if ra != rb:
@@ -158,30 +163,22 @@ def _local_forest(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): connected components of long edges (a, b); label is the smallest id of the component.
 
-    Distributed union-find: every partition first replaces its edges by a forest, then alternating large-star
-    and small-star rounds run until the edges are stars. Only ids that some edge names come out; self-loops give
-    the id its own label; an empty input gives an empty table.
+    Distributed union-find: every partition first replaces its edges by a forest, then rounds of a large star and a
+    small star run, each ending in local forests again, until a round moves no edge: the edges are stars then. A round
+    shuffles three times: the smallest neighbours, the edges by their smaller end, and by their larger end. Only ids that
+    some edge names come out; self-loops give no row; an empty input gives an empty table.
     """
     prepare(edges.sparkSession)
-    e = (
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-        .mapInArrow(_local_forest, "a long, b long").distinct()
-    )
-    e = materialize(e, "edges")
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
+    schema = "a long, b long, moved boolean"
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("moved")).where("a < b")
+    e = materialize(e.mapInArrow(_local_forest, schema), "edges")
+    by = Window.partitionBy("b")
+    while e.agg(F.max("moved")).first()[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
-        linked = large.join(small, "b")
-        e = materialize(
-            linked.select(F.col("m").alias("a"), F.col("b"))
-            .unionAll(linked.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .where("a < b").distinct(), "edges")
-    # the edges are stars once a round changes nothing
+        large = e.join(low, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b", (F.col("m") < F.col("a")).alias("moved"))
+        small = large.withColumn("m", F.min("a").over(by)).withColumn("moved", F.expr("moved or m < a"))
+        pairs = small.select(F.inline(F.array(F.struct(F.col("m").alias("a"), "b", "moved"), F.struct(F.col("m").alias("a"), F.col("a").alias("b"), "moved")))).where("a < b")
+        e = materialize(pairs.mapInArrow(_local_forest, schema), "edges")
+    e = e.select("a", "b").distinct()
     return e.select(F.col("b").alias("id"), F.col("a").alias("label")).unionAll(e.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
