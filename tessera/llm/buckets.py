@@ -89,7 +89,8 @@ def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Cal
     more = materialize(rest.join(held, "id").groupBy("key", "x", "y").applyInPandas(_rest(neighbours), schema), "links")
     if more.isEmpty():
         return labels
-    return components(edges.unionByName(more))
+    # the stars found before stand for the links they came from
+    return components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(more))
 
 
 class Overlap:
