@@ -4,9 +4,12 @@ A bidirectional window network predicts every token from the tokens on both side
 right neighbour are embedded, added and squashed, and a softmax gives the class of the masked token; within a class a word has its
 corpus frequency. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
-Everything is learnt from the whole corpus: word counts over all documents give the vocabulary, the classes and the frequencies
-within them; counts of (left, masked, right) classes over all documents are sufficient statistics of the network's loss, which is minimised on
-them in numpy by Adam. What reaches the driver is bounded by the vocabulary size and the cube of the number of classes.
+Everything is learnt from the whole corpus: every word, however rare, has the class and the probability within it of its own count over
+all documents, so the probabilities of all words of a class sum to 1. The most frequent words are held by every task; the
+counts of all others reach their documents through a join. Counts of (left, masked, right) classes over all documents are sufficient
+statistics of the network's loss, which is minimised on them in numpy by Adam. The number of classes grows with the ninth root of the
+tokens, so these cells with the cube root. What reaches the driver is bounded by the frequent words, the distinct counts
+of the others and the cells.
 
 Defined cases: null and empty texts have no tokens, the sum 0 and a null mean; whole texts are read; repeated rows give repeated
 rows; an empty table gives no rows; other columns are ignored.
@@ -22,9 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table
 
+#: Words that every task holds; it decides only which words take the join.
 VOCABULARY = 20_000
+#: Classes up to BASE_TOKENS tokens; more beyond.
 CLASSES = 64
-EDGE, OTHER = 0, CLASSES - 1
+BASE_TOKENS = 4_000_000
+EDGE = 0
 WIDTH = 16
 STEPS = 150
 
@@ -43,63 +49,120 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def classes(counts: DataFrame):
-    """{word: (class, log p(word | class))} of the most frequent words, and the same pair for any other word."""
-    n, types = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()  # bounded by VOCABULARY
-    total = sum(r["n"] for r in top) or 1
-    known, mass = {}, 0
-    sums = np.zeros(CLASSES)
-    for r in top:
-        c = 1 + min(CLASSES - 3, int((CLASSES - 2) * mass / total))
-        mass += r["n"]
-        known[r["word"]] = (c, r["n"])
-        sums[c] += r["n"]
-    known = {w: (c, float(np.log(k / sums[c]))) for w, (c, k) in known.items()}
-    return known, (OTHER, -float(np.log(max(1, (types or 0) - len(known)))))
-
-
-def _line(texts, known, other):
-    """Classes of all tokens of the texts with an edge before and after each text, log p(word|class), and token counts."""
-    cls, logp, sizes = [EDGE], [0.0], []
-    get = known.get
-    for t in texts:
-        words = (t or "").lower().split()
-        for c, p in [get(w, other) for w in words]:
-            cls.append(c)
-            logp.append(p)
-        cls.append(EDGE)
-        logp.append(0.0)
-        sizes.append(len(words))
-    return np.array(cls, dtype=np.int64), np.array(logp), np.array(sizes, dtype=np.int64)
-
-
-def context_counts(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
-    """(cell, n): how often class b stands between classes a and c, cell = (a * C + c) * C + b; CLASSES**3 rows at most."""
+class Lexicon:
+    """Classes and log p(word | class): of the frequent words by ``known``, of any other word by its count."""
+
+    def __init__(self, top: list[tuple[str, int]], rest: list[tuple[int, int]]):
+        """``top``: (word, n), most frequent first; ``rest``: (n, number of words with it) of all other words."""
+        rest = sorted(rest, reverse=True)
+        total = sum(n for _, n in top) + sum(n * k for n, k in rest)
+        self.size = int(CLASSES * max(1.0, total / BASE_TOKENS) ** (1 / 9))
+        sums, mass = np.zeros(self.size), 0
+        self.known, self.rare = {}, {}
+
+        def put(n, words):
+            nonlocal mass
+            c = 1 + min(self.size - 2, (self.size - 1) * mass // total)
+            mass += n * words
+            sums[c] += n * words
+            return c
+
+        known = [(w, put(n, 1), n) for w, n in top]
+        rare = [(n, put(n, k)) for n, k in rest]
+        self.known = {w: (c, float(np.log(n / sums[c]))) for w, c, n in known}
+        self.rare = {n: (c, float(np.log(n / sums[c]))) for n, c in rare}
+
+
+def lexicon(counts: DataFrame) -> Lexicon:
+    """The lexicon of a (word, n) table; the driver gets the frequent words, and the other words' distinct counts only."""
+    top = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]  # bounded by VOCABULARY
+    if len(top) < VOCABULARY:
+        return Lexicon(top, [])
+    least = top[-1][1]
+    rest = Counter({r["n"]: r["k"] for r in counts.where(F.col("n") <= least).groupBy("n").agg(F.count("*").alias("k")).collect()})  # at most ``least`` rows
+    rest[least] -= sum(n == least for _, n in top)
+    return Lexicon(top, [(n, k) for n, k in rest.items() if k])
+
+
+def _rare(words: list[str], known: dict) -> list[str]:
+    """The distinct words that the frequent ones lack, in order."""
+    return list(dict.fromkeys(w for w in words if w not in known))
+
+
+def encoded(docs: DataFrame, shared, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, within, cls): the sum of log p(word | class) of a text's tokens and their classes as 16-bit integers."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+
+    def ask(batches):
+        known = shared.value.known
+        for batch in batches:
+            seen, cols = set(), ([], [], [])
+            for t, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not t or key in seen:
+                    continue
+                seen.add(key)
+                rare = _rare(t.lower().split(), known)
+                cols[0].extend([key] * len(rare))
+                cols[1].extend(range(len(rare)))
+                cols[2].extend(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["text_key", "at", "word"])
+
+    asked = keyed.select("text", "text_key").mapInArrow(ask, "text_key long, at int, word string")
+    # a set, since copies of a text ask alike
+    told = asked.join(counts, "word").groupBy("text_key").agg(F.collect_set(F.struct("at", "n")).alias("told"))
+
+    def run(batches):
+        known, by_count = shared.value.known, shared.value.rare
+        for batch in batches:
+            sizes, within, codes = [], [], []
+            for t, told in zip(batch.column(1).to_pylist(), batch.column(2)):
+                words = (t or "").lower().split()
+                if told.is_valid:
+                    rare = _rare(words, known)
+                    at, n = told.values.field("at").to_pylist(), told.values.field("n").to_pylist()
+                    own = {rare[i]: by_count[k] for i, k in zip(at, n)}
+                    pairs = [known[w] if w in known else own[w] for w in words]
+                else:
+                    pairs = [known[w] for w in words]
+                sizes.append(len(words))
+                within.append(sum([p for _, p in pairs]))
+                codes.append(np.array([c for c, _ in pairs], dtype="<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(within, pa.float64()), pa.array(codes, pa.binary())], ["doc_id", "n_tokens", "within", "cls"])
+
+    return keyed.join(told, "text_key", "left").select("doc_id", "text", "told").mapInArrow(run, "doc_id long, n_tokens long, within double, cls binary")
+
+
+def _line(codes: list[bytes]) -> np.ndarray:
+    """The classes of all texts in one line, with an edge before and after each."""
+    edge = np.array([EDGE], dtype="<u2").tobytes()
+    return np.frombuffer(edge + b"".join([c + edge for c in codes]), dtype="<u2").astype(np.int64)
+
+
+def context_counts(coded: DataFrame, size: int) -> DataFrame:
+    """(cell, n): how often class b stands between classes a and c, cell = (a * size + c) * size + b; size**3 rows at most."""
 
     def run(batches):
-        known, other = shared.value
-        total = np.zeros(CLASSES**3, dtype=np.int64)
+        total = np.zeros(size**3, dtype=np.int64)
         for batch in batches:
-            cls, _, _ = _line(batch.column(0).to_pylist(), known, other)
+            cls = _line(batch.column(0).to_pylist())
             a, b, c = cls[:-2], cls[1:-1], cls[2:]
             inside = b != EDGE
-            total += np.bincount(((a * CLASSES + c) * CLASSES + b)[inside], minlength=CLASSES**3)
+            np.add.at(total, ((a * size + c) * size + b)[inside], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return coded.select("cls").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def fit(cells: np.ndarray, n: np.ndarray, seed: int = 5) -> np.ndarray:
+def fit(cells: np.ndarray, n: np.ndarray, size: int = CLASSES, seed: int = 5) -> np.ndarray:
     """log p(class | left, right) as a (C * C, C) table, from the network trained on the counts."""
     rng = np.random.default_rng(seed)
-    count = np.zeros((CLASSES * CLASSES, CLASSES))
+    count = np.zeros((size * size, size))
     count.reshape(-1)[cells] = n
     weight = count / max(count.sum(), 1)
     mass = weight.sum(1, keepdims=True)
-    prior = np.log(count.sum(0) + 1) - np.log(count.sum() + CLASSES)
-    p = {"l": rng.normal(0, 0.3, (CLASSES, WIDTH)), "r": rng.normal(0, 0.3, (CLASSES, WIDTH)), "b": np.zeros(WIDTH), "o": rng.normal(0, 0.1, (WIDTH, CLASSES)), "c": prior}
+    prior = np.log(count.sum(0) + 1) - np.log(count.sum() + size)
+    p = {"l": rng.normal(0, 0.3, (size, WIDTH)), "r": rng.normal(0, 0.3, (size, WIDTH)), "b": np.zeros(WIDTH), "o": rng.normal(0, 0.1, (WIDTH, size)), "c": prior}
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
 
     def forward():
@@ -112,7 +175,7 @@ def fit(cells: np.ndarray, n: np.ndarray, seed: int = 5) -> np.ndarray:
         h, logq = forward()
         dz = np.exp(logq) * mass - weight
         dh = (dz @ p["o"].T) * (1 - h * h)
-        cube = dh.reshape(CLASSES, CLASSES, WIDTH)
+        cube = dh.reshape(size, size, WIDTH)
         g = {"l": cube.sum(1), "r": cube.sum(0), "b": dh.sum(0), "o": h.T @ dz, "c": dz.sum(0)}
         for k in p:
             m1[k] = 0.9 * m1[k] + 0.1 * g[k]
@@ -125,26 +188,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood)."""
     spark = docs.sparkSession
     prepare(spark)
-    lexicon = spark.sparkContext.broadcast(classes(materialize(word_counts(docs, text_col), "words")))
-    counted = context_counts(docs, lexicon, text_col).toArrow()
-    net = spark.sparkContext.broadcast(fit(counted.column("cell").to_numpy(), counted.column("n").to_numpy()))
+    counts = materialize(word_counts(docs, text_col), "words")
+    words = lexicon(counts)
+    size = words.size
+    coded = materialize(encoded(docs, spark.sparkContext.broadcast(words), counts, id_col, text_col), "coded")
+    counted = context_counts(coded, size).toArrow()
+    net = spark.sparkContext.broadcast(fit(counted.column("cell").to_numpy(), counted.column("n").to_numpy(), size))
 
     def run(batches):
-        known, other = lexicon.value
         for batch in batches:
-            cls, logp, sizes = _line(batch.column(1).to_pylist(), known, other)
+            sizes = batch.column(1).to_numpy()
             if not len(sizes):
                 continue
+            cls = _line(batch.column(3).to_pylist())
             a, b, c = cls[:-2], cls[1:-1], cls[2:]
-            each = np.where(b == EDGE, 0.0, net.value[a * CLASSES + c, b] + logp[1:-1])
+            each = np.where(b == EDGE, 0.0, net.value[a * size + c, b])
             ends = np.cumsum(sizes + 1)
             run_sum = np.concatenate(([0.0], np.cumsum(each), [each.sum()]))
             begin = ends - sizes - 1
-            total = run_sum[begin + sizes] - run_sum[begin]
+            total = run_sum[begin + sizes] - run_sum[begin] + batch.column(2).to_numpy()
             mean = np.divide(total, sizes, where=sizes > 0, out=np.zeros(len(sizes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=sizes == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(mean, mask=sizes == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,23 @@ def test_lm_predicts_from_both_sides(spark):
     assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
 
 
+def test_lm_scores_rare_words_by_their_own_counts(spark, monkeypatch):
+    monkeypatch.setattr(op5_lm, "VOCABULARY", 2)
+    texts = ["a b " * 400, "x y " * 3, "x z", "x z", None]
+    words = op5_lm.lexicon(op5_lm.word_counts(docs(spark, texts)))
+    assert set(words.known) == {"a", "b"} and set(words.rare) == {5, 3, 2}
+    mass = Counter()
+    for c, p in [*words.known.values(), *words.rare.values()]:
+        mass[c] += np.exp(p)
+    assert all(np.isclose(m, 1) for m in mass.values())
+    rows = {r.doc_id: r for r in op5_lm.score(docs(spark, texts)).collect()}
+    assert rows[2].log_likelihood == rows[3].log_likelihood and rows[4].n_tokens == 0
+    ctx = spark.sparkContext.broadcast(words)
+    coded = {r.doc_id: r for r in op5_lm.encoded(docs(spark, texts), ctx, op5_lm.word_counts(docs(spark, texts))).collect()}
+    assert np.isclose(coded[1].within, 3 * (words.rare[5][1] + words.rare[3][1])) and np.isclose(coded[2].within, words.rare[5][1] + words.rare[2][1])
+    assert op5_lm.Lexicon([("a", 5_000_000_000)], []).size > op5_lm.Lexicon([("a", 5_000)], []).size == op5_lm.CLASSES
+
+
 def test_similarity_by_definition():
     rng = random.Random(7)
     for _ in range(20):
