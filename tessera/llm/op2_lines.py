@@ -71,16 +71,24 @@ def run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.ndarray, np.ndarray]]:
     """MinHash signatures: (line numbers, (lines, registers)) of lines with few elements and of lines with many.
 
-    Lines of up to ``FEW`` elements take the smallest of an own hash for each register. Longer ones take one permutation
+    Elements are counted once each, as similarity counts them. Lines of up to ``FEW`` elements take the smallest of an own hash for each register. Longer ones take one permutation
     cut in as many parts (an empty part copies a full one that a hash picks), whose registers are near independent only
     if elements are many. Lines that may be alike to one of the other kind, by their number of elements, take both.
     """
     h, owner = run_hashes(lines)
-    size = np.bincount(owner, minlength=len(lines))
+    length = np.bincount(owner, minlength=len(lines))
+    size = length.copy()
+    long = length >= THRESHOLD * FEW  # no repetition matters below
+    if long.any():
+        x, own = h[long[owner]], owner[long[owner]]
+        order = np.lexsort((x, own))
+        x, own = x[order], own[order]
+        first = np.concatenate(([True], (x[1:] != x[:-1]) | (own[1:] != own[:-1])))
+        size[long] = np.bincount(own[first], minlength=len(lines))[long]
     out = []
     few = np.flatnonzero(size <= FEW)
     if len(few):
-        begin = np.concatenate(([0], np.cumsum(size[few])[:-1]))
+        begin = np.concatenate(([0], np.cumsum(length[few])[:-1]))
         low = (h[size[owner] <= FEW] >> U(32)).astype(np.uint32)
         seed = mix64(np.arange(1, registers + 1, dtype=U)).astype(np.uint32)
         part = np.empty((len(few), registers), dtype=U)
@@ -96,7 +104,7 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
     many = np.flatnonzero(size >= THRESHOLD * FEW)
     if len(many):
         x = h[size[owner] >= THRESHOLD * FEW]
-        own = np.repeat(np.arange(len(many)), size[many])
+        own = np.repeat(np.arange(len(many)), length[many])
         fill = np.full(len(many) * registers, EMPTY, dtype=U)
         np.minimum.at(fill, own * registers + ((x >> U(40)) * U(registers) >> U(24)).astype(np.int64), x & U((1 << 40) - 1))
         fill = fill.reshape(-1, registers)

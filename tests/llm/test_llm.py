@@ -70,6 +70,18 @@ def test_lines_keep_one_of_a_component(spark):
     assert op2_lines.dedup(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_lines_that_repeat_a_phrase_meet_the_phrase(spark):
+    rng = random.Random(13)
+    for _ in range(20):
+        phrase = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+        once, often = phrase + phrase[:7], phrase * 4
+        assert len(op2_lines.runs(once) & op2_lines.runs(often)) >= 0.8 * len(op2_lines.runs(once) | op2_lines.runs(often))
+        shared = [set(sig[list(at).index(0)]) & set(sig[list(at).index(1)]) for at, sig in op2_lines.signatures([once, often]) if {0, 1} <= set(at)]
+        assert any(len(s) >= 0.5 * op2_lines.REGISTERS for s in shared)
+    texts = [once, often, " ".join(["word"] * 10), " ".join(["word"] * 50)]
+    assert [r.text for r in op2_lines.dedup(docs(spark, texts)).orderBy("doc_id").collect()] == [once, "", texts[2], ""]
+
+
 def test_bpe_equals_the_library_and_round_trips(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = op3_bpe.default_vocabulary()
