@@ -94,9 +94,9 @@ def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Cal
 
 
 class Overlap:
-    """Exact overlaps of one set with all sets of a bucket, from an inverted index."""
+    """Exact overlaps of one set with all sets of a bucket, from an inverted index; ``shares``: of each set's elements."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], shares: list[np.ndarray] | None = None):
         self.n = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), self.n)
         _, item = np.unique(np.concatenate(sets), return_inverse=True)
@@ -104,9 +104,19 @@ class Overlap:
         self.owner = owner[by]
         self.start = np.concatenate(([0], np.cumsum(np.bincount(item))))
         self.items = np.split(item, np.cumsum(self.n)[:-1])
+        self.shares, self.share = shares, None if shares is None else np.concatenate(shares)[by]
 
     def jaccard(self, i: int) -> np.ndarray:
         own = self.items[i]
         lists = [self.owner[self.start[k]:self.start[k + 1]] for k in own]
         common = np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n))
         return common / np.maximum(self.n[i] + self.n - common, 1)
+
+    def least(self, i: int) -> np.ndarray:
+        """The sum over common elements of the smaller share."""
+        own = self.items[i]
+        if not len(own):
+            return np.zeros(len(self.n))
+        at = [slice(self.start[k], self.start[k + 1]) for k in own]
+        mine = np.repeat(self.shares[i], [x.stop - x.start for x in at])
+        return np.bincount(np.concatenate([self.owner[x] for x in at]), np.minimum(mine, np.concatenate([self.share[x] for x in at])), len(self.n))

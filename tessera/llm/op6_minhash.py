@@ -4,7 +4,8 @@ A text's elements are its shingles of five words (lower case, split at white spa
 1 + ln(occurrences). Each element sends arrivals of a Poisson process whose rate is its weight to random registers, and a register keeps
 the element of its first arrival, so two texts agree on a register with the probability Jaccard similarity of their weights. Elements whose
 next arrival comes after all registers' first ones stop early. Bands of registers propose candidates, and exact
-similarity decides: a link needs a probability Jaccard or a plain set Jaccard of the shingles of 0.8 or more.
+similarity decides: a link needs a probability Jaccard or a plain set Jaccard of the shingles of 0.8 or more. A text with repeated shingles
+also has the bands of its unweighted ones, so both similarities propose.
 
 Texts with equal weighted shingles collapse before any comparison; buckets are linked through representatives (see
 ``buckets``), and classes are the components of the links.
@@ -148,6 +149,13 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 sig = signatures(np.concatenate([made[k][0] for k in part]), weights(np.concatenate([made[k][1] for k in part])), np.repeat(np.arange(len(part)), sizes), len(part))
                 for k, row in zip(part, band_keys(sig).view(np.int64)):
                     bands[k] = row
+                # weights of one where none repeats: such a signature is the unweighted one already
+                again = [k for k in part if made[k][1].max() > 1]
+                if again:
+                    sizes = [len(made[k][0]) for k in again]
+                    sig = signatures(np.concatenate([made[k][0] for k in again]), np.ones(sum(sizes)), np.repeat(np.arange(len(again)), sizes), len(again))
+                    for k, row in zip(again, band_keys(sig).view(np.int64)):
+                        bands[k] = np.union1d(bands[k], row)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sid", "bands"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, sid long, bands array<long>")
@@ -213,21 +221,23 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-#: Texts with a lower set Jaccard than this are not tried for probability Jaccard, which weights of 1 + ln(n) can lift but little.
-LEAST_PLAIN = 0.5
-
-
 def _neighbours(rows):
-    """Rows of a bucket alike to row i: exact set Jaccard, and probability Jaccard of what is near it."""
-    hashes, counts = list(rows["hashes"]), list(rows["counts"])
-    sets = Overlap([np.asarray(x).view(U) for x in hashes])
+    """Rows of a bucket alike to row i: exact set Jaccard, and probability Jaccard of all that may reach it.
+
+    With weights as shares of their sums, the probability Jaccard is at most the sum of the smaller shares: its term of a shingle is
+    1 / sum_j max(a_j / a_i, b_j / b_i), which neither share exceeds.
+    """
+    hashes, counts = [np.asarray(x).view(U) for x in rows["hashes"]], [np.asarray(x) for x in rows["counts"]]
+    shares = [w / w.sum() for w in map(weights, counts)]
+    repeats = np.array([c.max() > 1 for c in counts])
+    sets = Overlap(hashes, shares)
 
     def near(i):
-        plain = sets.jaccard(i)
-        out = plain >= THRESHOLD
-        for j in np.flatnonzero(~out & (plain >= LEAST_PLAIN)):
-            if counts[i].max() > 1 or counts[j].max() > 1:
-                out[j] = similarity(np.asarray(hashes[i]).view(U), counts[i], np.asarray(hashes[j]).view(U), counts[j])[0] >= THRESHOLD
+        out = sets.jaccard(i) >= THRESHOLD
+        maybe = ~out if repeats[i] else ~out & repeats
+        if maybe.any():
+            for j in np.flatnonzero(maybe & (sets.least(i) >= THRESHOLD - 1e-9)):
+                out[j] = similarity(hashes[i], counts[i], hashes[j], counts[j])[0] >= THRESHOLD
         return out
 
     return near

@@ -218,6 +218,28 @@ def test_near_duplicates_form_classes(spark):
     assert op6_minhash.classes(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_repeated_shingles_lift_low_set_jaccard():
+    pack = lambda own, n: (np.concatenate((np.arange(10), own)).astype(np.uint64).view(np.int64), np.array([n] * 10 + [1] * len(own)))
+    for own, n in ((6, 100), (8, 1000), (30, 2)):
+        rows = [pack(np.arange(100 * k, 100 * k + own), n) for k in (1, 2)] + [pack(np.arange(300, 400), 1)]
+        near = op6_minhash._neighbours({"hashes": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+        for i, a in enumerate(rows):
+            want = [max(op6_minhash.similarity(a[0].view(np.uint64), a[1], b[0].view(np.uint64), b[1])) >= 0.8 for b in rows]
+            assert list(near(i)) == want
+        assert near(0)[1] == (n > 2)
+
+
+def test_equal_sets_with_other_counts_are_candidates(spark):
+    rng = random.Random(14)
+    words = prose(rng, 60, 5000).split()
+    texts = [" ".join(words), " ".join(words[:30] * 1 + words[30:35] * 400 + words[30:])]
+    a, b = (op6_minhash.Shingler()(t) for t in texts)
+    assert op6_minhash.similarity(*a, *b)[1] >= 0.8 > op6_minhash.similarity(*a, *b)[0]
+    bands = [set(r.bands) for r in op6_minhash.signed(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert len(bands[0]) == op6_minhash.BANDS < len(bands[1]) and bands[0] & bands[1]
+    assert {r.class_id for r in op6_minhash.classes(docs(spark, texts)).collect()} == {0}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(-40, 40, (300, 16)) / 64
