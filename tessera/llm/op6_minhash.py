@@ -11,7 +11,8 @@ Texts with equal weighted shingles collapse before any comparison; buckets are l
 ``buckets``), and classes are the components of the links.
 
 Defined cases: a null text, or one without words, is in no group (a class of its own); ties and repeated rows are copies of one class,
-named by its smallest doc_id; very long texts are read whole; null ids form copies like others; an empty table gives no rows; other columns are
+named by its smallest doc_id; very long texts are read whole; equal doc_ids are told apart by their text, of which the kept one is picked by its hash; rows without an id
+form copies like others, after all ids (class_id is null if no row of the class has one), and those without words stay apart; an empty table gives no rows; other columns are
 ignored by ``classes`` and kept by ``keep_one``.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .buckets import Overlap, link, members
@@ -129,13 +130,13 @@ def similarity(ha, ca, hb, cb) -> tuple[float, float]:
 
 
 def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sid, bands): sid names the weighted shingles (null without words)."""
+    """(doc_id, text_key, sid, bands): sid names the weighted shingles (null without words)."""
     prepare(df.sparkSession)
 
     def run(batches):
         shingle = Shingler()
         for batch in batches:
-            made = [shingle(t) for t in batch.column(1).to_pylist()]
+            made = [shingle(t) for t in batch.column(2).to_pylist()]
             sids = [xxhash.xxh3_64_intdigest(h.tobytes() + c.astype("<u4").tobytes()) - 2**63 if len(h) else None for h, c in made]
             place: dict[int, int] = {}
             for k, s in enumerate(sids):
@@ -156,9 +157,10 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     sig = signatures(np.concatenate([made[k][0] for k in again]), np.ones(sum(sizes)), np.repeat(np.arange(len(again)), sizes), len(again))
                     for k, row in zip(again, band_keys(sig).view(np.int64)):
                         bands[k] = np.union1d(bands[k], row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sid", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "sid", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, sid long, bands array<long>")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), text_col)
+    return rows.mapInArrow(run, "doc_id long, text_key long, sid long, bands array<long>")
 
 
 def shingles_of(df: DataFrame, ids: DataFrame, text_col: str = "text") -> DataFrame:
@@ -243,28 +245,48 @@ def _neighbours(rows):
     return near
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of the class, whose row is kept."""
+def _classed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, class_id, class_size, kept)."""
     s = materialize(signed(df, id_col, text_col), "signed")
-    one = s.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("bands").alias("bands"))
+    # rows order by id, those without one last, then by text
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    one = s.where("sid is not null").groupBy("sid").agg(F.min(place).alias("first"), F.max("bands").alias("bands"), F.count("*").alias("copies"))
+    one = materialize(one, "texts")
     rows = one.select(F.col("sid").alias("id"), F.explode("bands").alias("key"))
     found = materialize(members(rows), "members")
     labels = link(found, lambda ids: shingles_of(df, ids, text_col), _alike, _neighbours)
-    named = one.select("sid", "first").join(labels, F.col("sid") == F.col("id"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+    named = one.select("sid", "first", "copies").join(labels, F.col("sid") == F.col("id"), "left").select("sid", "first", "copies", F.coalesce("label", "sid").alias("label"))
     named = materialize(named, "named")
-    top = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    sized = s.select("doc_id", "sid").join(named.select("sid", "label").join(top, "label").select("sid", "class_id"), "sid", "left")
-    sized = materialize(sized.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classed")
-    n = sized.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return sized.join(n, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    top = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    of = named.select("sid", "label").join(top, "label").select("sid", "first", "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    worded = s.where("sid is not null").select("doc_id", "text_key", "sid").join(of, "sid").select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+    blank = s.where("sid is null").select("doc_id", "text_key")
+    copies = F.count("*").over(Window.partitionBy("doc_id", "text_key"))
+    named_blank = blank.where("doc_id is not null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), copies.alias("class_size"), F.lit(True).alias("kept"))
+    other_blank = blank.where("doc_id is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return worded.unionByName(named_blank).unionByName(other_blank)
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of the class, whose row is kept."""
+    return _classed(df, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
+
+
+#: A character that Python's split does not take for white space.
+_WORD = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that are their class's document with the smallest id (repeated rows: one)."""
-    (name,) = fresh(df, "gone")
-    gone = classes(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name))
-    kept = df.join(gone, F.col(id_col) == F.col(name), "left_anti")
-    return kept.dropDuplicates([id_col])
+    """The rows of ``df``, all columns, that are their class's first document (repeated rows: one; rows without id and words: all)."""
+    at, key, own, gone_id, gone_key, none, gone_none = fresh(df, "at", "text_key", "own", "gone_id", "gone_key", "none", "gone_none")
+    long = F.col(id_col).cast("long")
+    gone = _classed(df, id_col, text_col).where("not kept")
+    gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias(gone_id), F.col("doc_id").isNull().alias(gone_none), F.col("text_key").alias(gone_key))
+    apart = long.isNull() & ~F.coalesce(F.col(text_col).rlike(_WORD), F.lit(False))
+    keyed = df.withColumns({at: F.coalesce(long, F.lit(0)), none: long.isNull(), key: F.xxhash64(text_col), own: F.when(apart, F.monotonically_increasing_id())})
+    kept = keyed.join(gone, (F.col(at) == F.col(gone_id)) & (F.col(none) == F.col(gone_none)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    return kept.dropDuplicates([at, none, key, own]).drop(at, none, key, own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

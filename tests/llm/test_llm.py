@@ -240,6 +240,17 @@ def test_equal_sets_with_other_counts_are_candidates(spark):
     assert {r.class_id for r in op6_minhash.classes(docs(spark, texts)).collect()} == {0}
 
 
+def test_rows_without_id_or_with_a_shared_one_are_told_apart(spark):
+    rng = random.Random(15)
+    a, b, c, d, e = (prose(rng, 60, 5000) for _ in range(5))
+    rows = [(None, a), (None, a.upper()), (None, b), (None, None), (None, None), (None, " \u2003"), (1, c), (None, c), (7, d), (7, e), (7, e), (8, None), (8, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in op6_minhash.classes(t).collect())
+    assert got == {(None, None, 2, True): 1, (None, None, 2, False): 1, (None, None, 1, True): 4, (1, 1, 2, True): 1, (None, 1, 2, False): 1, (7, 7, 1, True): 1, (7, 7, 2, True): 2, (8, 8, 2, True): 2}
+    kept = [(r.doc_id, r.text if r.text not in (a, a.upper()) else a) for r in op6_minhash.keep_one(t).collect()]
+    assert Counter(kept) == Counter([(None, a), (None, b), (None, None), (None, None), (None, " \u2003"), (1, c), (7, d), (7, e), (8, None)])
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(-40, 40, (300, 16)) / 64
