@@ -33,7 +33,7 @@ QUERY_MODULUS = 20
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 2048
 #: Read heads of the rounds, as fractions of a list.
-ROUNDS = (0.25, 0.5)
+ROUNDS = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95)
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -50,14 +50,9 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int):
-    """The k best (query row, candidate row, score) of one block by bounded list reads."""
-    n, d = x.shape
-    order = np.argsort(cid, kind="stable")
-    cid, x = cid[order], x[order]
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d
-    # whole numbers are exact in float32 under 2**24 and in float64 under 2**53
-    kind = np.float32 if big < 2**23 else np.float64 if big < 2**52 else np.int64
+def bounded(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, kind):
+    """([(query row, candidate rows that bounds leave)], query rows that the rounds did not resolve)."""
+    n = len(x)
     xs = np.sort(x, axis=0)
     pos, neg = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
     w = np.hstack([pos, neg])
@@ -84,6 +79,18 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray,
         for row in np.flatnonzero(done):
             keep.append((active[row], np.flatnonzero(alive[row])))
         active = active[~done]
+    return keep, active
+
+
+def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int):
+    """The k best (query row, candidate row, score) of one block by bounded list reads."""
+    n, d = x.shape
+    order = np.argsort(cid, kind="stable")
+    cid, x = cid[order], x[order]
+    big = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d
+    # whole numbers are exact in float32 under 2**24 and in float64 under 2**53
+    kind = np.float32 if big < 2**23 else np.float64 if big < 2**52 else np.int64
+    keep, active = bounded(qid, q, cid, x, k, kind)
     rows_q, rows_c, scores = [], [], []
 
     def best(qi: int, cand: np.ndarray, s: np.ndarray) -> None:

@@ -266,6 +266,19 @@ def test_top_k_equals_brute_force(spark):
     assert set(got) == set(range(0, 300, 20))
 
 
+def test_bounds_resolve_queries_without_all_candidates():
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(2000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids, at = np.arange(2000), np.arange(0, 2000, 20)
+    keep, left = op7_topk.bounded(ids[at], x[at], ids, x, 20, np.float32)
+    assert len(left) == 0 and all(len(c) <= 160 for _, c in keep)
+    q, c, s = op7_topk.search_block(ids[at], x[at], ids, x, 20)
+    for i in at:
+        want = sorted((-int(x[i] @ x[j]), j) for j in ids if j != i)[:20]
+        assert [(-v, j) for v, j in sorted(zip(s[q == i], c[q == i]), key=lambda r: (-r[0], r[1]))] == want
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(10)
     for _ in range(200):
