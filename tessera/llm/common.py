@@ -16,17 +16,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/checkpoints/tessera"
-BATCH_BYTES = 8 << 20
-#: 64-bit words of a membership bitset: 8 MiB, whatever the input.
-BITSET_WORDS = 1 << 20
+#: Local mode only, where driver and executors are one process.
+LOCAL_DIR = "/tmp/checkpoints/tessera"
+BATCH_BYTES = 4 << 20
+#: Most 64-bit words of a membership bitset (32 MiB); a smaller one has sixteen bits an id.
+BITSET_WORDS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share; one beside the warehouse only where the session names none (tests, local mode).
+
+    A cluster must name one: a folder of one machine is of no use to the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = FALLBACK_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name the executors' shared folder in spark.checkpoint.dir")
+        found = LOCAL_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -97,7 +103,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 # --- membership bitset ---------------------------------------------------------
 
 class Bitset:
-    """A fixed-size one-hash filter of longs: no false negatives; false positives only cost later work."""
+    """A one-hash filter of longs: no false negatives; false positives only cost later work."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
@@ -108,11 +114,12 @@ class Bitset:
         return (self.words[w.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitset(df: DataFrame, column: str, words: int = BITSET_WORDS):
-    """A broadcast ``Bitset`` of a hash of a long column, built by a native bit_or aggregation.
+def bitset(df: DataFrame, column: str, most: int = BITSET_WORDS):
+    """A broadcast ``Bitset`` of a hash of a long column of a materialized table, built by a native bit_or aggregation.
 
-    At most ``words`` rows reach the driver, whatever the input: the size of the broadcast is fixed.
+    Its size follows the rows; at most ``most`` words reach the driver, whatever the input.
     """
+    words = min(most, 1 << max(12, (df.count() // 4).bit_length()))
     h = F.xxhash64(F.col(column))
     word = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1))
     rows = (

@@ -48,17 +48,65 @@ def test_substrings_equal_brute_force(spark):
         assert got[k].n_spans == sum(1 for i in range(len(r)) if cover[i] and (i == 0 or not cover[i - 1]))
 
 
-def test_spread_anchor_merges_like_one_shard(monkeypatch):
-    rng = random.Random(5)
-    base = bytes(rng.randrange(97, 100) for _ in range(368))
-    segs = []
-    for i in range(40):
+def covered(raws, length):
+    """Bytes of each text under a string that starts twice."""
+    count = Counter(r[i:i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        cover = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if count[r[i:i + length]] > 1:
+                cover[i:i + length] = b"\1" * length
+        out.append(cover)
+    return out
+
+
+def spread(rng, n, size=300):
+    """Texts that share a middle and differ by single bytes on either side."""
+    base = bytes(rng.randrange(97, 100) for _ in range(size))
+    out = []
+    for _ in range(n):
         s = bytearray(base)
-        s[rng.randrange(368)] = 90
-        segs.append((i, 1, 168, bytes(s)))
-    whole = sorted(op1_substrings._repeats([segs]))
-    monkeypatch.setattr(op1_substrings, "SHARD_BYTES", 3000)
-    assert sorted(op1_substrings._repeats([segs])) == whole
+        for _ in range(rng.randrange(1, 4)):
+            s[rng.randrange(size)] = rng.randrange(88, 92)
+        out.append(bytes(s))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
+def test_shards_of_an_anchor_merge_to_the_brute_force_spans(monkeypatch, shard):
+    monkeypatch.setattr(op1_substrings, "SHARD_BYTES", shard)
+    texts = spread(random.Random(5), 60)
+    texts += [texts[0], texts[1][:250]]
+    groups: dict = {}
+    a, owner, p, s0, s1 = op1_substrings.anchors(texts)
+    for k, o, at, x, y in zip(a.tolist(), owner.tolist(), p.tolist(), s0.tolist(), s1.tolist()):
+        seg = texts[o][x:y + op1_substrings.LENGTH]
+        v = groups.setdefault(k, {}).setdefault(seg, [0, at - x, []])
+        v[0] += 1
+        v[2].append((o, x))
+    lists = [[(v[0], v[1], seg) for seg, v in g.items()] for g in groups.values()]
+    places = [v[2] for g in groups.values() for v in g.values()]
+    got = [bytearray(len(t)) for t in texts]
+    for k, x, y in zip(*(z.tolist() for z in op1_substrings.repeats(lists))):
+        for o, at in places[k]:
+            got[o][at + x:at + y] = b"\1" * (y - x)
+    assert got == covered(texts, op1_substrings.LENGTH)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 12, 1])
+def test_hot_anchor_is_dealt_over_tasks(spark, monkeypatch, hot):
+    monkeypatch.setattr(op1_substrings, "HOT_ROWS", hot)
+    raws = spread(random.Random(7), 50)
+    got = {r.doc_id: r for r in op1_substrings.dedup(docs(spark, [r.decode() for r in raws]).repartition(8)).collect()}
+    for k, (r, cover) in enumerate(zip(raws, covered(raws, op1_substrings.LENGTH))):
+        assert bytes(got[k].kept) == bytes(b for b, c in zip(r, cover) if not c)
+
+
+def test_substrings_of_an_empty_table_and_of_clashing_columns(spark):
+    d = docs(spark, ["a" * 300, None]).withColumnsRenamed({"ids": "key", "n_tokens": "seg", "_doc": "spans"})
+    assert op1_substrings.dedup(d.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.n_removed) for r in op1_substrings.dedup(d, content=False).collect()) == [(0, 300), (1, 0)]
 
 
 def test_lines_keep_one_of_a_component(spark):
