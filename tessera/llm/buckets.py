@@ -13,28 +13,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, n_shuffle
 
 #: Rows of a block of a bucket; a task holds two.
 BLOCK = 2000
-
-
-def members(rows: DataFrame) -> DataFrame:
-    """(key, rep, id) from (key, id): ids of a bucket but its smallest."""
-    by = Window.partitionBy("key")
-    return rows.repartition(n_shuffle(rows.sparkSession), "key").withColumn("rep", F.min("id").over(by)).where("rep <> id").select("key", "rep", "id").distinct()
-
-
-def _rest(neighbours):
-    """Links between components of one bucket: rows (id, label, content...) in, a forest of links out."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        root = {x: x for x in pdf["label"].unique()}
+#: Cells of a bucket's table of sets and elements, up to which it is laid out.
+DENSE = 4_000_000
+
+
+def members(rows: DataFrame, again: Column | None = None) -> DataFrame:
+    """(key, rep, id) from (key, id): ids of a bucket but its smallest. ``again``: and rows that repeat (key, id), flagged, of the keys it names."""
+    by = Window.partitionBy("key").orderBy("id")
+    # in order of id: nothing of a bucket is held but the row before
+    named = rows.repartition(n_shuffle(rows.sparkSession), "key").select("key", "id", F.first("id").over(by).alias("rep"), F.lag("id").over(by).eqNullSafe(F.col("id")).alias("again"))
+    if again is not None:
+        return named.where((F.col("again") & again) | (~F.col("again") & (F.col("rep") != F.col("id"))))
+    return named.where("rep <> id and not again").select("key", "rep", "id")
+
+
+def _groups(batches, by: list[str]):
+    """Tables of whole groups, from batches sorted by ``by``; a table has one group, or few rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) < BLOCK:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        ends = _ends(t, by)
+        if len(ends) > 1:
+            yield t.slice(0, ends[-2]), ends[:-1]
+            t = t.slice(ends[-2])
+        held = pa.concat_tables([t]).combine_chunks().to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _ends(t, by)
+
+
+def _ends(t: pa.Table, by: list[str]) -> list[int]:
+    new = np.zeros(t.num_rows - 1, dtype=bool)
+    for c in by:
+        x = t.column(c).to_numpy()
+        new |= x[1:] != x[:-1]
+    return [*(np.flatnonzero(new) + 1).tolist(), t.num_rows]
+
+
+def _rest(prepare: Callable):
+    """Links between components of one bucket: rows (key, x, y, id, label, content...) sorted by bucket in, a forest of links out."""
+
+    def forest(ids: np.ndarray, labels: np.ndarray, near: Callable) -> list[tuple[int, int]]:
+        kinds, inv, many = np.unique(labels, return_inverse=True, return_counts=True)
+        root = list(range(len(kinds)))
 
         def find(x):
             while root[x] != x:
@@ -42,21 +76,32 @@ def _rest(neighbours):
                 x = root[x]
             return x
 
-        near = neighbours(pdf)
-        ids, labels = pdf["id"].to_numpy(), pdf["label"].to_numpy()
         out, left = [], len(root)
         # the largest component's members are met by all others, so they need not be asked
-        most = pdf["label"].value_counts().index[0]
-        for i in np.flatnonzero(labels != most):
+        for i in np.flatnonzero(inv != int(many.argmax())):
             if left == 1:
                 break
-            for j in np.flatnonzero(near(i)):
-                a, b = find(labels[i]), find(labels[j])
+            hit = np.flatnonzero(near(i))
+            for k in np.unique(inv[hit]):
+                a, b = find(inv[i]), find(k)
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     left -= 1
+                    j = hit[inv[hit] == k][0]
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return out
+
+    def run(batches):
+        for t, ends in _groups(batches, ["key", "x", "y"]):
+            make = prepare(t)
+            ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
+            out, start = [], 0
+            for end in ends:
+                if (labels[start:end] != labels[start]).any():
+                    out += forest(ids[start:end], labels[start:end], make(start, end))
+                start = end
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     return run
 
@@ -65,8 +110,8 @@ def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Cal
     """(id, label) of ids that some verified link joins.
 
     ``found``: a materialised ``members`` table. ``content(ids)``: (id, content...) of an (id) table. ``alike(pairs)``:
-    the (a, b) of those rows of (a, b, left content, right content) that are alike. ``neighbours(rows)``: for the rows of
-    a bucket, a function from a row number to which rows are alike to it.
+    the (a, b) of those rows of (a, b, left content, right content) that are alike. ``neighbours(table)``: for an Arrow table of
+    buckets, a function of a bucket's first and last row that gives a function from a row number to which rows are alike to it.
     """
     ids = materialize(found.select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct(), "candidates")
     held = materialize(content(ids), "content")
@@ -85,8 +130,8 @@ def link(found: DataFrame, content: Callable[[DataFrame], DataFrame], alike: Cal
     rest = rest.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rest = rest.select("key", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "id", "label")
-    schema = "a long, b long"
-    more = materialize(rest.join(held, "id").groupBy("key", "x", "y").applyInPandas(_rest(neighbours), schema), "links")
+    rest = rest.join(held, "id").repartition(n_shuffle(ids.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    more = materialize(rest.mapInArrow(_rest(neighbours), "a long, b long"), "links")
     if more.isEmpty():
         return labels
     # the stars found before stand for the links they came from
@@ -105,8 +150,15 @@ class Overlap:
         self.start = np.concatenate(([0], np.cumsum(np.bincount(item))))
         self.items = np.split(item, np.cumsum(self.n)[:-1])
         self.shares, self.share = shares, None if shares is None else np.concatenate(shares)[by]
+        self.table = None
+        if len(sets) * (len(self.start) - 1) <= DENSE:
+            self.table = np.zeros((len(sets), len(self.start) - 1), dtype=np.float32)
+            self.table[owner, item] = 1
 
     def jaccard(self, i: int) -> np.ndarray:
+        if self.table is not None:  # whole numbers, exact in float32
+            common = self.table @ self.table[i]
+            return common / np.maximum(self.n[i] + self.n - common, 1)
         own = self.items[i]
         lists = [self.owner[self.start[k]:self.start[k + 1]] for k in own]
         common = np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n))

@@ -64,6 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_files(spark: SparkSession, path: str | None) -> None:
+    """Delete the files of a table that nothing reads any more."""
+    if path:
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,6 +89,13 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], salts: int = 8) -> DataFrame:
+    """Inner join on ``key`` with a ``right`` of one row a key, which is repeated so that a common key's left rows meet it in several tasks."""
+    salt, = fresh(left, "salt")
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.hash(*spread), F.lit(salts))).join(many, [key, salt]).drop(salt)
+
+
 def crc32_text(column: str | Column) -> Column:
     """crc32 of a column's text, as a long."""
     return F.crc32(F.encode(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), "utf-8"))

@@ -14,17 +14,16 @@ rows; other columns are ignored by ``marks`` and kept by ``dedup``.
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .buckets import Overlap, link, members
-from .common import Bitset, bitset, fresh, materialize, mix64, prepare, table
+from .common import Bitset, bitset, fresh, materialize, mix64, prepare, salted_join, table
 from .op6_minhash import band_keys, spark_xxhash64
 
 RUN = 8
@@ -34,12 +33,17 @@ ROWS = 4
 #: Elements up to which a line has a hash for each register.
 FEW = 128
 #: Characters whose runs are hashed together: bounds the arrays of a step.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 17
+#: The bit of a key that marks a line's first bucket.
+FIRST = 1
 U = np.uint64
 EMPTY = U(2**64 - 1)
 
 
 def comparison(line: str) -> str:
+    # of the printable characters only the blank is white space
+    if line.isprintable() and "  " not in line and line[:1] != " " != line[-1:]:
+        return line.lower()
     return " ".join(line.lower().split())
 
 
@@ -49,23 +53,36 @@ def line_id(line: str) -> int:
 
 
 def run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(element hashes of all lines in one line, line of each)."""
-    long = [len(x) >= RUN for x in lines]
-    sizes = np.array([len(x) if ok else RUN for x, ok in zip(lines, long)])
-    padded = "".join(x if ok else x + "\0" * (RUN - len(x)) for x, ok in zip(lines, long))
-    c = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(U)
-    h = c * U(0x9E3779B97F4A7C15)
-    h = h[:-1] * U(0xC2B2AE3D27D4EB4F) + (h[1:] >> U(7)) + h[1:]
-    h = h[:-2] * U(0x165667B19E3779F9) + (h[2:] >> U(9)) + h[2:]
-    h = h[:-4] * U(0x27D4EB2F165667C5) + (h[4:] >> U(11)) + h[4:]
-    h = mix64(h)
-    owner = np.repeat(np.arange(len(lines)), sizes)
+    """(element hashes of all lines in one line, line of each).
+
+    A run of characters under 256 is its bytes as one number, mixed; any other run folds its code points.
+    """
+    padded = [x if len(x) >= RUN else x + "\0" * (RUN - len(x)) for x in lines]
+    sizes = np.fromiter(map(len, padded), dtype=np.int64, count=len(lines))
+    joined = "".join(padded)
+    try:
+        raw = joined.encode("latin-1")
+        wide = None
+    except UnicodeEncodeError:
+        wide = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        raw = wide.astype(np.uint8).tobytes()
+    h = mix64(np.ndarray((len(raw) - RUN + 1,), dtype="<u8", buffer=raw, strides=(1,)))
+    if wide is not None:
+        far = np.flatnonzero(wide > 255)
+        touched = np.zeros(len(wide) + 1, dtype=np.int64)
+        np.add.at(touched, np.maximum(far - RUN + 1, 0), 1)
+        np.add.at(touched, far + 1, -1)
+        at = np.flatnonzero(np.cumsum(touched)[: len(h)])
+        x = np.zeros(len(at), dtype=U)
+        for i in range(RUN):
+            x = (x ^ wide[at + i]) * U(0x9E3779B97F4A7C15)
+            x ^= x >> U(29)
+        h[at] = mix64(x)
+    keep = np.ones(len(raw), dtype=bool)
     ends = np.cumsum(sizes)
-    keep = np.ones(len(c), dtype=bool)
     for i in range(1, RUN):
         keep[ends - i] = False
-    at = np.flatnonzero(keep)
-    return h[at], owner[at]
+    return h[keep[: len(h)]], np.repeat(np.arange(len(lines)), sizes - RUN + 1)
 
 
 def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,17 +96,20 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
     length = np.bincount(owner, minlength=len(lines))
     size = length.copy()
     long = length >= THRESHOLD * FEW  # no repetition matters below
-    if long.any():
-        x, own = h[long[owner]], owner[long[owner]]
-        order = np.lexsort((x, own))
-        x, own = x[order], own[order]
-        first = np.concatenate(([True], (x[1:] != x[:-1]) | (own[1:] != own[:-1])))
-        size[long] = np.bincount(own[first], minlength=len(lines))[long]
+    every = bool(long.all())
+    if every or long.any():
+        bits = int(len(lines)).bit_length()
+        x, own = (h, owner) if every else (h[(use := long[owner])], owner[use])
+        x = own.astype(U) << U(64 - bits) | x >> U(bits)
+        x.sort()
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        size[long] = np.bincount((x[first] >> U(64 - bits)).astype(np.int64), minlength=len(lines))[long]
     out = []
-    few = np.flatnonzero(size <= FEW)
+    small, large = size <= FEW, size >= THRESHOLD * FEW
+    few = np.flatnonzero(small)
     if len(few):
         begin = np.concatenate(([0], np.cumsum(length[few])[:-1]))
-        low = (h[size[owner] <= FEW] >> U(32)).astype(np.uint32)
+        low = (h[small[owner]] >> U(32)).astype(np.uint32)
         seed = mix64(np.arange(1, registers + 1, dtype=U)).astype(np.uint32)
         part = np.empty((len(few), registers), dtype=U)
         for r in range(registers):  # the public 32-bit murmur finaliser, seeded for each register
@@ -101,9 +121,9 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
             y *= seed[r] | np.uint32(1)
             part[:, r] = np.minimum.reduceat(y, begin)
         out.append((few, part))
-    many = np.flatnonzero(size >= THRESHOLD * FEW)
+    many = np.flatnonzero(large)
     if len(many):
-        x = h[size[owner] >= THRESHOLD * FEW]
+        x = h if large.all() else h[large[owner]]
         own = np.repeat(np.arange(len(many)), length[many])
         fill = np.full(len(many) * registers, EMPTY, dtype=U)
         np.minimum.at(fill, own * registers + ((x >> U(40)) * U(registers) >> U(24)).astype(np.int64), x & U((1 << 40) - 1))
@@ -133,162 +153,156 @@ def _steps(lines: list[str]):
         yield slice(start, len(lines))
 
 
-def _distinct(texts) -> dict[int, str]:
-    """id -> comparison form of the distinct lines of some texts."""
-    raw: set[str] = set()
-    for t in texts:
-        if t:
-            raw.update(t.split("\n"))
-    out = {}
-    for x in raw:
-        c = comparison(x)
-        if c:
-            out[line_id(c)] = c
-    return out
-
-
 def bands(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, id): bucket and line, once for each distinct line of a task's batch."""
+    """(key, id): bucket and line, once for each distinct line of a task's batch; a line that repeats in the batch has its first bucket twice."""
 
     def run(batches):
         for batch in batches:
-            found = _distinct(batch.column(0).to_pylist())
-            ids, lines = np.fromiter(found.keys(), dtype=np.int64, count=len(found)), list(found.values())
+            raw: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                if t:
+                    raw.update(t.split("\n"))
+            forms: Counter[str] = Counter()
+            for x, n in raw.items():
+                forms[comparison(x)] += n
+            forms.pop("", None)
+            lines = list(forms)
+            ids = np.fromiter(map(line_id, lines), dtype=np.int64, count=len(lines))
+            again = np.fromiter(forms.values(), dtype=np.int64, count=len(lines)) > 1
             for part in _steps(lines):
+                own, more = ids[part], again[part].copy()
                 for at, sig in signatures(lines[part]):
-                    keys = band_keys(sig, ROWS).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[part][at], keys.shape[1]))], ["key", "id"])
+                    keys = band_keys(sig, ROWS).view(np.int64) & -2
+                    keys[:, 0] |= FIRST
+                    twice = np.flatnonzero(more[at])
+                    more[at] = False
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate((keys.ravel(), keys[twice, 0]))), pa.array(np.concatenate((np.repeat(own[at], keys.shape[1]), own[at][twice])))], ["key", "id"])
 
     return df.select(text_col).mapInArrow(run, "key long, id long")
 
 
-def places(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc, text_key, n): line ``n`` of a document has the comparison form ``id``; its first place in a document only."""
+def places(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id, doc, text_key, n, line): line ``n`` of a document has the comparison form ``id``; of the ids in ``wanted``, and a few others.
 
-    def run(batches):
-        for batch in batches:
-            cols = [[], [], [], []]
-            cache: dict[str, int | None] = {}
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None or not t:
-                    continue
-                key = xxhash.xxh3_64_intdigest(t) - 2**63
-                seen = set()
-                for n, x in enumerate(t.split("\n")):
-                    k = cache.get(x)
-                    if k is None and x not in cache:
-                        c = comparison(x)
-                        cache[x] = k = line_id(c) if c else None
-                    if k is not None and k not in seen:
-                        seen.add(k)
-                        for col, v in zip(cols, (k, doc, key, n)):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "doc", "text_key", "n"])
-
-    return df.select(id_col, text_col).mapInArrow(run, "id long, doc long, text_key long, n int")
-
-
-def texts_of(df: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
-    """(id, line) of the comparison forms named in ``ids``, read from the texts again."""
-    keep = bitset(ids, "id")
+    ``line`` is the form of an id in ``candidates``, once in a batch; documents without an id give only such forms.
+    """
+    keep, read = bitset(wanted, "id"), bitset(candidates, "id")
 
     def run(batches):
         for batch in batches:
-            found = _distinct(batch.column(0).to_pylist())
-            at = np.fromiter(found.keys(), dtype=np.int64, count=len(found))
-            ok = Bitset(keep.value).maybe(spark_xxhash64(at)) if len(at) else np.empty(0, bool)
-            lines = list(found.values())
-            use = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(at[use]), pa.array([lines[i] for i in use], pa.string())], ["id", "line"])
-
-    return df.select(text_col).mapInArrow(run, "id long, line string").join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-
-def runs(line: str) -> set[str]:
-    return {line[i:i + RUN] for i in range(max(1, len(line) - RUN + 1))}
+            ids: dict[str, int] = {}
+            texts = [(t or "").split("\n") for t in batch.column(2).to_pylist()]
+            raw = list({x for t in texts for x in t})
+            forms = [comparison(x) for x in raw]
+            at = np.fromiter(map(line_id, forms), dtype=np.int64, count=len(forms))
+            hashed = spark_xxhash64(at)
+            full = np.fromiter(map(bool, forms), dtype=bool, count=len(forms))
+            for k in np.flatnonzero(Bitset(keep.value).maybe(hashed) & full):
+                ids[raw[k]] = int(at[k])
+            shown = {int(at[k]): forms[k] for k in np.flatnonzero(Bitset(read.value).maybe(hashed) & full)}
+            cols = [[], [], [], [], []]
+            for doc, key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+                for n, x in enumerate(lines):
+                    k = ids.get(x)
+                    if k is not None:
+                        line = shown.pop(k, None)
+                        if doc is not None or line is not None:
+                            for col, v in zip(cols, (k, doc, key, n, line)):
+                                col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "doc", "text_key", "n", "line"])
+
+    rows = df.select(F.col(id_col).cast("long"), F.xxhash64(text_col), text_col)
+    return rows.mapInArrow(run, "id long, doc long, text_key long, n int, line string")
+
+
+def run_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(line and hash of a run as one number, sorted and distinct; where each line's begin, and the end; bits of the hash, 44 or more)."""
+    width = 64 - max(20, int(len(lines)).bit_length())
+    found, at = [], 0
+    for part in _steps(lines):
+        h, owner = run_hashes(lines[part])
+        x = (owner + at).astype(U) << U(width) | h >> U(64 - width)
+        x.sort()
+        found.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+        at += part.stop - part.start
+    x = np.concatenate(found)
+    return x, np.searchsorted(x, np.arange(len(lines) + 1, dtype=U) << U(width)), width
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
+    """Jaccard of all runs, looked up for all pairs of a step at once."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").field("line").to_pylist(), batch.column("right").field("line").to_pylist()):
-                a, b = runs(x), runs(y)
-                keep.append(len(a & b) >= THRESHOLD * len(a | b))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = (batch.column(c).field("line").to_pylist() for c in ("left", "right"))
+            number: dict[str, int] = {}
+            a, b = (np.array([number.setdefault(x, len(number)) for x in side], dtype=np.int64) for side in (left, right))
+            if not len(a):
+                continue
+            x, start, width = run_sets(list(number))
+            size = np.diff(start)
+            a, b = np.where(size[a] < size[b], b, a), np.where(size[a] < size[b], a, b)  # the smaller set is looked up
+            common = np.zeros(len(a), dtype=np.int64)
+            near = np.flatnonzero(size[b] >= THRESHOLD * size[a])  # a larger set is out by its size
+            cost = np.cumsum(size[b[near]]) // STEP_CHARS
+            for k in np.unique(cost):
+                part = near[cost == k]
+                n = size[b[part]]
+                at = np.repeat(start[b[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                ask = np.repeat(a[part], n).astype(U) << U(width) | x[at] & U((1 << width) - 1)
+                hit = x[np.minimum(np.searchsorted(x, ask), len(x) - 1)] == ask
+                common[part] = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+            yield batch.select(["a", "b"]).filter(pa.array(common >= THRESHOLD * (size[a] + size[b] - common)))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _neighbours(rows):
-    """Rows of a bucket alike to row i: exact Jaccard of the hashed runs."""
-    h, owner = run_hashes(rows["line"].tolist())
-    cut = np.flatnonzero(np.diff(owner)) + 1
-    sets = Overlap([np.unique(x) for x in np.split(h, cut)])
-    return lambda i: sets.jaccard(i) >= THRESHOLD
+def _neighbours(table):
+    """Rows of a bucket alike to row i: exact Jaccard of the runs."""
+    items, start, width = run_sets(table.column("line").to_pylist())
+    items = items & U((1 << width) - 1)
 
+    def make(lo, hi):
+        sets = Overlap(np.split(items[start[lo]:start[hi]], start[lo + 1:hi] - start[lo]))
+        return lambda i: sets.jaccard(i) >= THRESHOLD
 
-def kept_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, text_key, gone): for each document that loses lines, the comparison ids it loses whole or keeps the first of.
+    return make
 
-    ``gone`` holds (id, keep): with keep null every line of that form goes, else all but line ``keep``.
-    """
+
+def lost_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, text_key, lost): for each document that loses lines, their numbers in order; text_key is Spark's xxhash64 of the text."""
     prepare(df.sparkSession)
-    found = materialize(members(bands(df, text_col)), "members")
-    labels = materialize(link(found, lambda ids: texts_of(df, ids, text_col), _alike, _neighbours), "lines")
-    at = materialize(places(df, id_col, text_col), "places")
-    named = at.join(labels, "id", "left").select("doc", "text_key", "n", "id", F.coalesce("label", "id").alias("label"))
-    first = named.groupBy("label").agg(F.min(F.struct("doc", "text_key", "n")).alias("first"), F.count("*").alias("places"))
-    one = F.struct("doc", "text_key", "n")
-    lost = named.join(first.where("places > 1"), "label").where(one != F.col("first"))
-    return lost.groupBy("doc", "text_key").agg(F.collect_list("id").alias("gone"))
-
-
-def _rebuilt(text: str | None, gone) -> tuple[str, int, int]:
-    """(text, lines, lines kept) without the lines of ``gone`` and without repetitions inside the document."""
-    lines = (text or "").split("\n")
-    gone, seen, kept = set(gone or ()), set(), []
-    for x in lines:
-        c = comparison(x)
-        if c:
-            k = line_id(c)
-            if k in gone or k in seen:
-                continue
-            seen.add(k)
-        kept.append(x)
-    return "\n".join(kept), len(lines), len(kept)
+    near = materialize(members(bands(df, text_col), again=F.col("key").bitwiseAND(F.lit(FIRST)) == FIRST), "members")
+    found = near.where("rep <> id and not again").select("key", "rep", "id")
+    candidates = materialize(found.select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct(), "candidates")
+    wanted = materialize(near.where("again").select("id").unionByName(candidates).distinct(), "wanted")
+    at = materialize(places(df, id_col, text_col, wanted, candidates), "places")
+    forms = at.where("line is not null").select("id", "line")
+    labels = materialize(link(found, lambda ids: forms.join(ids, "id", "left_semi").dropDuplicates(["id"]), _alike, _neighbours), "lines")
+    place = F.struct("doc", "text_key", "n")
+    named = at.where("doc is not null").join(labels, "id", "left").select(place.alias("place"), F.coalesce("label", "id").alias("label"))
+    first = named.groupBy("label").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
+    lost = salted_join(named, first, "label", ["place"]).where("place <> first").select("place.*")
+    return lost.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("n")).alias("lost"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``df``, all columns, with each text rebuilt from its kept lines (``counts``: and n_lines, n_kept)."""
-    at_, doc_, lost_ = fresh(df, "at", "lost_doc", "lost")
-    lost = kept_places(df, id_col, text_col).groupBy(F.col("doc").alias(doc_)).agg(F.collect_list(F.struct("text_key", "gone")).alias(lost_))
-    # one row of ``lost`` an id at most: the texts stay on the streamed side
-    joined = df.withColumn(at_, F.col(id_col).cast("long")).join(lost.hint("shuffle_hash"), F.col(at_) == F.col(doc_), "left").drop(at_, doc_)
-    schema = T.StructType([*df.schema.fields, *([T.StructField("n_lines", T.IntegerType()), T.StructField("n_kept", T.IntegerType())] if counts else [])])
-    names = df.columns
-    at = names.index(text_col)
-    has_id = names.index(id_col)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, t, lost in zip(batch.column(has_id).to_pylist(), batch.column(at).to_pylist(), batch.column(lost_).to_pylist()):
-                if t is None or doc is None:
-                    n = len((t or "").split("\n"))
-                    out.append((t, n, n))
-                    continue
-                gone = ()
-                if lost:
-                    key = xxhash.xxh3_64_intdigest(t) - 2**63
-                    gone = next((x["gone"] for x in lost if x["text_key"] == key), ())
-                out.append(_rebuilt(t, gone))
-            cols = [batch.column(n) for n in names]
-            cols[at] = pa.array([o[0] for o in out], pa.string())
-            more = [pa.array([o[i] for o in out], pa.int32()) for i in (1, 2)] if counts else []
-            yield pa.RecordBatch.from_arrays([*cols, *more], [*names, *(("n_lines", "n_kept") if counts else ())])
-
-    return joined.mapInArrow(run, schema)
+    at, key, doc, lost_key, lost, lines = fresh(df, "at", "text_key", "lost_doc", "lost_key", "lost", "lines")
+    gone = lost_lines(df, id_col, text_col).select(F.col("doc").alias(doc), F.col("text_key").alias(lost_key), F.col("lost").alias(lost))
+    keyed = df.withColumns({at: F.col(id_col).cast("long"), key: F.xxhash64(text_col)})
+    # one row of ``gone`` a text at most: the texts stay on the streamed side
+    both = keyed.join(gone.hint("shuffle_hash"), (F.col(at) == F.col(doc)) & (F.col(key) == F.col(lost_key)), "left")
+    both = both.withColumn(lines, F.split(F.coalesce(text_col, F.lit("")), "\n"))
+    if counts:
+        both = both.withColumns({"n_lines": F.size(lines), "n_kept": F.size(lines) - F.coalesce(F.size(lost), F.lit(0))})
+    # the stretches between lost lines, in one walk
+    begin = f"coalesce(get(`{lost}`, k - 1) + 1, 0)"
+    walk = f"flatten(transform(sequence(0, size(`{lost}`)), k -> slice(`{lines}`, {begin} + 1, coalesce(get(`{lost}`, k), size(`{lines}`)) - {begin})))"
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(walk), "\n"))
+    return both.withColumn(text_col, text).select(*df.columns, *(("n_lines", "n_kept") if counts else ()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,12 @@ from pyspark.sql import types as T
 
 from .common import prepare, table
 
-#: Distinct pre-tokens that a task remembers; beyond it starts anew (bounded memory, same ids).
-REMEMBERED = 400_000
-SEP = 0xFFFF
+#: Characters of words and pieces that a task remembers; beyond it starts anew (bounded memory, same ids).
+REMEMBERED = 4 << 20
+#: Characters that are encoded together, and go out together.
+SLICE = 1 << 20
+SEP = (1 << 31) - 1
+SHIFT = 32
 #: Places of a rank that are joined one by one rather than as arrays.
 FEW = 12
 
@@ -47,8 +50,6 @@ class Merges:
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-        if max(self.ranks.values()) >= SEP:
-            raise ValueError("ids must be under 65,535")
         self.find = regex.compile(pattern).findall
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -59,11 +60,11 @@ class Merges:
             for i in range(1, len(token)):
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a << 16 | b] = rank
-        self.keys = np.array(sorted(self.pairs) + [1 << 40], dtype=np.int64)
+                    self.pairs[a << SHIFT | b] = rank
+        self.keys = np.array(sorted(self.pairs) + [2**63 - 1], dtype=np.int64)
         self.made = np.array([self.pairs.get(k, -1) for k in self.keys.tolist()], dtype=np.int64)
         #: tokens that a pair of a lower rank contains
-        self.risky = {s for k, r in self.pairs.items() for s in (k >> 16, k & 0xFFFF) if r < s}
+        self.risky = {s for k, r in self.pairs.items() for s in (k >> SHIFT, k & SEP) if r < s}
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.first = np.full(1 << 16, -1, dtype=np.int64)
         for a in range(256):
@@ -139,7 +140,7 @@ class Merges:
         p = p[np.concatenate(([True], p[1:] != p[:-1]))] if len(p) else p
         q = nxt[p]
         if r in self.risky:
-            made = self._made(np.concatenate((sym[prv[p]] << 16 | r, r << 16 | sym[nxt[q]], [r << 16 | r])))
+            made = self._made(np.concatenate((sym[prv[p]] << SHIFT | r, r << SHIFT | sym[nxt[q]], [r << SHIFT | r])))
             if ((made >= 0) & (made < r)).any():
                 return False
         if len(p) > 1 and (clash := p[1:] == q[:-1]).any():  # runs such as "aaa": the leftmost goes first
@@ -155,7 +156,7 @@ class Merges:
         nxt[p], prv[after] = after, p
         before = prv[p]
         places = np.concatenate((before, p))
-        keys = np.concatenate((sym[before] << 16 | r, r << 16 | sym[after]))
+        keys = np.concatenate((sym[before] << SHIFT | r, r << SHIFT | sym[after]))
         made = self._made(keys)
         pair[places] = made
         good = made >= 0
@@ -173,7 +174,7 @@ class Merges:
             after, before = nxt[q], prv[p]
             sym[p], sym[q] = r, -1
             nxt[p], prv[after] = after, p
-            made = get(sym[before] << 16 | r, -1), get(r << 16 | sym[after], -1)
+            made = get(sym[before] << SHIFT | r, -1), get(r << SHIFT | sym[after], -1)
             pair[before], pair[p] = made
             good = [(m, x) for m, x in zip(made, (before, p)) if m >= 0]
             if good:
@@ -199,11 +200,13 @@ class Encoder:
         self.merges = merges
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes | None] = {}
+        self.held = 0
 
     def _ids(self, split: list[list[str]]) -> list[bytes]:
         words = self.words
         fresh = list({w for p in split for w in p if w not in words})
         words.update(zip(fresh, self.merges.replay([w.encode() for w in fresh])))
+        self.held += sum(map(len, fresh)) + 16 * len(fresh)
         get = words.__getitem__
         return [b"".join(map(get, p)) for p in split]
 
@@ -215,13 +218,14 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+        if self.held > REMEMBERED:
+            self.words, self.pieces, self.held = {}, {}, 0
         find, pieces = self.merges.find, self.pieces
         cut = [t.split(" ") for t in texts]
         fresh = list({w for c in cut for w in c[1:] if w not in pieces})
         good = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
         pieces.update(dict.fromkeys(fresh))
+        self.held += sum(map(len, fresh)) + 16 * len(fresh)
         pieces.update(zip(good, self._ids([find(" " + w) for w in good])))
         get = pieces.__getitem__
         out: list[bytes | None] = [None] * len(texts)
@@ -256,28 +260,60 @@ def _encoder(shared) -> Encoder:
     return Encoder(_built[key])
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``df`` but ``text_col``, with ``ids_col`` (array of int) and ``n_tokens``."""
+def _slices(batch, text_col: str):
+    """Parts of a batch of about SLICE characters, with their texts (null: empty)."""
+    texts = [x or "" for x in batch.column(text_col).to_pylist()]
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE or i + 1 == len(texts):
+            yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+            start, size = i + 1, 0
+
+
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, ids_col: str = "ids", decoded: bool = False) -> DataFrame:
+    """All columns of ``df`` but ``text_col``, with ``ids_col`` (array of int) and ``n_tokens``; ``decoded``: and ``text_col`` as decoded from the ids."""
     spark = df.sparkSession
     prepare(spark)
     shared = _merges(spark, path, pattern)
     rest = [f for f in df.schema.fields if f.name not in (text_col, ids_col, "n_tokens")]
-    schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    more = [T.StructField(text_col, T.StringType())] if decoded else []
+    schema = T.StructType([*rest, *more, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
         encoder = _encoder(shared)
         for batch in batches:
-            ids = encoder([x or "" for x in batch.column(text_col).to_pylist()])
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            offsets = np.concatenate(([0], np.cumsum(lengths)))
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-            cols = [batch.column(f.name) for f in rest]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(lengths)], [*(f.name for f in rest), ids_col, "n_tokens"])
+            for part, texts in _slices(batch, text_col):
+                ids = encoder(texts)
+                lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                offsets = np.concatenate(([0], np.cumsum(lengths)))
+                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                cols = [part.column(f.name) for f in rest]
+                if decoded:
+                    cols.append(pa.array([encoder.merges.decode(x).decode() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(lengths)], [*(f.name for f in rest), *(f.name for f in more), ids_col, "n_tokens"])
 
     return df.select(*[f.name for f in rest], text_col).mapInArrow(run, schema)
 
 
+def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """All columns of ``df`` with ``text_col`` (binary) as the bytes of the ids: null for null ids, an error for an unknown id."""
+    spark = df.sparkSession
+    prepare(spark)
+    shared = _merges(spark, path, pattern)
+    rest = [f for f in df.schema.fields if f.name != text_col]
+
+    def run(batches):
+        merges = _encoder(shared).merges
+        for batch in batches:
+            ids = batch.column(ids_col).to_pylist()
+            raw = [None if x is None else merges.decode(np.array(x, dtype="<u4").tobytes()) for x in ids]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(raw, pa.binary())], [*(f.name for f in rest), text_col])
+
+    return df.select(*[f.name for f in rest]).mapInArrow(run, T.StructType([*rest, T.StructField(text_col, T.BinaryType())]))
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids again, hash both."""
     spark = df.sparkSession
@@ -288,11 +324,12 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         encoder = _encoder(shared)
         decode = encoder.merges.decode
         for batch in batches:
-            ids = encoder([x or "" for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(decode(x)).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in _slices(batch, text_col):
+                ids = encoder(texts)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(decode(x)).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     from pyspark.sql import functions as F
 

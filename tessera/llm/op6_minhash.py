@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .buckets import Overlap, link, members
-from .common import Bitset, bitset, fresh, materialize, mix64, prepare, table
+from .common import Bitset, bitset, fresh, materialize, mix64, prepare, salted_join, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -223,26 +223,32 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _neighbours(rows):
+def _neighbours(table):
     """Rows of a bucket alike to row i: exact set Jaccard, and probability Jaccard of all that may reach it.
 
     With weights as shares of their sums, the probability Jaccard is at most the sum of the smaller shares: its term of a shingle is
     1 / sum_j max(a_j / a_i, b_j / b_i), which neither share exceeds.
     """
-    hashes, counts = [np.asarray(x).view(U) for x in rows["hashes"]], [np.asarray(x) for x in rows["counts"]]
-    shares = [w / w.sum() for w in map(weights, counts)]
-    repeats = np.array([c.max() > 1 for c in counts])
-    sets = Overlap(hashes, shares)
+    cut = lambda c: [x.values.to_numpy() for x in table.column(c)]
+    all_hashes, all_counts = [x.view(U) for x in cut("hashes")], cut("counts")
 
-    def near(i):
-        out = sets.jaccard(i) >= THRESHOLD
-        maybe = ~out if repeats[i] else ~out & repeats
-        if maybe.any():
-            for j in np.flatnonzero(maybe & (sets.least(i) >= THRESHOLD - 1e-9)):
-                out[j] = similarity(hashes[i], counts[i], hashes[j], counts[j])[0] >= THRESHOLD
-        return out
+    def make(lo, hi):
+        hashes, counts = all_hashes[lo:hi], all_counts[lo:hi]
+        shares = [w / w.sum() for w in map(weights, counts)]
+        repeats = np.array([c.max() > 1 for c in counts])
+        sets = Overlap(hashes, shares)
 
-    return near
+        def near(i):
+            out = sets.jaccard(i) >= THRESHOLD
+            maybe = ~out if repeats[i] else ~out & repeats
+            if maybe.any():
+                for j in np.flatnonzero(maybe & (sets.least(i) >= THRESHOLD - 1e-9)):
+                    out[j] = similarity(hashes[i], counts[i], hashes[j], counts[j])[0] >= THRESHOLD
+            return out
+
+        return near
+
+    return make
 
 
 def _classed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -258,9 +264,9 @@ def _classed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = one.select("sid", "first", "copies").join(labels, F.col("sid") == F.col("id"), "left").select("sid", "first", "copies", F.coalesce("label", "sid").alias("label"))
     named = materialize(named, "named")
     top = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
-    of = named.select("sid", "label").join(top, "label").select("sid", "first", "class_size")
+    of = salted_join(named.select("sid", "label"), top, "label", ["sid"]).select("sid", "first", "class_size")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    worded = s.where("sid is not null").select("doc_id", "text_key", "sid").join(of, "sid").select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
+    worded = salted_join(s.where("sid is not null").select("doc_id", "text_key", "sid"), of, "sid", ["doc_id", "text_key"]).select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
     blank = s.where("sid is null").select("doc_id", "text_key")
     copies = F.count("*").over(Window.partitionBy("doc_id", "text_key"))
     named_blank = blank.where("doc_id is not null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), copies.alias("class_size"), F.lit(True).alias("kept"))
