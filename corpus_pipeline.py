@@ -1,4 +1,9 @@
-"""Corpus cleaning: the stages in their order, each over all its predecessor kept."""
+"""Corpus cleaning: the stages in their order, each over all its predecessor kept.
+
+Defined cases: documents without a text pass every stage and end with an empty decoded text and no tokens; documents without an id are not
+touched by line dedup and are told apart by their text in near-dedup; repeated rows become one; a text whose lines all go stays, empty;
+columns beside those of ``documents`` pass, unless named ids or n_tokens; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op2_lines, op3_bpe, op6_minhash, op8_decontaminate, op10_toxicity
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import drop_files, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each remaining text."""
-    return op3_bpe.encode(docs)
+    """Token ids of each remaining text, and the text as decoded from them."""
+    return op3_bpe.encode(docs, decoded=True)
 
 
 STAGES = [
@@ -44,14 +49,17 @@ STAGES = [
     ("decontaminate", decontaminate),
     ("bpe", bpe),
 ]
-#: Learnt scores and merges are beyond SQL; the stages are tested against brute-force versions.
+#: Learnt scores and merges are beyond SQL; run() is tested against a brute-force chain.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/tessera-pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_files(spark, before)  # the stage has read them
+        before = path
     return docs
