@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Local mode only, where driver and executors are one process.
 LOCAL_DIR = "/tmp/checkpoints/tessera"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Most 64-bit words of a membership bitset (32 MiB); a smaller one has sixteen bits an id.
 BITSET_WORDS = 1 << 22
 

@@ -1,15 +1,14 @@
 """Document scores by masked pseudo-likelihood.
 
-A bidirectional window network predicts every token from the tokens on both sides: the classes of the left and the
-right neighbour are embedded, added and squashed, and a softmax gives the class of the masked token; within a class a word has its
+A bidirectional window network predicts every token from the tokens on both sides, by a softmax in two levels: the classes of the left and
+the right neighbour are embedded, added and squashed, a softmax gives the class of the masked token, and within a class a word has its
 corpus frequency. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
-Everything is learnt from the whole corpus: every word, however rare, has the class and the probability within it of its own count over
-all documents, so the probabilities of all words of a class sum to 1. The most frequent words are held by every task; the
-counts of all others reach their documents through a join. Counts of (left, masked, right) classes over all documents are sufficient
-statistics of the network's loss, which is minimised on them in numpy by Adam. The number of classes grows with the ninth root of the
-tokens, so these cells with the cube root. What reaches the driver is bounded by the frequent words, the distinct counts
-of the others and the cells.
+Everything is learnt from the whole corpus. Every word, however rare, has the probability within its class of its own count over all
+documents, so the probabilities of all words of a class sum to 1. The most frequent words, which every task holds, have classes by frequency; all other words
+have classes by hash, so that only the sum of the logarithms of their counts is needed of them, which a join gives. Words are named by 64-bit hashes. Counts of
+(left, masked, right) classes over all documents are sufficient statistics of the network's loss, which is minimised on them in numpy by Adam. The number of
+frequency classes grows with the ninth root of the tokens, so these cells with the cube root. What reaches the driver is bounded by the frequent words and the cells.
 
 Defined cases: null and empty texts have no tokens, the sum 0 and a null mean; whole texts are read; repeated rows give repeated
 rows; an empty table gives no rows; other columns are ignored.
@@ -19,117 +18,120 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from collections import Counter
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table
 
-#: Words that every task holds; it decides only which words take the join.
-VOCABULARY = 20_000
-#: Classes up to BASE_TOKENS tokens; more beyond.
+#: Words that every task holds; all others take the join.
+VOCABULARY = 100_000
+#: Frequency classes up to BASE_TOKENS tokens; more beyond.
 CLASSES = 64
+#: Classes of the other words, by hash.
+RARE = 8
 BASE_TOKENS = 4_000_000
 EDGE = 0
 WIDTH = 16
 STEPS = 150
+#: Words whose hashes a task remembers.
+REMEMBERED = 300_000
+
+
+class Hasher:
+    """64-bit hashes of a text's words; remembers a task's words, boundedly."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w) - 2**63
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents, summed in each task before the shuffle."""
+    """(h, n) of the words of all documents, summed in each task before the shuffle."""
 
     def run(batches):
+        hashed = Hasher()
         for batch in batches:
-            c = Counter()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    c.update(t.lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+            h, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(hashed, batch.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
-    """Classes and log p(word | class): of the frequent words by ``known``, of any other word by its count."""
-
-    def __init__(self, top: list[tuple[str, int]], rest: list[tuple[int, int]]):
-        """``top``: (word, n), most frequent first; ``rest``: (n, number of words with it) of all other words."""
-        rest = sorted(rest, reverse=True)
-        total = sum(n for _, n in top) + sum(n * k for n, k in rest)
-        self.size = int(CLASSES * max(1.0, total / BASE_TOKENS) ** (1 / 9))
-        sums, mass = np.zeros(self.size), 0
-        self.known, self.rare = {}, {}
-
-        def put(n, words):
-            nonlocal mass
-            c = 1 + min(self.size - 2, (self.size - 1) * mass // total)
-            mass += n * words
-            sums[c] += n * words
-            return c
-
-        known = [(w, put(n, 1), n) for w, n in top]
-        rare = [(n, put(n, k)) for n, k in rest]
-        self.known = {w: (c, float(np.log(n / sums[c]))) for w, c, n in known}
-        self.rare = {n: (c, float(np.log(n / sums[c]))) for n, c in rare}
+    """Classes and log p(word | class) of the frequent words; classes, and the logarithms of their sums, of the others."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, rare_mass: np.ndarray):
+        """``h``, ``n``: the frequent words, most frequent first; ``rare_mass``: tokens of each class of the others."""
+        total = int(n.sum() + rare_mass.sum())
+        self.bands = int(CLASSES * max(1.0, total / BASE_TOKENS) ** (1 / 9))
+        self.size = self.bands + RARE
+        before = np.cumsum(n) - n
+        cls = 1 + np.minimum(self.bands - 2, (self.bands - 1) * before // max(int(n.sum()), 1)).astype(np.int64)
+        log_p = np.log(n / np.bincount(cls, n, minlength=self.size)[cls]) if len(n) else np.empty(0)
+        by = np.argsort(h, kind="stable")
+        self.h, self.cls, self.log_p = h[by], cls[by], log_p[by]
+        self.log_rare = np.log(np.maximum(rare_mass, 1))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """(classes, known part of the sum of log p(word | class), hashes of the words whose log counts it lacks)."""
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        known = self.h[at] == h if len(self.h) else np.zeros(len(h), dtype=bool)
+        rare = h[~known]
+        kind = rare_class(rare)
+        cls = np.empty(len(h), dtype=np.int64)
+        cls[known] = self.cls[at[known]]
+        cls[~known] = self.bands + kind
+        return cls, float(self.log_p[at[known]].sum() - self.log_rare[kind].sum()), rare
+
+
+def rare_class(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(40)).astype(np.int64) % RARE
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The lexicon of a (word, n) table; the driver gets the frequent words, and the other words' distinct counts only."""
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]  # bounded by VOCABULARY
-    if len(top) < VOCABULARY:
-        return Lexicon(top, [])
-    least = top[-1][1]
-    rest = Counter({r["n"]: r["k"] for r in counts.where(F.col("n") <= least).groupBy("n").agg(F.count("*").alias("k")).collect()})  # at most ``least`` rows
-    rest[least] -= sum(n == least for _, n in top)
-    return Lexicon(top, [(n, k) for n, k in rest.items() if k])
-
-
-def _rare(words: list[str], known: dict) -> list[str]:
-    """The distinct words that the frequent ones lack, in order."""
-    return list(dict.fromkeys(w for w in words if w not in known))
+    """The lexicon of an (h, n) table; the driver gets the frequent words and RARE sums."""
+    top = counts.orderBy(F.col("n").desc(), "h").limit(VOCABULARY).toArrow()  # bounded by VOCABULARY
+    h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
+    kind = F.shiftrightunsigned("h", 40) % RARE
+    mass = np.zeros(RARE, dtype=np.int64)
+    for r in counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():  # RARE rows
+        mass[r["kind"]] = r["n"]
+    return Lexicon(h, n, mass - np.bincount(rare_class(h), n, minlength=RARE).astype(np.int64))
 
 
-def encoded(docs: DataFrame, shared, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, within, cls): the sum of log p(word | class) of a text's tokens and their classes as 16-bit integers."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-
-    def ask(batches):
-        known = shared.value.known
-        for batch in batches:
-            seen, cols = set(), ([], [], [])
-            for t, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not t or key in seen:
-                    continue
-                seen.add(key)
-                rare = _rare(t.lower().split(), known)
-                cols[0].extend([key] * len(rare))
-                cols[1].extend(range(len(rare)))
-                cols[2].extend(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["text_key", "at", "word"])
-
-    asked = keyed.select("text", "text_key").mapInArrow(ask, "text_key long, at int, word string")
-    # a set, since copies of a text ask alike
-    told = asked.join(counts, "word").groupBy("text_key").agg(F.collect_set(F.struct("at", "n")).alias("told"))
+def encoded(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, n_tokens, within, cls, rare): the known part of the sum of log p(word | class), the tokens' classes as 16-bit integers, the words to ask for."""
+    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int32())]))
 
     def run(batches):
-        known, by_count = shared.value.known, shared.value.rare
+        hashed = Hasher()
         for batch in batches:
-            sizes, within, codes = [], [], []
-            for t, told in zip(batch.column(1).to_pylist(), batch.column(2)):
-                words = (t or "").lower().split()
-                if told.is_valid:
-                    rare = _rare(words, known)
-                    at, n = told.values.field("at").to_pylist(), told.values.field("n").to_pylist()
-                    own = {rare[i]: by_count[k] for i, k in zip(at, n)}
-                    pairs = [known[w] if w in known else own[w] for w in words]
-                else:
-                    pairs = [known[w] for w in words]
-                sizes.append(len(words))
-                within.append(sum([p for _, p in pairs]))
-                codes.append(np.array([c for c, _ in pairs], dtype="<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(within, pa.float64()), pa.array(codes, pa.binary())], ["doc_id", "n_tokens", "within", "cls"])
-
-    return keyed.join(told, "text_key", "left").select("doc_id", "text", "told").mapInArrow(run, "doc_id long, n_tokens long, within double, cls binary")
+            sizes, within, codes, asked = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                h = hashed(t)
+                cls, known, rare = shared.value(h)
+                sizes.append(len(h))
+                within.append(known)
+                codes.append(cls.astype("<u2").tobytes())
+                asked.append(np.unique(rare, return_counts=True))
+            offsets = np.concatenate(([0], np.cumsum([len(a[0]) for a in asked]))).astype(np.int32)
+            flat = [pa.array(np.concatenate([np.empty(0, np.int64), *(a[i] for a in asked)]).astype(t)) for i, t in ((0, np.int64), (1, np.int32))]
+            inner = pa.StructArray.from_arrays(flat, fields=list(rare_type.value_type))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(within, pa.float64()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), inner)],
+                ["row", "doc_id", "n_tokens", "within", "cls", "rare"])
+
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(run, "row long, doc_id long, n_tokens long, within double, cls binary, rare array<struct<h: long, k: int>>")
 
 
 def _line(codes: list[bytes]) -> np.ndarray:
@@ -191,7 +193,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = materialize(word_counts(docs, text_col), "words")
     words = lexicon(counts)
     size = words.size
-    coded = materialize(encoded(docs, spark.sparkContext.broadcast(words), counts, id_col, text_col), "coded")
+    coded = materialize(encoded(docs, spark.sparkContext.broadcast(words), id_col, text_col), "coded")
+    asked = coded.select("row", F.inline("rare")).join(counts, "h").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
     counted = context_counts(coded, size).toArrow()
     net = spark.sparkContext.broadcast(fit(counted.column("cell").to_numpy(), counted.column("n").to_numpy(), size))
 
@@ -202,7 +205,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 continue
             cls = _line(batch.column(3).to_pylist())
             a, b, c = cls[:-2], cls[1:-1], cls[2:]
-            each = np.where(b == EDGE, 0.0, net.value[a * size + c, b])
+            each = np.where(b == EDGE, 0.0, net.value[a * size + c, b].astype(np.float64))
             ends = np.cumsum(sizes + 1)
             run_sum = np.concatenate(([0.0], np.cumsum(each), [each.sum()]))
             begin = ends - sizes - 1
@@ -210,7 +213,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             mean = np.divide(total, sizes, where=sizes > 0, out=np.zeros(len(sizes)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(mean, mask=sizes == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    whole = coded.join(asked, "row", "left").select("doc_id", "n_tokens", (F.col("within") + F.coalesce("more", F.lit(0.0))).alias("within"), "cls")
+    return whole.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

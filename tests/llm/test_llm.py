@@ -279,21 +279,36 @@ def test_lm_predicts_from_both_sides(spark):
     assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
 
 
-def test_lm_scores_rare_words_by_their_own_counts(spark, monkeypatch):
-    monkeypatch.setattr(op5_lm, "VOCABULARY", 2)
-    texts = ["a b " * 400, "x y " * 3, "x z", "x z", None]
-    words = op5_lm.lexicon(op5_lm.word_counts(docs(spark, texts)))
-    assert set(words.known) == {"a", "b"} and set(words.rare) == {5, 3, 2}
+def test_lm_scores_equal_brute_force_with_rare_words(spark, monkeypatch):
+    """Every token's log p(class | neighbours) + log p(word | class), added up from plain counts."""
+    monkeypatch.setattr(op5_lm, "VOCABULARY", 40)
+    rng = random.Random(23)
+    texts = [prose(rng, rng.randrange(1, 60), words=300) for _ in range(60)] + [None, "", "once", "w1 once"]
+    texts += texts[:3]
+    d = docs(spark, texts)
+    words = op5_lm.lexicon(op5_lm.word_counts(d))
+    count = Counter(w for t in texts for w in (t or "").split())
+    hashed = op5_lm.Hasher()
+    cls = {w: int(words(hashed(w))[0][0]) for w in count}
     mass = Counter()
-    for c, p in [*words.known.values(), *words.rare.values()]:
-        mass[c] += np.exp(p)
-    assert all(np.isclose(m, 1) for m in mass.values())
-    rows = {r.doc_id: r for r in op5_lm.score(docs(spark, texts)).collect()}
-    assert rows[2].log_likelihood == rows[3].log_likelihood and rows[4].n_tokens == 0
-    ctx = spark.sparkContext.broadcast(words)
-    coded = {r.doc_id: r for r in op5_lm.encoded(docs(spark, texts), ctx, op5_lm.word_counts(docs(spark, texts))).collect()}
-    assert np.isclose(coded[1].within, 3 * (words.rare[5][1] + words.rare[3][1])) and np.isclose(coded[2].within, words.rare[5][1] + words.rare[2][1])
-    assert op5_lm.Lexicon([("a", 5_000_000_000)], []).size > op5_lm.Lexicon([("a", 5_000)], []).size == op5_lm.CLASSES
+    for w, n in count.items():
+        mass[cls[w]] += n
+    assert len(words.h) == 40 and sum(c >= words.bands for c in cls.values()) == len(count) - 40
+    cells = Counter()
+    for t in texts:
+        c = [op5_lm.EDGE, *(cls[w] for w in (t or "").split()), op5_lm.EDGE]
+        cells.update((a * words.size + r) * words.size + b for a, b, r in zip(c, c[1:], c[2:]))
+    at = sorted(cells)
+    net = op5_lm.fit(np.array(at), np.array([cells[k] for k in at]), words.size)
+    rows = {r.doc_id: r for r in op5_lm.score(d.repartition(5)).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        c = [op5_lm.EDGE, *(cls[x] for x in w), op5_lm.EDGE]
+        want = sum(float(net[a * words.size + r, b]) + np.log(count[x] / mass[b]) for x, a, b, r in zip(w, c, c[1:], c[2:]))
+        assert rows[i].n_tokens == len(w) and np.isclose(rows[i].log_likelihood, want, rtol=1e-5, atol=1e-5)
+    big, small = (op5_lm.Lexicon(np.array([1]), np.array([n]), np.zeros(op5_lm.RARE, np.int64)) for n in (5_000_000_000, 5_000))
+    assert big.bands > small.bands == op5_lm.CLASSES
+    assert op5_lm.score(d.limit(0)).count() == 0
 
 
 def test_similarity_by_definition():
