@@ -38,9 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Ship the package to Python workers and bound the bytes of one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return

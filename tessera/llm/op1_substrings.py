@@ -510,7 +510,7 @@ def _key(text: Column) -> list[Column]:
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, more, n_bytes, spans): byte ranges to remove from each text that has some; key and more are Spark's xxhash64 and hash of it."""
     spark = df.sparkSession
-    prepare(spark)
+    prepare(spark, 4 << 20)  # equal segments of a batch go once
     texts = df.select(*_key(F.col(text_col)), F.col(text_col).alias("text"))
     twice = texts.mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     keep = bitset(materialize(twice, "anchors"), "anchor")

@@ -102,8 +102,11 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
         x, own = (h, owner) if every else (h[(use := long[owner])], owner[use])
         x = own.astype(U) << U(64 - bits) | x >> U(bits)
         x.sort()
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        size[long] = np.bincount((x[first] >> U(64 - bits)).astype(np.int64), minlength=len(lines))[long]
+        new = np.empty(len(x), dtype=bool)
+        new[0] = True
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        seen = np.cumsum(new)[np.cumsum(length[long]) - 1]
+        size[long] = np.diff(seen, prepend=0)
     out = []
     small, large = size <= FEW, size >= THRESHOLD * FEW
     few = np.flatnonzero(small)
