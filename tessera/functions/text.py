@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Stop words of the lexical index.
 STOP_WORDS = [
@@ -34,9 +37,11 @@ SCRIPTS = {
 
 
 def tokens(text: Column, stop_words: bool = False) -> Column:
-    """Lower-case ASCII word tokens."""
-    t = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(t, lambda x: ~x.isin(STOP_WORDS)) if stop_words else t
+    """Lower-case ASCII word tokens. Those without ``stop_words`` are whole words: no part of one with other letters, digits or underscores."""
+    if not stop_words:
+        return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    t = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(t, lambda x: x.rlike("^[a-z0-9]+$") & ~x.isin(STOP_WORDS))
 
 
 def words(text: Column) -> Column:
@@ -83,6 +88,16 @@ def script_counts(text: Column) -> Column:
     return F.create_map(*pairs)
 
 
+def languages(text: Column) -> Column:
+    """(primary, secondary): the script with most code points, of equal ones English, then the one listed first; others over a twentieth."""
+    order = ["en", *[x for x in SCRIPTS if x != "en"]]
+    counts = F.array(*[F.struct(F.length(F.regexp_replace(text, f"[^\\x{{{SCRIPTS[x][0]:x}}}-\\x{{{SCRIPTS[x][1]:x}}}]", "")).alias("n"), F.lit(-i).alias("o"), F.lit(x).alias("lang")) for i, x in enumerate(order)])
+    top = F.array_max(counts)["lang"]
+    total = F.greatest(F.aggregate(counts, F.lit(0), lambda s, c: s + c["n"]), F.lit(1))
+    other = F.filter(counts, lambda c: (c["lang"] != top) & (c["n"] / total > 0.05))
+    return F.struct(top.alias("primary"), F.transform(other, lambda c: c["lang"]).alias("secondary"))
+
+
 def document_type(text: Column) -> Column:
     head = F.substring(text, 1, 3000)
     chain = reduce(lambda c, p: c.when(head.rlike("(?i)" + p[0]), p[1]), DOC_TYPES[1:], F.when(head.rlike("(?i)" + DOC_TYPES[0][0]), DOC_TYPES[0][1]))
@@ -96,3 +111,45 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
+
+
+# Words that recognition splits or misspells, in order.
+MISREADINGS = [
+    (r"\bno where\b", "nowhere"), (r"\bany where\b", "anywhere"), (r"\bevery where\b", "everywhere"), (r"\bdeliritious\b", "deleterious"),
+    (r"\bdiscretionery\b", "discretionary"), (r"\bageement\b", "agreement"), (r"\bdocumen\b", "document"), (r"\breciev\b", "receive"),
+    (r"\bloan\s+ageement\b", "loan agreement"), (r"\bunder\s+stamping\b", "under-stamping"), (r"\bchar\s+erise\b", "characterise"),
+    (r"\bion\s+taken\b", "action taken"), (r"\bf\s+that\b", "fact that"), (r"\battr\s+s\b", "attracts"), (r"\bpro\s+posed\b", "proposed"),
+    (r"\ben\s+forced\b", "enforced"), (r"\bmis\s+take\b", "mistake"), (r"\bSecret\s+any\b", "Secretary"), (r"\bjudg\s+ment\b", "judgment"),
+    (r"\bpeti\s+tioner\b", "petitioner"), (r"\brespon\s+dent\b", "respondent"), (r"\bappel\s+lant\b", "appellant"),
+    (r"\bconsti\s+tution\b", "constitution"), (r"\bfunda\s+mental\b", "fundamental"), (r"\bjuris\s+diction\b", "jurisdiction"),
+    (r"\bprocee\s+dings\b", "proceedings"), (r"\bcontem\s+pt\b", "contempt"), (r"\bexecu\s+tion\b", "execution"),
+    (r"\binjunc\s+tion\b", "injunction"), (r"\brevision\s+al\b", "revisional"),
+]
+
+
+def corrected(text: Column) -> Column:
+    """Misread words mended, one after the other."""
+    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p[0], p[1]), MISREADINGS, text)
+
+
+def without_leading_symbols(text: Column) -> Column:
+    """White space and :,.-; at the start of lines dropped."""
+    return F.regexp_replace(text, r"(?md)^[\s:,.\-;]+", "")
+
+
+@F.pandas_udf(T.StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode NFKC, which Spark has no function for."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def cleaned(text: Column, unicode: bool = True) -> Column:
+    """All steps: NFKC, hyphenation, furniture, misreadings, glued words, leading symbols, blanks."""
+    t = composed(text) if unicode else text
+    return tidy_lines(without_leading_symbols(unglued(corrected(without_furniture(dehyphenated(t))))))
+
+
+def source_text(text: Column) -> Column:
+    """Soft hyphens dropped, no-break blanks plain, lines trimmed, blank lines dropped."""
+    plain = F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), "\u00a0", " ")
+    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != ""), "\n")

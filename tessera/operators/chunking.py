@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -21,9 +21,86 @@ def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 220,
 
 
 def length_stats(chunks: DataFrame, by: list[str], n: str = "n_words") -> DataFrame:
-    """Least, upper median and most words."""
-    return chunks.groupBy(*by).agg(
-        F.count("*").alias("chunks"), F.min(n).alias("low"), F.element_at(F.array_sort(F.collect_list(n)), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"), F.max(n).alias("high"))
+    """Least, upper median and most words; the median from counts of equal lengths, so no group is gathered."""
+    c = chunks.groupBy(*by, n).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    c = c.withColumns({"_upto": F.sum("_c").over(w.orderBy(n).rowsBetween(Window.unboundedPreceding, 0)), "chunks": F.sum("_c").over(w)})
+    middle = F.floor(F.col("chunks") / 2) + 1
+    return c.groupBy(*by, "chunks").agg(F.min(n).alias("low"), F.min(F.when(F.col("_upto") >= middle, F.col(n))).alias("upper_median"), F.max(n).alias("high"))
+
+
+def running_lines(pages: DataFrame, doc: str, text: str, share: float = 0.7, least_pages: int = 4) -> DataFrame:
+    """(doc, place, line, pages): first or last lines, 80 characters, that stand on that share of a document's pages or more."""
+    lines = F.split(F.trim(text), "\n")
+    edge = lambda x: F.substring(F.trim(x), 1, 80)
+    both = F.array(F.struct(F.lit("first").alias("place"), edge(F.get(lines, 0)).alias("line")), F.struct(F.lit("last").alias("place"), F.when(F.size(lines) > 1, edge(F.element_at(lines, -1))).alias("line")))
+    n = pages.groupBy(doc).agg(F.count("*").alias("_n"))
+    c = pages.select(doc, F.inline(both)).where("line is not null").groupBy(doc, "place", "line").agg(F.count("*").alias("pages"))
+    return c.join(n, doc).where((F.col("_n") >= least_pages) & (F.col("pages") / F.col("_n") >= share) & (F.length("line") > 5)).drop("_n")
+
+
+def without_lines(text: Column, lines: Column) -> Column:
+    """A text without each of the lines of an array, literally."""
+    return F.aggregate(lines, text, lambda t, x: F.replace(t, x, F.lit("")))
+
+
+def sentences(text: Column) -> Column:
+    """Parts that end in .;: before white space and a capital or a bracket."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+(?=[A-Z(\[])"), F.trim), lambda s: s != "")
+
+
+def guarded(sections: DataFrame, section: str, text: str, meta: str = "CASE_METADATA", most: int = 300, least_words: int = 5) -> DataFrame:
+    """Sections of fewer than ``least_words`` words go; long ones of the metadata kind are reasoning."""
+    kept = sections.where(F.size(words(F.col(text))) >= least_words)
+    return kept.withColumn(section, F.when((F.col(section) == meta) & (F.length(text) > most), "REASONING").otherwise(F.col(section)))
+
+
+def merged(sections: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
+    """Texts of equal keys joined in order; a group is one document's section."""
+    part = F.sort_array(F.collect_list(F.struct(order, text)))
+    return sections.groupBy(*by).agg(F.array_join(F.transform(part, lambda x: x[text]), " ").alias(text), F.count("*").alias("parts"))
+
+
+def _headed(sections: DataFrame) -> DataFrame:
+    head = F.concat("document", F.lit(" Section "), "section", F.lit(". "), "title", F.lit("."))
+    return sections.withColumns({"section_text": F.trim("txt"), "_head": head}).where("section_text <> ''")
+
+
+def section_whole(sections: DataFrame, keep: list[str]) -> DataFrame:
+    """One chunk a section with text, its heading before it."""
+    return _headed(sections).select(
+        *keep, F.concat("document", F.lit("-s"), "section", F.lit("-0")).alias("chunk_id"), F.concat_ws(" ", "_head", "section_text").alias("text"), "section_text",
+        F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), F.lit("section_whole").alias("strategy"))
+
+
+def packed(parts: Column, most: int, carry: int = 1) -> Column:
+    """Sentences packed in order into pieces of at most ``most`` words, each piece but the first beginning with the last ``carry`` of the one before."""
+    size = lambda s: F.size(words(s))
+    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc, s):
+        full = (F.size(acc["now"]) > 0) & (acc["n"] + size(s) > most)
+        tail = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - carry + 1, F.lit(1)), F.lit(carry))
+        begin = F.when(full, tail).otherwise(acc["now"])
+        n = F.when(full, F.aggregate(tail, F.lit(0), lambda k, x: k + size(x))).otherwise(acc["n"])
+        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.concat(begin, F.array(s)).alias("now"), (n + size(s)).alias("n"))
+
+    return F.aggregate(parts, state, step, lambda acc: F.transform(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.array_join(p, " ")))
+
+
+def section_split(sections: DataFrame, keep: list[str], most: int = 220) -> DataFrame:
+    """A section in pieces of whole sentences, the heading before each."""
+    h = _headed(sections)
+    whole = F.array("section_text")
+    h = h.withColumn("_pieces", F.when(F.size(words(F.col("section_text"))) <= most, whole).otherwise(packed(sentences(F.col("section_text")), most)))
+    x = h.select(*keep, "document", "section", "_head", "section_text", F.size("_pieces").alias("chunk_count"), F.posexplode("_pieces").alias("chunk_index", "_piece"))
+    return x.select(
+        *keep, F.concat("document", F.lit("-s"), "section", F.lit("-"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.concat_ws(" ", "_head", "_piece").alias("text"),
+        "section_text", "chunk_index", "chunk_count", F.lit("section_split").alias("strategy"))
+
+
+#: Chunkers by name.
+STRATEGIES = {"section_whole": section_whole, "section_split": section_split}
 
 
 def carry_forward(df: DataFrame, by: str, order: str, value: str, out: str) -> DataFrame:

@@ -1,29 +1,121 @@
-"""Citations, sections and treatments in texts."""
+"""Sections and shortened citations in texts, and how later decisions treat earlier ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import re
+from bisect import bisect_left
 
-SCC = r"\(\d{4}\)\s+\d+\s+SCC\s+\d+"
-SECTION = r"(?i)section\s+(\d+[A-Z]?)"
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# How a later decision treats an earlier one, in order of precedence.
-TREATMENTS = [("overruled", "overruled"), ("reversed", "reversed"), ("distinguished", "distinguished"), ("per incuriam", "per_incuriam"), ("followed", "followed")]
+from ..functions import legal
+from .ranking import first_per_key
 
+SECTION = r"(?i)section\s+(\d+[A-Z]?)"
 
-def cited(text: Column) -> Column:
-    """Upper-case citations, blanks collapsed, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SCC), F.lit(0)), lambda c: F.upper(F.regexp_replace(c, r"\s+", " ")))))
+# Section lists, how far a statute's name attributes one, sentence breaks, and the most attributed sections of a text.
+SECTION_LISTS = r"\b(?:u/?s\.?|under\s+section|sections?|ss?\.)\s*(\d{1,3}[A-Z]{0,2}(?:\s*(?:,|and|&|/)\s*\d{1,3}[A-Z]{0,2})*)"
+REACH = 120
+BREAK = r"(?<!\bs)(?<!\bNo)(?<!\bv)[.;]\s+(?=[A-Z(\[])"
+MOST = 40
+NEAR = 60
+NEAR_STATUTES = {"IPC": r"(?:indian\s+penal\s+code|I\.?P\.?C\.?|penal\s+code)", "BNS": r"(?:bharatiya\s+nyaya\s+sanhita|B\.?N\.?S\.?)"}
+NEAR_SECTIONS = r"(?:u/?s|under\s+section|sections?|ss?\.)\s*(\d{1,3}[A-Z]{0,2})"
+FULL_CITE = r"\(\d{4}\)\s*\d+\s*SCC\s*\d+|AIR\s*\d+\s*SC\s*\d+"
+SHORT_CITE = r"\b(?:id\.|ibid\.|supra|ante)\b"
+WINDOW = 5
 
 
 def sections(text: Column) -> Column:
     """Section numbers in the order of the text."""
-    return F.regexp_extract_all(text, F.lit(SECTION), F.lit(1))
+    return legal.found(text, SECTION, 1)
+
+
+def treated(mentions: DataFrame, by: list[str], text: str, order: list) -> DataFrame:
+    """(by, status, confidence) and the deciding row: the first row, in order, of which a phrase tells a treatment, else the first row as followed."""
+    t = mentions.withColumn("_t", legal.treatment(F.col(text)))
+    best = first_per_key(t, by, [F.col("_t").isNull(), *order])
+    return best.withColumns({"status": F.coalesce("_t", F.lit("followed")), "confidence": F.when(F.col("_t").isNull(), 0.60).otherwise(0.95)}).drop("_t")
+
+
+_names = [(n, re.compile(p, re.I)) for n, p in legal.STATUTES.items()]
+_lists, _break = re.compile(SECTION_LISTS, re.I), re.compile(BREAK)
+_near_sections, _near = re.compile(NEAR_SECTIONS, re.I), {n: re.compile(p, re.I) for n, p in NEAR_STATUTES.items()}
+
+
+def attribute(text: str) -> tuple[list[str], list[str]]:
+    """(attributed "IPC 302", numbers alone) of one text, in order, once each.
+
+    A number belongs to the nearest statute name before or after it that no sentence break parts from it.
+    """
+    named = sorted((m.start(), m.end(), n) for n, p in _names for m in p.finditer(text))
+    starts = [a for a, _, _ in named]
+    with_name: dict[str, None] = {}
+    alone: dict[str, None] = {}
+    for m in _lists.finditer(text):
+        lo, hi = m.span()
+        k = bisect_left(starts, hi)
+        near = []
+        for a, b, n in named[max(k - 1, 0):k + 1]:
+            far = max(lo - b, a - hi, 0)
+            if far <= REACH and not _break.search(text[min(b, hi):max(a, lo)]):
+                near.append((far, a, n))
+        statute = min(near)[2] if near else None
+        for number in re.split(r"(?i)\s*(?:,|and|&|/)\s*", m.group(1)):
+            number = number.strip().upper()
+            if statute:
+                with_name[f"{statute} {number}"] = None
+                if len(with_name) == MOST:
+                    return list(with_name), list(alone)
+            else:
+                alone[number] = None
+    return list(with_name), list(alone)
+
+
+@F.pandas_udf(T.StructType([T.StructField("qualified", T.ArrayType(T.StringType())), T.StructField("unqualified", T.ArrayType(T.StringType()))]))
+def attributed_sections(text: pd.Series) -> pd.DataFrame:
+    """Positions of every match are needed, which no built-in function gives."""
+    rows = [attribute(t or "") for t in text]
+    return pd.DataFrame({"qualified": [a for a, _ in rows], "unqualified": [b for _, b in rows]})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sections_by_proximity(text: pd.Series) -> pd.Series:
+    """Sorted "IPC:302" of sections with a statute's name within NEAR characters on either side."""
+    def one(t):
+        out = set()
+        for m in _near_sections.finditer(t or ""):
+            around = t[max(0, m.start() - NEAR):m.end() + NEAR]
+            out |= {f"{n}:{m.group(1).upper()}" for n, p in _near.items() if p.search(around)}
+        return sorted(out)
+
+    return text.map(one)
+
+
+def resolve_short(label: Column, recent: Column, paragraph: Column) -> Column:
+    """What a short form stands for, from the last full citations of the document and of the paragraph, oldest first."""
+    last = lambda c, n: F.try_element_at(c, F.lit(n))
+    return (
+        F.when(label == "ibid", F.coalesce(last(paragraph, -1), last(recent, -1))).when(label == "id", last(recent, -1))
+        .when(label == "supra", F.coalesce(last(recent, -2), last(recent, -1))).when(label == "ante", last(recent, 1))
+    )
+
 
+def resolve_chunks(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, order, label, resolved) of each short form: the citations of the WINDOW latest full ones at or before it, in its chunk or earlier ones.
 
-def treatment(text: Column) -> Column:
-    low, out = F.lower(text), F.lit("good_law")
-    for phrase, name in reversed(TREATMENTS):
-        out = F.when(low.contains(phrase), name).otherwise(out)
-    return out
+    Chunks of one paragraph each; of a chunk, full citations come before its short forms.
+    """
+    norm = lambda c: legal.canonical(c)
+    c = chunks.select(doc, order, F.transform(legal.found(F.col(text), "(?i)" + FULL_CITE), norm).alias("own"), legal.found(F.col(text), "(?i)" + SHORT_CITE).alias("short"))
+    # of the chunks before, those with citations matter, and WINDOW of them at most
+    cites = c.select(doc, order, F.posexplode("own").alias("pos", "cite"))
+    w = Window.partitionBy(doc).orderBy(order, "pos")
+    last = cites.withColumn("recent", F.collect_list("cite").over(w.rowsBetween(-WINDOW + 1, 0)))
+    last = last.groupBy(doc, order).agg(F.max_by("recent", "pos").alias("recent"))
+    j = c.join(last, [doc, order], "left").withColumn("recent", F.last("recent", ignorenulls=True).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    s = j.select(doc, order, "own", F.coalesce("recent", F.array().cast("array<string>")).alias("recent"), F.explode("short").alias("label"))
+    out = resolve_short(F.lower(F.regexp_replace("label", r"\.", "")), F.col("recent"), F.col("own"))
+    return s.select(doc, order, "label", out.alias("resolved")).where("resolved is not null").distinct()

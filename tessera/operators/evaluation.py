@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metrics_at(run: DataFrame, gold: DataFrame, k: int, query: str = "query_id", id_col: str = "doc_id") -> DataFrame:
-    """Per query with gold: precision (over min(k, length)), recall, hit, reciprocal rank, nDCG at ``k``."""
+def closed_up(run: DataFrame, query: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """(query, id, rank): the first of each id's places, and ranks without gaps."""
     first = run.groupBy(query, id_col).agg(F.min("rank").alias("rank"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank", id_col)))
+
+
+def metrics_at(run: DataFrame, gold: DataFrame, k: int | list[int], query: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """Per query with gold (and ``k`` of a list): precision (over min(k, length)), recall, hit, reciprocal rank, nDCG at ``k``."""
+    ks = k if isinstance(k, list) else [k]
+    at = F.explode(F.array(*map(F.lit, ks)))
+    first = closed_up(run, query, id_col)
     g = gold.select(query, id_col).distinct().withColumn("rel", F.lit(1))
-    n_gold = g.groupBy(query).agg(F.count("*").alias("n_gold"))
-    per = first.join(g, [query, id_col], "left").groupBy(query).agg(
-        F.count("*").alias("n"), F.sum(F.when((F.col("rank") <= k) & F.col("rel").isNotNull(), 1).otherwise(0)).alias("hits"),
+    n_gold = g.groupBy(query).agg(F.count("*").alias("n_gold")).withColumn("k", at)
+    hit = (F.col("rank") <= F.col("k")) & F.col("rel").isNotNull()
+    per = first.join(g, [query, id_col], "left").withColumn("k", at).groupBy(query, "k").agg(
+        F.count("*").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"),
         F.min(F.when(F.col("rel").isNotNull(), F.col("rank"))).alias("best"),
-        F.sum(F.when((F.col("rank") <= k) & F.col("rel").isNotNull(), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+        F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     z = lambda c: F.coalesce(c, F.lit(0))
-    return n_gold.join(per, query, "left").select(
-        query, F.round(F.coalesce(F.col("hits") / F.least(F.lit(k), F.col("n")), F.lit(0.0)), 6).alias("precision"),
+    return n_gold.join(per, [query, "k"], "left").select(
+        query, *(["k"] if isinstance(k, list) else []), F.round(F.coalesce(F.col("hits") / F.least("k", "n"), F.lit(0.0)), 6).alias("precision"),
         F.round(z(F.col("hits")) / F.col("n_gold"), 6).alias("recall"), (z(F.col("hits")) > 0).cast("int").alias("hit"),
         F.round(F.coalesce(1.0 / F.col("best"), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
+def macro_average(per_query: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    return per_query.groupBy(*by).agg(F.count("*").alias("queries"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def precision_ceilings(gold: DataFrame, ks: list[int], query: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """(k, ceiling): the best mean precision that the number of gold items allows."""
+    n = gold.groupBy(query).agg(F.countDistinct(id_col).alias("n")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    return n.groupBy("k").agg(F.round(F.avg(F.least("n", "k") / F.col("k")), 6).alias("ceiling"))
+
+
+def name_metrics(run: DataFrame, expected: DataFrame, k: int, query: str = "query_id", name: str = "name") -> DataFrame:
+    """(query, hit, rr): names match if either holds the other, in lower case; hit within ``k``, reciprocal rank of the first match."""
+    e = expected.select(query, F.lower(name).alias("_e")).distinct()
+    r = run.select(query, "rank", F.lower(F.trim(name)).alias("_r"))
+    near = e.join(r, query, "left").withColumn("ok", F.col("_r").contains(F.col("_e")) | F.col("_e").contains(F.col("_r")))
+    best = F.min(F.when(F.col("ok"), F.col("rank")))
+    return near.groupBy(query).agg(F.coalesce((best <= k).cast("int"), F.lit(0)).alias("hit"), F.round(F.coalesce(1.0 / best, F.lit(0.0)), 6).alias("rr"))
+
+
+def keyword_coverage(text, keywords: list[str]):
+    """Share of the keywords that a text holds; 1 without keywords."""
+    if not keywords:
+        return F.lit(1.0)
+    return sum((F.when(F.lower(text).contains(k.lower()), 1).otherwise(0) for k in keywords), F.lit(0)) / len(keywords)
+
+
+def separation(df: DataFrame, by: list[str], score: str, inside) -> DataFrame:
+    """Whether a threshold parts scores inside from those outside: extremes, medians, margin, and the midpoint if it does."""
+    of = lambda f, c: f(F.when(c, F.col(score)))
+    out = ~inside
+    a = df.groupBy(*by).agg(
+        of(F.min, inside).alias("in_min"), of(F.avg, inside).alias("in_mean"), of(F.median, inside).alias("in_median"), of(F.max, inside).alias("in_max"),
+        of(F.min, out).alias("out_min"), of(F.avg, out).alias("out_mean"), of(F.median, out).alias("out_median"), of(F.max, out).alias("out_max"))
+    parts = F.col("in_min") > F.col("out_max")
+    r = [F.round(c, 4).alias(c) for c in ("in_min", "in_mean", "in_median", "in_max", "out_min", "out_mean", "out_median", "out_max")]
+    return a.select(*by, *r, F.coalesce(parts, F.lit(False)).alias("separable"), F.round(F.col("in_min") - F.col("out_max"), 4).alias("margin"), F.when(parts, F.round((F.col("in_min") + F.col("out_max")) / 2, 4)).alias("threshold"))
+
+
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, nearest-rank percentiles, extremes."""
     pct = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,45 @@ def degrees(edges: DataFrame) -> DataFrame:
     i = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return o.join(i, "node", "full").select("node", z("out_degree"), z("in_degree"))
+
+
+def node_id(kind: str, label: Column) -> Column:
+    return F.concat(F.lit(f"{kind}::"), F.lower(F.trim(label)))
+
+
+def case_graph(chunks: DataFrame, title: str, court: str, text: str, cite: str, provision: str) -> DataFrame:
+    """(src, dst, relation): cases decided by courts, citing citations, interpreting provisions; the first relation of a pair wins."""
+    case = node_id("Case", F.col(title))
+    found = lambda p, g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    edge = lambda src, dst, rel, o: F.struct(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("relation"), F.lit(o).alias("o"))
+    section = lambda x: F.concat(F.lit("section "), x["n"], F.lit(" of "), F.regexp_replace(x["a"], r"\s+", " "))
+    pairs = F.arrays_zip(found(provision, 1).alias("n"), found(provision, 2).alias("a"))
+    every = F.concat(
+        F.array(edge(case, node_id("Court", F.col(court)), "decided_by", 1)),
+        F.transform(found(cite, 0), lambda c: edge(case, node_id("Citation", c), "cites", 2)),
+        F.transform(pairs, lambda x: edge(case, node_id("Section", section(x)), "interprets", 3)))
+    return chunks.select(F.inline(every)).groupBy("src", "dst").agg(F.min_by("relation", "o").alias("relation"))
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    """(id, kind, label)."""
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    part = F.split("id", "::", 2)
+    return ids.select("id", part[0].alias("kind"), part[1].alias("label"))
+
+
+def cases_by_statute(edges: DataFrame, fragment: str) -> DataFrame:
+    """(section, cases): cases that interpret sections with the fragment in their label."""
+    hit = edges.where((F.col("relation") == "interprets") & F.col("dst").contains(fragment.lower()))
+    return hit.groupBy(F.col("dst").alias("section")).agg(F.countDistinct("src").alias("cases"))
+
+
+def seeds(edges: DataFrame, queries: DataFrame, id_col: str, text_col: str, longer_than: int = 3) -> DataFrame:
+    """(query id, id): cases and sections whose label holds a query's word of over ``longer_than`` letters.
+
+    Words meet labels by containment: distinct words against distinct labels, the words being a query's few.
+    """
+    words = queries.select(id_col, F.explode(F.split(F.lower(text_col), " ")).alias("word")).where(F.length("word") > longer_than).distinct()
+    n = nodes(edges).where(F.col("kind").isin("Case", "Section"))
+    hit = n.join(words.select("word").distinct(), F.col("label").contains(F.col("word"))).select("word", "id")
+    return words.join(hit, "word").select(id_col, "id").distinct()

@@ -21,11 +21,10 @@ def top_k(df: DataFrame, k: int, by: list[str], score: str, id_col: str) -> Data
 
 
 def fuse(ranked: DataFrame, by: list[str], source: str, score: str, id_col: str, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
-    """Weighted reciprocal rank fusion of (group, source, id, score)."""
+    """Weighted reciprocal rank fusion of (group, source, id, score); a source without a weight weighs 1."""
     w = Window.partitionBy(*by, source).orderBy(F.col(score).desc(), F.col(id_col))
     weight = F.lit(1.0)
     if weights is not None:
-        weight = F.lit(0.0)
         for name, value in weights.items():
             weight = F.when(F.col(source) == name, value).otherwise(weight)
     r = ranked.withColumn("r", F.row_number().over(w))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,45 @@ def slice_completion(built: DataFrame, stored: DataFrame, index: str, key: str,
 def upsert(stored: DataFrame, new: DataFrame, source: str) -> DataFrame:
     """Rows of the sources in ``new`` are replaced by the new rows."""
     return stored.join(new.select(source).distinct(), source, "left_anti").unionByName(new)
+
+
+def seen_reason(rows: DataFrame, seen: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """``reason``: the first key, in order, whose value ``seen`` has; nulls never count."""
+    out, reason = rows, F.lit(None).cast("string")
+    for k, (_, col) in enumerate(keys):
+        s = seen.select(F.col(col)).where(F.col(col).isNotNull()).distinct().withColumn(f"_s{k}", F.lit(True))
+        out = out.join(s, col, "left")
+    for k, (name, _) in reversed(list(enumerate(keys))):
+        reason = F.when(F.col(f"_s{k}"), name).otherwise(reason)
+    return out.withColumn("reason", reason).drop(*[f"_s{k}" for k in range(len(keys))])
+
+
+def pruned(manifest: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Entries whose key still exists."""
+    return manifest.join(existing.select(key).distinct(), key, "left_semi")
+
+
+def deleted(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return stored.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def path_key(url: Column) -> Column:
+    """The last three parts of a URL."""
+    return F.substring_index(url, "/", -3)
+
+
+def object_url(root: str, year: Column, path: Column) -> Column:
+    """Address of an object; null for a blank path."""
+    return F.when(F.trim(path) != "", F.concat_ws("/", F.lit(root), year, path))
+
+
+def cache_stats(log: DataFrame, prefix: str, hit: Column, item: str, alive: Column) -> DataFrame:
+    """Hits, misses (unknown counts as a miss) and live items of each prefix."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    h = F.coalesce(hit, F.lit(False))
+    return log.groupBy(F.col(prefix).alias("prefix")).agg(n(h).alias("hits"), n(~h).alias("misses"), F.countDistinct(F.when(alive, F.col(item))).alias("items"))
+
+
+def cache_key(prefix: str, **arguments: Column) -> Column:
+    """prefix:md5 of the arguments as JSON, in order of name."""
+    return F.concat(F.lit(prefix + ":"), F.md5(F.to_json(F.struct(*[arguments[k].alias(k) for k in sorted(arguments)]))))

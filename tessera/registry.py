@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, citations, evaluation, gate, graph, lexical, ranking, state
+from .operators import chunking, citations, evaluation, graph, lexical, ranking, state
+from .plans.base import ORACLE_SQL, QUERIES, query
+from .plans.base import fixture as _sql
 from .plans.fixtures import CHUNKS, EDGES, LEGAL
 from .sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
-    """A fixture from ``orders`` without a view of a shared name."""
-    return spark.sql(text.replace("from orders", "from {t}"), t=table(spark, d, "orders"))
-
-
 TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
 _BM25 = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') ts FROM documents),
@@ -58,7 +39,7 @@ def bm25_idf_table(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
-@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY 1")
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest([x FOR x IN regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') IF regexp_matches(x, '^[a-z0-9]+$')]) term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY 1")
 def term_statistics(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"), True)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
     return t.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
@@ -72,25 +53,24 @@ SELECT query_id, CAST(rank AS INTEGER) rank, vec_id, score FROM (SELECT *, row_n
 
 
 def _queries(spark, d):
-    """One query vector a label: the first of it."""
+    """Every hundredth vector asks."""
     v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qe"), F.min("vec_id").alias("query_id"))
-    return v, q.withColumnRenamed("label", "ql")
+    return v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
 
 
 def _cosine_top(v, q, cond):
-    # the queries are one row a label: their number is the number of labels
-    s = v.join(F.broadcast(q), cond).select("query_id", "vec_id", F.round(tx.cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    # a query set against all rows; Spark broadcasts it where its size allows
+    s = v.join(q, cond).select("query_id", "vec_id", F.round(tx.cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
     return ranking.top_k(s, 5, ["query_id"], "score", "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
-@query(_COS.format(cond="WHERE q.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"))
+@query(_COS.format(cond="WHERE q.vec_id % 100 = 0"))
 def cosine_topk(spark, d):
     v, q = _queries(spark, d)
     return _cosine_top(v, q, F.col("query_id") != F.col("vec_id"))
 
 
-@query(_COS.format(cond="AND q.label = c.label WHERE q.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"))
+@query(_COS.format(cond="AND q.label = c.label WHERE q.vec_id % 100 = 0"))
 def cosine_topk_label_filter(spark, d):
     v, q = _queries(spark, d)
     return _cosine_top(v, q, (F.col("query_id") != F.col("vec_id")) & (F.col("ql") == F.col("label")))
@@ -273,9 +253,9 @@ def upsert_by_source(spark, d):
     return state.upsert(x, new, "source").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"WITH l AS ({LEGAL}) SELECT id, array_to_string(list_sort(list_distinct([upper(x) FOR x IN regexp_extract_all(txt, '\\(\\d{{4}}\\)\\s+\\d+\\s+SCC\\s+\\d+')])), ';') AS cites, array_to_string(regexp_extract_all(txt, '(?i)section\\s+(\\d+[A-Z]?)', 1), ',') AS sections FROM l")
+@query(f"WITH l AS ({LEGAL}) SELECT id, array_to_string(list_sort(list_distinct([upper(x) FOR x IN regexp_extract_all(txt, '\\(\\d{{4}}\\)\\s*\\d+\\s*SCC\\s*\\d+')])), ';') AS cites, array_to_string(regexp_extract_all(txt, '(?i)section\\s+(\\d+[A-Z]?)', 1), ',') AS sections FROM l")
 def citation_extract(spark, d):
-    return _sql(spark, d, LEGAL).select("id", F.array_join(citations.cited(F.col("txt")), ";").alias("cites"), F.array_join(citations.sections(F.col("txt")), ",").alias("sections"))
+    return _sql(spark, d, LEGAL).select("id", F.array_join(citations.legal.citations(F.col("txt")), ";").alias("cites"), F.array_join(citations.sections(F.col("txt")), ",").alias("sections"))
 
 
 @query(f"WITH l AS ({LEGAL}), x AS (SELECT DISTINCT case_no, unnest(regexp_extract_all(txt, '(?i)section\\s+(\\d+[A-Z]?)', 1)) section FROM l) SELECT section, count(*) AS n_cases, min(case_no) AS first_case FROM x GROUP BY 1")
@@ -284,12 +264,6 @@ def cross_references(spark, d):
     return x.groupBy("section").agg(F.count("*").alias("n_cases"), F.min("case_no").alias("first_case"))
 
 
-@query(f"WITH l AS ({LEGAL}), t AS (SELECT *, CASE WHEN contains(lower(txt), 'overruled') THEN 'overruled' WHEN contains(lower(txt), 'reversed') THEN 'reversed' WHEN contains(lower(txt), 'distinguished') THEN 'distinguished' WHEN contains(lower(txt), 'per incuriam') THEN 'per_incuriam' WHEN contains(lower(txt), 'followed') THEN 'followed' ELSE 'good_law' END status FROM l) SELECT case_no, status, yr, id FROM (SELECT *, row_number() OVER (PARTITION BY case_no ORDER BY (status <> 'good_law') DESC, yr DESC, id) k FROM t) WHERE k = 1")
-def treatment_status(spark, d):
-    t = _sql(spark, d, LEGAL).withColumn("status", citations.treatment(F.col("txt")))
-    return ranking.first_per_key(t, ["case_no"], [(F.col("status") != "good_law").desc(), F.col("yr").desc(), F.col("id")]).select("case_no", "status", "yr", "id")
-
-
 @query(f"WITH c AS ({CHUNKS}), f AS (SELECT *, row_number() OVER (PARTITION BY case_no ORDER BY chunk_id) k FROM c) SELECT case_no, chunk_id, court, yr, CAST(row_number() OVER (ORDER BY yr, case_no) AS INTEGER) AS place FROM f WHERE k = 1")
 def timeline(spark, d):
     f = ranking.first_per_key(_sql(spark, d, CHUNKS), ["case_no"], [F.col("chunk_id")])
@@ -313,12 +287,6 @@ def graph_histogram(spark, d):
     return _sql(spark, d, CHUNKS).groupBy("court", "section_type").agg(F.count("*").alias("n"), F.countDistinct("case_no").alias("cases"))
 
 
-@query(f"""WITH c AS ({CHUNKS}), a AS (SELECT case_no query_id, max(score) top, count(*) FILTER (WHERE score >= 0.486) n_support, list_sort(list(score), 'DESC') s FROM c GROUP BY 1)
-SELECT query_id, round(top, 6) top, round(top - coalesce(s[2], 0.0), 6) margin, n_support, top < 0.40 OR n_support < 1 AS abstain, CASE WHEN top < 0.40 OR n_support < 1 THEN 'none' WHEN top >= 0.586 THEN 'high' ELSE 'medium' END confidence FROM a""")
-def abstain_assess(spark, d):
-    return gate.assess(_sql(spark, d, CHUNKS).withColumnRenamed("case_no", "query_id"))
-
-
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) w FROM conversations)
 SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS overlap FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def token_overlap(spark, d):
@@ -347,3 +315,7 @@ def plan_strata(spark, d):
     total = o.agg(F.sum("outstanding").alias("total"))
     share = F.when(F.col("total") > 200, F.floor(F.col("outstanding") * (200.0 / F.col("total")))).otherwise(F.col("outstanding"))
     return o.join(F.broadcast(total)).select("source", "outstanding", share.cast("long").alias("planned"))
+
+
+# the themes register their own queries
+from .catalog import asking, corpus, documents, evidence, measures  # noqa: E402, F401

@@ -2,27 +2,107 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import text as tx
-from tessera.operators import chunking, evaluation, gate, graph, ranking, state
+from tessera.operators import chunking, citations, evaluation, gate, graph, ranking, selection, state, statutes
+from tessera.sources import tables
+from tessera.streaming import files
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_rows_equal_sql(spark, name):
-    got = registry.QUERIES[name](spark, SF).toPandas()
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
-    want = con.execute(registry.ORACLE_SQL[name]).df()
+    return con
+
+
+def plain(frame, cols):
+    text = lambda v: f"{v:.6f}" if isinstance(v, float) else "" if v is None or v is pd.NA else str(v)
+    return sorted([text(v) for v in r] for r in frame[cols].astype(object).values.tolist())
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_rows_equal_sql(spark, duck, name):
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    plain = lambda p: sorted([f"{v:.6f}" if isinstance(v, float) else str(v) for v in r] for r in p[cols].astype(object).values.tolist())
-    assert plain(got) == plain(want)
+    assert plain(got, cols) == plain(want, cols)
+
+
+def test_queries_without_sql_run(spark):
+    for name in sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)):
+        assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_duplicates_close_up(spark):
+    run = spark.createDataFrame([(1, 1, "A"), (1, 2, "A"), (1, 3, "B")], "query_id int, rank int, doc_id string")
+    r = evaluation.metrics_at(run, spark.createDataFrame([(1, "B")], "query_id int, doc_id string"), 2).first()
+    assert (r.precision, r.hit, r.rr, r.ndcg) == (0.5, 1, 0.5, round(1 / math.log2(3), 6))
+
+
+def test_a_source_without_a_weight_weighs_one(spark):
+    df = spark.createDataFrame([(1, "a", 7, 0.5), (1, "b", 7, 0.1)], "q int, source string, id int, score double")
+    assert ranking.fuse(df, ["q"], "source", "score", "id", {"a": 0.5}).first().fused == round(1.5 / 61, 9)
+
+
+def test_statute_sections_of_a_text():
+    text = "CHAPTER II\nOf things\n1. Title one.--Body one.\n2.\nNext title\n2. Next title.--Body two, see s. 1.\nOf other things\n1. Subs. by Act 27 of 1870.--x\n3. Rep. by Act 4.--y\n1*[4. Acts done.--[Old words.] Rep. by Act 3."
+    got = statutes.openers(text)
+    assert [(r["section"], r["title"], r["chapter"]) for r in got] == [("1", "Title one", "CHAPTER II"), ("2", "Next title", "CHAPTER II"), ("4", "Acts done", "CHAPTER II")]
+    assert got[0]["text"] == "Body one." and got[2]["repealed"]
+
+
+def test_sections_belong_to_the_nearest_statute():
+    text = "Under Sections 302, 34 and 120B of the Indian Penal Code. Clause 3 of the notification and section 5 of that circular. Section 27 of the Evidence Act; s. 27 again."
+    assert citations.attribute(text) == (["IPC 302", "IPC 34", "IPC 120B", "Evidence 27"], ["5"])
+
+
+def test_short_citations_take_the_window(spark):
+    df = spark.createDataFrame([(1, 1, "(2017) 10 SCC 1 and AIR 1999 SC 5"), (1, 2, "see ibid.4 and supra"), (1, 3, "ante"), (2, 1, "id. alone")], "doc int, n int, t string")
+    got = sorted((r.doc, r.n, r.label, r.resolved) for r in citations.resolve_chunks(df, "doc", "n", "t").collect())
+    assert got == [(1, 2, "ibid.", "air 1999 sc 5"), (1, 2, "supra", "puttaswamy_2017"), (1, 3, "ante", "puttaswamy_2017")]
+
+
+def test_two_matched_for_one_other(spark):
+    df = spark.range(9).withColumn("m", F.col("id") < 6)
+    got = [r.m for r in selection.interleave(df, F.col("m"), "id").orderBy("place").collect()]
+    assert got == [True, True, False] * 3
+
+
+def test_packing_carries_a_sentence(spark):
+    df = spark.createDataFrame([(["a b c", "d e", "f g h", "i"],)], "s array<string>")
+    assert df.select(chunking.packed(F.col("s"), 5)).first()[0] == ["a b c d e", "d e f g h", "f g h i"]
+
+
+def test_chapter_in_force_and_running_lines(spark):
+    s = spark.createDataFrame([("x", 5, "1"), ("x", 25, "2")], "doc string, at int, section string")
+    c = spark.createDataFrame([("x", 10, "CHAPTER I"), ("x", 20, "CHAPTER II")], "doc string, at int, chapter string")
+    assert sorted((r.section, r.chapter) for r in statutes.chapters_in_force(s, c, "doc", "at", "chapter").collect()) == [("1", ""), ("2", "CHAPTER II")]
+    pages = spark.createDataFrame([("d", f"Running head\nbody {i}") for i in range(4)], "doc string, t string")
+    assert [(r.place, r.line) for r in chunking.running_lines(pages, "doc", "t").collect()] == [("first", "Running head")]
+    assert pages.select(chunking.without_lines(F.col("t"), F.array(F.lit("Running head")))).first()[0] == "\nbody 0"
+
+
+def test_files_and_streams(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text('{"id": 1, "t": "u"}')
+    (tmp_path / "a" / "y.json").write_text("{broken")
+    got = tables.json_documents(spark, str(tmp_path / "a"), "id int, t string").collect()
+    assert sorted((r.id is None, r._corrupt is None) for r in got) == [(False, True), (True, False)]
+    (tmp_path / "p.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "q.pdf").write_bytes(b"<html>")
+    assert sorted(r.is_pdf for r in tables.binaries(spark, str(tmp_path)).collect()) == [False, True]
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string").write.parquet(str(tmp_path / "in"))
+    seen = []
+    files.ingest(spark, str(tmp_path / "in"), "k int, v string", "k", str(tmp_path / "ck"), lambda df, n: seen.extend(r.k for r in df.collect())).awaitTermination()
+    assert sorted(seen) == [1, 2]
 
 
 def test_ndcg_by_hand(spark):
@@ -51,9 +131,13 @@ def test_windows_cover_and_stop(spark):
 
 
 def test_abstention_thresholds(spark):
-    df = spark.createDataFrame([(1, 0.46), (1, 0.458), (2, 0.8), (2, 0.7)], "query_id int, score double")
-    got = {r.query_id: (r.abstain, r.confidence) for r in gate.assess(df).collect()}
-    assert got == {1: (True, "none"), 2: (False, "high")}
+    hits = spark.createDataFrame([(1, 0.46, "IPC", "1"), (1, 0.458, "IPC", "2"), (1, 0.457, "BNS", "3"), (2, 0.8, "IPC", "1"), (2, 0.7, "IPC", "2"), (2, 0.65, "IPC", "3"), (3, 0.42, "IPC", "420"), (4, 0.9, "BNS", "5"), (5, 0.55, "IPC", "9")], "query_id int, score double, law string, section string")
+    asked = spark.createDataFrame([(1, None, None), (2, None, None), (3, "IPC", "420"), (4, "IPC", None), (5, "IPC", "10"), (6, None, None)], "query_id int, law string, section string")
+    got = {r.query_id: r for r in gate.assess(hits, asked).collect()}
+    assert {k: (r.abstain, r.confidence) for k, r in got.items()} == {1: (True, "none"), 2: (False, "high"), 3: (False, "high"), 4: (True, "none"), 5: (False, "low"), 6: (True, "none")}
+    assert got[2].margin == 0.15 and got[1].indistinct and got[5].margin == 0.55
+    allowed = {r.query_id: r.reason for r in gate.gate(gate.assess(hits, asked)).collect()}
+    assert allowed == {1: "abstention advised", 2: "sufficient", 3: "sufficient", 4: "abstention advised", 5: "sufficient", 6: "no evidence"}
 
 
 def test_upsert_twice_is_once(spark):
