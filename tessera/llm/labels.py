@@ -17,12 +17,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, mos
     """(doc_id, text, y) of at most ``most`` labelled rows that may be learnt from, drawn by a hash of the id.
 
     Rows without a label, with other labels than 0 and 1, or without an id take no part; an id with several
-    labels or texts is drawn with each.
+    labels is drawn with each, with the least of its texts: at most ``most`` rows come to the driver.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(fit_on).select("doc_id", F.col(label).cast("int").alias("y"))
     drawn = y.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     size = drawn.count()  # at most ``most`` rows: a bounded broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn) if size <= most else drawn, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn) if size <= most else drawn, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     out = rows.toPandas().sort_values(["doc_id", "y"], kind="stable").reset_index(drop=True)
     out["text"] = out["text"].fillna("")
     return out

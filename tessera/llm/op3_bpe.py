@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import prepare, table
 
 #: Characters of words and pieces that a task remembers; beyond it starts anew (bounded memory, same ids).
-REMEMBERED = 4 << 20
+REMEMBERED = 8 << 20
 #: Characters that are encoded together, and go out together.
 SLICE = 1 << 20
 SEP = (1 << 31) - 1

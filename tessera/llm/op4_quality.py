@@ -93,6 +93,7 @@ def fit(features: list, y: np.ndarray, seed: int = 7):
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(N_FEATURES), rng.normal(0, 0.02, (N_FEATURES, RANK)), 0.0
     if len(y) == 0:
+        v[:] = 0
         return w0, w.astype(np.float32), v.astype(np.float32)
     w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     gw, gv, g0 = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, RANK), 1e-6), 1e-6

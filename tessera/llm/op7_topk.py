@@ -11,8 +11,8 @@ is the same for all queries of one sign.
 Candidates and queries meet block by block (a grid of query blocks x candidate blocks), never row by row, and each
 meeting returns k rows a query at most.
 
-Defined cases: vectors that are null, of another length than the most common one of the table, or hold null or non-finite
-components take no part, as query or candidate; equal scores rank by the smaller id; a repeated id is kept as separate candidates,
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate; a query meets
+vectors of its own length only; equal scores rank by the smaller id; a repeated id is kept as separate candidates,
 and no row with the query's own id is a candidate of it; fewer than k candidates give fewer rows; empty tables
 give no rows; other columns are ignored.
 """
