@@ -9,5 +9,5 @@ HELD = "select distinct case p_partkey % 2 when 0 then 'IPC' else 'BNS' end as s
 ANSWERS = """select o_orderkey as id, case o_orderkey % 11 when 10 then '' when 9 then 'The retrieved legal sources do not contain sufficient information to answer this question.' else concat('Under section ', cast(100 + o_custkey % 7 as string), ' IPC ', case o_orderkey % 6 when 0 then 'imprisonment for a term up to ten years' when 1 then 'the punishment extends to seven years and fine of Rs. 5,000' when 2 then 'life imprisonment' when 3 then 'see (2010) 4 SCC 350' when 4 then 'see AIR 1973 SC 1461 and Ram Lal v. State Kumar' else 'the Indian Penal Code applies' end, '. ', case o_orderkey % 4 when 0 then 'Also [2018] 14 S.C.R. 828.' when 1 then '2023 INSC 590 is cited.' when 2 then 'The NDPS Act is not relevant.' else '' end) end as answer, concat('Section ', cast(100 + o_custkey % 5 as string), case o_custkey % 5 when 0 then ' may extend to seven years, and fine of rupees 5000' when 1 then ' ten years; imprisonment for life. AIR 1973 SC 1461' when 2 then ' in (2010) 4 SCC 350 Ram Lal and State Kumar met under the Indian Penal Code' when 3 then ' extended the tenor of the [2018] 14 S.C.R. 828 NDPS Act' else ' nothing here' end) as context from orders"""
 HITS = "select o_custkey as query_id, o_orderkey as chunk_id, o_totalprice / 600000 as score, case o_orderkey % 5 when 0 then 'IPC' else 'BNS' end as law, cast(o_orderkey % 40 as string) as section from orders"
 CHOICES = "select o_custkey as query_id, case o_custkey % 3 when 0 then 'IPC' when 1 then 'BNS' else null end as law, case o_custkey % 4 when 0 then cast(o_custkey % 40 as string) else null end as section from orders group by 1, 2, 3"
-JUDGMENTS = """select o_orderkey as id, o_custkey % 97 as case_no, cast(year(o_orderdate) as int) as yr, case o_orderkey % 4 when 0 then 'SUPREME COURT OF INDIA' when 1 then 'HIGH COURT OF DELHI' when 2 then 'CONSUMER FORUM, NEW DELHI' else 'Court of Session. it was ARGUED' end as court, concat('Case ', cast(o_custkey % 97 as string), ' v. State') as title, case o_orderkey % 6 when 0 then 'KEY_POINTS' when 1 then 'reasoning' when 2 then 'ORDER' when 3 then 'FACTS' when 4 then 'REASONING' else 'ISSUES' end as section, case o_orderkey % 5 when 0 then concat('12 March ', cast(year(o_orderdate) as string)) when 1 then 'undated' when 2 then '' else cast(year(o_orderdate) as string) end as dated, concat('In Ram Kumar v. State Of Kerala (', cast(year(o_orderdate) as string), ')', cast(1 + o_orderkey % 9 as string), 'SCC', cast(100 + o_orderkey % 900 as string), ' at p. ', cast(1 + o_orderkey % 50 as string), chr(10), cast(1 + o_orderkey % 30 as string), '. The accused was convicted under Section ', cast(290 + o_orderkey % 20 as string), ' of the Indian Penal Code; see Para ', cast(o_orderkey % 70 as string), ' and [', cast(o_orderkey % 9 as string), '] AIR ', cast(year(o_orderdate) as string), ' SC ', cast(o_orderkey % 500 as string), '. ', case o_orderkey % 9 when 0 then 'It was held that the order is set aside.' when 1 then 'The appeal stands overruled; murder and bail.' when 2 then 'We hold the decision is approved under the Evidence Act.' when 3 then 'However the facts are different; NDPS and theft.' when 4 then 'Decided without noticing the doctrine of mens rea.' when 5 then 'Upheld. The duty and right to life, per incuriam.' when 6 then '[2001] 2 AC 17 and MANU/SC/12/1999; dying declaration under section 27 of the Evidence Act.' when 7 then 'The BNS and BNSS are new, ex parte, prima facie.' else 'Nothing more.' end) as txt from orders"""
+JUDGMENTS = """select o_orderkey as id, o_custkey % 97 as case_no, cast(year(o_orderdate) as int) as yr, case o_orderkey % 4 when 0 then 'SUPREME COURT OF INDIA' when 1 then 'HIGH COURT OF DELHI' when 2 then 'CONSUMER FORUM, NEW DELHI' else 'Court of Session. it was ARGUED' end as court, concat('Case ', cast(o_custkey % 97 as string), ' v. State') as title, case o_orderkey % 6 when 0 then 'KEY_POINTS' when 1 then 'reasoning' when 2 then 'ORDER' when 3 then 'FACTS' when 4 then 'REASONING' else 'ISSUES' end as section, case o_orderkey % 5 when 0 then concat('12 March ', cast(year(o_orderdate) as string)) when 1 then 'undated' when 2 then '' else cast(year(o_orderdate) as string) end as dated, concat('In Ram Kumar v. State Of Kerala (', cast(year(o_orderdate) as string), ')', cast(1 + o_orderkey % 9 as string), 'SCC', cast(100 + o_orderkey % 900 as string), ' at p. ', cast(1 + o_orderkey % 50 as string), chr(10), cast(1 + o_orderkey % 30 as string), '. The accused was convicted under Section ', cast(290 + o_orderkey % 20 as string), ' of the Indian Penal Code; see Para ', cast(o_orderkey % 70 as string), ' and [', cast(o_orderkey % 9 as string), '] AIR ', cast(year(o_orderdate) as string), ' SC ', cast(o_orderkey % 500 as string), '. ', case o_orderkey % 9 when 0 then 'It was held that the order is set aside.' when 1 then 'The appeal stands overruled; murder and bail.' when 2 then 'We hold the decision is approved under the Evidence Act.' when 3 then 'However the facts are different; NDPS and theft.' when 4 then 'Decided without noticing the doctrine of mens rea.' when 5 then 'Upheld. The duty and right to life, per incuriam.' when 6 then '[2001] 2 AC 17 and MANU/SC/12/1999; dying declaration under section 27 of the Evidence Act.' when 7 then 'The BNS and BNSS are new, ex parte, prima facie, therefore invalid.' else 'Nothing more.' end) as txt from orders"""
 LAWS = """select p_partkey as ord, case p_partkey % 2 when 0 then 'IPC' else 'BNS' end as document, concat(cast(1 + p_partkey % 500 as string), case p_partkey % 7 when 0 then 'A' else '' end) as section, p_name as title, case p_partkey % 11 when 0 then '  ' when 1 then 'Rep. by Act 4 of 1898' else concat('Whoever does ', p_type, '; shall be punished. Explanation: ', p_brand, ' is meant.') end as txt from part"""
