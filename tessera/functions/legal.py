@@ -133,7 +133,7 @@ def provisions(text: Column) -> Column:
 def case_names(text: Column) -> Column:
     """Names of parties either side of "v.", each side of six to 59 characters."""
     clean = F.transform(found(text, PARTIES), lambda m: F.regexp_replace(one_line(m), r"(?i)^(?:In|See|Re|Also|The)\s+", ""))
-    sides = lambda m: F.filter(F.transform(F.split(m, r"(?i)\s+v\.?\s+"), F.trim), lambda s: s != "")
+    sides = lambda m: F.filter(F.transform(F.split(m, r"(?i)\s+v\.?\s+"), lambda x: F.trim(x)), lambda s: s != "")
     ok = lambda m: (m.contains(" v.") | m.contains(" v ") | m.contains(" V.")) & F.forall(sides(m), lambda s: (F.length(s) > 5) & (F.length(s) < 60))
     return F.array_sort(F.array_distinct(F.filter(clean, ok)))
 

@@ -152,4 +152,10 @@ def cleaned(text: Column, unicode: bool = True) -> Column:
 def source_text(text: Column) -> Column:
     """Soft hyphens dropped, no-break blanks plain, lines trimmed, blank lines dropped."""
     plain = F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), "\u00a0", " ")
-    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of distinct items; 0 if either is empty."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)))

@@ -46,7 +46,7 @@ def without_lines(text: Column, lines: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end in .;: before white space and a capital or a bracket."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+(?=[A-Z(\[])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+(?=[A-Z(\[])"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def guarded(sections: DataFrame, section: str, text: str, meta: str = "CASE_METADATA", most: int = 300, least_words: int = 5) -> DataFrame:
@@ -88,6 +88,31 @@ def packed(parts: Column, most: int, carry: int = 1) -> Column:
     return F.aggregate(parts, state, step, lambda acc: F.transform(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.array_join(p, " ")))
 
 
+def packed_passages(parts: Column, most: int, carry_words: int) -> Column:
+    """As ``packed``, but a passage begins with as many of the last sentences as it takes to reach ``carry_words`` words."""
+    size = lambda s: F.size(words(s))
+    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+
+    def tail_of(now):
+        begin = F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).alias("n"))
+        return F.aggregate(F.reverse(now), begin, lambda a, s: F.when(a["n"] >= carry_words, a).otherwise(F.struct(F.concat(F.array(s), a["t"]).alias("t"), (a["n"] + size(s)).alias("n"))))
+
+    def step(acc, s):
+        full = (F.size(acc["now"]) > 0) & (acc["n"] + size(s) > most)
+        tail = tail_of(acc["now"])
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.concat(F.when(full, tail["t"]).otherwise(acc["now"]), F.array(s)).alias("now"), (F.when(full, tail["n"]).otherwise(acc["n"]) + size(s)).alias("n"))
+
+    return F.aggregate(parts, state, step, lambda acc: F.transform(F.filter(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.size(p) > 0), lambda p: F.array_join(p, " ")))
+
+
+def passages(docs: DataFrame, keep: list[str], text: str, most: int = 220, carry_words: int = 40) -> DataFrame:
+    """(keep, idx, text, n_words): passages of whole sentences."""
+    p = docs.select(*keep, F.posexplode(packed_passages(sentences(F.col(text)), most, carry_words)).alias("idx", "text"))
+    return p.withColumn("n_words", F.size(words(F.col("text"))))
+
+
 def section_split(sections: DataFrame, keep: list[str], most: int = 220) -> DataFrame:
     """A section in pieces of whole sentences, the heading before each."""
     h = _headed(sections)

@@ -53,3 +53,21 @@ def promote(hits: DataFrame, query: str, flag: Column, rank: str, id_col: str) -
     """Flagged hits first, each part in its order."""
     w = Window.partitionBy(query).orderBy(flag.cast("int").desc(), F.col(rank), F.col(id_col))
     return hits.withColumn("new_rank", F.row_number().over(w))
+
+
+def passage_boost(kind: Column) -> Column:
+    """Holdings gain 15 %, remarks in passing lose 10 %."""
+    return F.when(kind == "ratio", 1.15).when(kind == "obiter", 0.90).otherwise(1.0)
+
+
+def hybrid(ranked: DataFrame, courts: DataFrame, query: str, depth: dict[str, int], weights: dict[str, float], k: int) -> DataFrame:
+    """(query, chunk_id, score, rank): each source's best hits fused by weighted reciprocal ranks, times the court's multiplier.
+
+    Each source is cut to its own depth before anything moves for the fusion.
+    """
+    w = Window.partitionBy(query, "source").orderBy(F.col("score").desc(), F.col("chunk_id"))
+    limits = F.create_map(*[F.lit(x) for kv in depth.items() for x in kv])
+    cut = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limits[F.col("source")]).drop("_r")
+    f = fuse(cut, [query], "source", "score", "chunk_id", weights)
+    s = f.join(courts, "chunk_id").withColumn("score", F.round(F.col("fused") * court_multiplier(F.col("court")), 9))
+    return top_k(s, k, [query], "score", "chunk_id").select(query, "chunk_id", "score", "rank")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.functions import text as tx
-from tessera.operators import chunking, citations, evaluation, gate, graph, ranking, selection, state, statutes
-from tessera.sources import tables
+from tessera.operators import chunking, citations, evaluation, gate, graph, joins, ranking, selection, state, statutes
+from tessera.sources import nested, tables
 from tessera.streaming import files
 
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,31 @@ def test_files_and_streams(spark, tmp_path):
     assert sorted(seen) == [1, 2]
 
 
+def test_passages_carry_forty_words(spark):
+    df = spark.createDataFrame([(["a " * 30, "b " * 30, "c " * 15, "d " * 30],)], "s array<string>").select(F.transform("s", lambda x: F.trim(x)).alias("s"))
+    got = df.select(chunking.packed_passages(F.col("s"), 80, 40)).first()[0]
+    assert [[x[0] for x in p.split(" ")][::15] for p in got] == [["a", "a", "b", "b", "c"], ["b", "b", "c", "d", "d"]]
+
+
+def test_nearest_looks_both_ways(spark):
+    left = spark.createDataFrame([("k", 5, "p"), ("k", 12, "q"), ("k", 90, "r"), ("z", 1, "s")], "k string, at long, id string")
+    right = spark.createDataFrame([("k", 0, "A"), ("k", 10, "B")], "k string, at long, v string")
+    got = {r.id: r.v for r in joins.nearest(left, right, ["k"], "at", "v", 20).collect()}
+    assert got == {"p": "A", "q": "B", "r": None, "s": None}
+
+
+def test_nested_tables(spark, tmp_path):
+    assert nested.existing(spark, str(tmp_path / "no"), "a int").count() == 0
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, p string")
+    nested.save(df, str(tmp_path / "t"), ["p"])
+    nested.save(spark.createDataFrame([(9, "y")], "a int, p string"), str(tmp_path / "t"), ["p"])
+    assert sorted((r.a, r.p) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "x"), (9, "y")]
+    (tmp_path / "h.jsonl").write_text('{"a": 1}\nnope\n{"a": 2}\n')
+    assert sorted(r.a for r in nested.history(spark, str(tmp_path / "h.jsonl"), "a int").collect()) == [1, 2]
+    bad = spark.createDataFrame([(1, None, [])], "id int, metadata struct<title: string>, pages array<struct<page_number: int, chunks: array<struct<text: string>>>>")
+    assert nested.flatten(bad).count() == 0
+
+
 def test_ndcg_by_hand(spark):
     run = spark.createDataFrame([(1, 1, "C"), (1, 2, "A")], "query_id int, rank int, doc_id string")
     gold = spark.createDataFrame([(1, "A"), (2, "B")], "query_id int, doc_id string")
