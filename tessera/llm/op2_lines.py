@@ -96,17 +96,23 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
     length = np.bincount(owner, minlength=len(lines))
     size = length.copy()
     long = length >= THRESHOLD * FEW  # no repetition matters below
-    every = bool(long.all())
-    if every or long.any():
-        bits = int(len(lines)).bit_length()
-        x, own = (h, owner) if every else (h[(use := long[owner])], owner[use])
-        x = own.astype(U) << U(64 - bits) | x >> U(bits)
-        x.sort()
-        new = np.empty(len(x), dtype=bool)
-        new[0] = True
-        np.not_equal(x[1:], x[:-1], out=new[1:])
-        seen = np.cumsum(new)[np.cumsum(length[long]) - 1]
-        size[long] = np.diff(seen, prepend=0)
+    if long.any():
+        # over FEW of a line's 1,024 cells in use: more elements than FEW, however many; else they are counted
+        pick = np.flatnonzero(long)
+        x = h if len(pick) == len(lines) else h[long[owner]]
+        row = np.repeat(np.arange(len(pick)), length[pick])
+        cell = np.zeros(len(pick) << 10, dtype=bool)
+        cell[(row << 10) + (x & U(1023)).view(np.int64)] = True
+        sure = cell.reshape(-1, 1024).sum(1) > FEW
+        if not sure.all():
+            ask = ~sure[row]
+            bits = int(len(pick)).bit_length()
+            y = row[ask].astype(U) << U(64 - bits) | x[ask] >> U(bits)
+            y.sort()
+            new = np.ones(len(y), dtype=bool)
+            new[1:] = y[1:] != y[:-1]
+            seen = np.cumsum(new)[np.cumsum(length[pick[~sure]]) - 1]
+            size[pick[~sure]] = np.diff(seen, prepend=0)
     out = []
     small, large = size <= FEW, size >= THRESHOLD * FEW
     few = np.flatnonzero(small)
@@ -127,9 +133,9 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
     many = np.flatnonzero(large)
     if len(many):
         x = h if large.all() else h[large[owner]]
-        own = np.repeat(np.arange(len(many)), length[many])
         fill = np.full(len(many) * registers, EMPTY, dtype=U)
-        np.minimum.at(fill, own * registers + ((x >> U(40)) * U(registers) >> U(24)).astype(np.int64), x & U((1 << 40) - 1))
+        slot = (x >> U(40)).astype(np.uint32) * np.uint32(registers) >> np.uint32(24)
+        np.minimum.at(fill, np.repeat(np.arange(len(many)) * registers, length[many]) + slot, x & U((1 << 40) - 1))
         fill = fill.reshape(-1, registers)
         full, hole, attempt = fill.copy(), fill == EMPTY, 0
         while hole.any():
