@@ -2,7 +2,7 @@
 
 LEGAL = """select o_orderkey as id, o_custkey % 97 as case_no, concat('Appeal ', cast(o_orderkey as string), ' under Section ', cast(100 + o_custkey % 411 as string), ' of the Indian Penal Code read with section ', cast(1 + o_orderkey % 40 as string), '. See (', cast(year(o_orderdate) as string), ') ', cast(1 + o_orderkey % 9 as string), ' SCC ', cast(100 + o_orderkey % 900 as string), case o_orderkey % 5 when 0 then '. That decision stands overruled.' when 1 then '. It was distinguished.' when 2 then '. It was followed and approved.' when 3 then '. Ibid. The appeal is dismissed.' else '.' end) as txt, cast(year(o_orderdate) as int) as yr from orders"""
 CHUNKS = """select o_orderkey as chunk_id, o_custkey % 97 as case_no, case o_orderkey % 4 when 0 then 'SUPREME COURT OF INDIA' when 1 then 'DELHI HIGH COURT' when 2 then 'BOMBAY HIGH COURT' else 'DISTRICT COURT, PUNE' end as court, case o_orderkey % 3 when 0 then 'ratio' when 1 then 'obiter' else 'facts' end as section_type, cast(year(o_orderdate) as int) as yr, o_orderpriority as priority, o_totalprice / 600000 as score from orders"""
-EDGES = "select distinct o_custkey % 50 as src, (o_custkey * 7 + o_orderkey) % 50 as dst from orders where o_orderkey % 3 = 0"
+EDGES = "select distinct o_custkey as src, o_orderkey % (o_custkey + 1) as dst from orders"
 
 ASK = """select o_orderkey as id, case o_orderkey % 13 when 0 then concat('What is IPC ', cast(1 + o_custkey % 600 as string), '?') when 1 then concat('Explain section ', cast(1 + o_custkey % 600 as string), 'A of the BNS') when 2 then 'Compare the Indian Penal Code and the Bharatiya Nyaya Sanhita' when 3 then 'How do I apply for a passport?' when 4 then concat('u/s ', cast(1 + o_custkey % 90 as string), ' IPC: which cases decided it?') when 5 then concat('Does section ', cast(1 + o_custkey % 700 as string), ' of the CrPC matter?') when 6 then 'What does the Evidence Act say about a dying declaration?' when 7 then concat('Is it an offence under section ', cast(1 + o_custkey % 500 as string), '?') when 8 then concat('BNS ', cast(1 + o_custkey % 400 as string), ' and IPC section ', cast(1 + o_custkey % 300 as string)) when 9 then 'theft of a bicycle' when 10 then concat('NDPS section ', cast(20 + o_custkey % 9 as string), ' and POCSO') when 11 then 'penal code punishment for cheating, whether liable' else 'Nyaya Sanhita landmark judgment on murder' end as txt, case o_orderkey % 7 when 0 then 'ipc' when 1 then ' BNS ' when 2 then 'both' when 3 then 'other' else null end as override from orders"""
 HELD = "select distinct case p_partkey % 2 when 0 then 'IPC' else 'BNS' end as statute, cast(p_partkey % 512 as string) as section from part"
