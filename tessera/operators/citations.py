@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from bisect import bisect_left
 
 import pandas as pd
@@ -119,3 +120,45 @@ def resolve_chunks(chunks: DataFrame, doc: str, order: str, text: str) -> DataFr
     s = j.select(doc, order, "own", F.coalesce("recent", F.array().cast("array<string>")).alias("recent"), F.explode("short").alias("label"))
     out = resolve_short(F.lower(F.regexp_replace("label", r"\.", "")), F.col("recent"), F.col("own"))
     return s.select(doc, order, "label", out.alias("resolved")).where("resolved is not null").distinct()
+
+
+#: Characters from the start of a case's name to a citation that is still of it.
+NAME_REACH = 200
+# Short forms, in order.
+SHORT_FORMS = {"ibid": r"\bibid\.?\b", "id": r"\bid\.?\b", "supra": r"\bsupra\b"}
+_cites = [re.compile(p) for p in legal.CITATION_FORMATS]
+_parties = re.compile(legal.PARTIES)
+_shorts = {n: re.compile(p, re.I) for n, p in SHORT_FORMS.items()}
+
+
+def link_citations(text: str, name: str | None) -> list[tuple[str, str | None, str | None]]:
+    """(citation, case, short form): each citation with the case named last before it, within NAME_REACH, else with the case linked before; formats in their order."""
+    line = lambda m: re.sub(r"\s+", " ", m.group()).strip()
+    named = list(_parties.finditer(text))
+    starts = [m.start() for m in named]
+    out: dict[tuple[str, str], tuple[str | None, str | None]] = {}
+    for m in (m for p in _cites for m in p.finditer(text)):
+        k = bisect_right(starts, m.start()) - 1
+        case = line(named[k]) if k >= 0 and m.start() - starts[k] < NAME_REACH else name
+        if (case or "", line(m).upper()) not in out:
+            out[case or "", line(m).upper()] = case, None
+            name = case or name
+    if name:
+        for label, p in _shorts.items():
+            for m in p.finditer(text):
+                out.setdefault((name, m.group().upper()), (name, label))
+    return [(cite, case, label) for (_, cite), (case, label) in out.items()]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("citation", "case_name", "resolved_from")])))
+def _linked(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([[{"citation": c, "case_name": n, "resolved_from": r} for c, n, r in link_citations(t or "", before or None)] for t, before in zip(text, name)])
+
+
+def case_citations(pages: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, order, citation, case_name, resolved_from) of every page; a page goes on with the case that the pages before name last."""
+    line = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    last = line(F.try_element_at(legal.found(F.col(text), legal.PARTIES), F.lit(-1)))
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    p = pages.select(doc, order, F.col(text).alias("_text"), last.alias("_own")).withColumn("_before", F.last("_own", ignorenulls=True).over(w))
+    return p.select(doc, order, F.inline(_linked("_text", "_before")))

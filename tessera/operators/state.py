@@ -77,3 +77,26 @@ def cache_stats(log: DataFrame, prefix: str, hit: Column, item: str, alive: Colu
 def cache_key(prefix: str, **arguments: Column) -> Column:
     """prefix:md5 of the arguments as JSON, in order of name."""
     return F.concat(F.lit(prefix + ":"), F.md5(F.to_json(F.struct(*[arguments[k].alias(k) for k in sorted(arguments)]))))
+
+
+def remaining(built: DataFrame, stored: DataFrame, index: str, key: str, content: str, size: int) -> DataFrame:
+    """Rows of the slices that are not done, with their slice: what a run that was stopped has still to do."""
+    done = slice_completion(built, stored, index, key, content, size).where("done").select("slice")
+    return built.withColumn("slice", F.floor(F.col(index) / size).cast("long")).join(done, "slice", "left_anti")
+
+
+def resume_plan(built: DataFrame, stored: DataFrame, index: str, key: str, content: str, size: int, per_second: float = 4.0) -> DataFrame:
+    """One row: rows in all, reused and to do, the first to do, slices to do, and seconds needed and spared at ``per_second`` rows."""
+    s = slice_completion(built, stored, index, key, content, size)
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("rows")).otherwise(0)), F.lit(0)).cast("long")
+    t = s.agg(
+        n(F.lit(True)).alias("total"), n(F.col("done")).alias("reused"), n(~F.col("done")).alias("to_do"), (F.min(F.when(~F.col("done"), F.col("slice"))) * size).alias("first_to_do"),
+        F.coalesce(F.sum(F.when(F.col("done"), 0).otherwise(1)), F.lit(0)).cast("long").alias("slices_to_do"))
+    seconds = lambda c: F.bround(F.col(c) / per_second).cast("long")
+    return t.withColumns({"seconds": seconds("to_do"), "seconds_spared": seconds("reused")})
+
+
+def resume(built: DataFrame, stored: DataFrame, index: str, key: str, content: str, size: int, path: str) -> None:
+    """Store what remains, one folder a slice; folders of slices that are done stay as they are, so a run may stop and start again at any time."""
+    todo = remaining(built, stored, index, key, content, size)
+    todo.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(path)

@@ -11,3 +11,7 @@ HITS = "select o_custkey as query_id, o_orderkey as chunk_id, o_totalprice / 600
 CHOICES = "select o_custkey as query_id, case o_custkey % 3 when 0 then 'IPC' when 1 then 'BNS' else null end as law, case o_custkey % 4 when 0 then cast(o_custkey % 40 as string) else null end as section from orders group by 1, 2, 3"
 JUDGMENTS = """select o_orderkey as id, o_custkey % 97 as case_no, cast(year(o_orderdate) as int) as yr, case o_orderkey % 4 when 0 then 'SUPREME COURT OF INDIA' when 1 then 'HIGH COURT OF DELHI' when 2 then 'CONSUMER FORUM, NEW DELHI' else 'Court of Session. it was ARGUED' end as court, concat('Case ', cast(o_custkey % 97 as string), ' v. State') as title, case o_orderkey % 6 when 0 then 'KEY_POINTS' when 1 then 'reasoning' when 2 then 'ORDER' when 3 then 'FACTS' when 4 then 'REASONING' else 'ISSUES' end as section, case o_orderkey % 5 when 0 then concat('12 March ', cast(year(o_orderdate) as string)) when 1 then 'undated' when 2 then '' else cast(year(o_orderdate) as string) end as dated, concat('In Ram Kumar v. State Of Kerala (', cast(year(o_orderdate) as string), ')', cast(1 + o_orderkey % 9 as string), 'SCC', cast(100 + o_orderkey % 900 as string), ' at p. ', cast(1 + o_orderkey % 50 as string), chr(10), cast(1 + o_orderkey % 30 as string), '. The accused was convicted under Section ', cast(290 + o_orderkey % 20 as string), ' of the Indian Penal Code; see Para ', cast(o_orderkey % 70 as string), ' and [', cast(o_orderkey % 9 as string), '] AIR ', cast(year(o_orderdate) as string), ' SC ', cast(o_orderkey % 500 as string), '. ', case o_orderkey % 9 when 0 then 'It was held that the order is set aside.' when 1 then 'The appeal stands overruled; murder and bail.' when 2 then 'We hold the decision is approved under the Evidence Act.' when 3 then 'However the facts are different; NDPS and theft.' when 4 then 'Decided without noticing the doctrine of mens rea.' when 5 then 'Upheld. The duty and right to life, per incuriam.' when 6 then '[2001] 2 AC 17 and MANU/SC/12/1999; dying declaration under section 27 of the Evidence Act.' when 7 then 'The BNS and BNSS are new, ex parte, prima facie, therefore invalid.' else 'Nothing more.' end) as txt from orders"""
 LAWS = """select p_partkey as ord, case p_partkey % 2 when 0 then 'IPC' else 'BNS' end as document, concat(cast(1 + p_partkey % 500 as string), case p_partkey % 7 when 0 then 'A' else '' end) as section, p_name as title, case p_partkey % 11 when 0 then '  ' when 1 then 'Rep. by Act 4 of 1898' else concat('Whoever does ', p_type, '; shall be punished. Explanation: ', p_brand, ' is meant.') end as txt from part"""
+
+HEADERS = """select o_orderkey as id, concat(case o_orderkey % 7 when 0 then concat('IN THE HIGH COURT OF DELHI AT NEW DELHI', chr(10)) when 1 then concat('IN THE SUPREME COURT OF INDIA', chr(10)) when 2 then concat('BEFORE THE COURT OF SH. A K JAIN, DISTRICT JUDGE, PUNE', chr(10)) when 3 then 'PETITIONER: Ram Lal & Sons Vs. RESPONDENT: State of Bihar DATE OF JUDGMENT: 12/03/1999 ' when 4 then concat('IN THE matter ARGUED before this COURT', chr(10), 'SESSIONS COURT OF THE ADDITIONAL JUDGE', chr(10)) when 5 then concat('NATIONAL GREEN TRIBUNAL, PRINCIPAL BENCH', chr(10)) else concat('Gopal (Retd.) And Anr vs Union Of India And Ors on 4 March, 1999', chr(10)) end, case o_orderkey % 5 when 0 then concat('Criminal Appeal No. ', cast(1 + o_orderkey % 900 as string), ' of 1998') when 1 then concat('W.P. (C) No. ', cast(1 + o_orderkey % 70 as string), '/2011') when 2 then 'Case No: X' when 3 then concat('O.S. No. 7-', cast(o_custkey % 97 as string)) else 'no number' end, chr(10), case o_orderkey % 3 when 0 then 'Dated this the 3 March 2001' when 1 then concat('Judgment reserved on: 0', cast(1 + o_orderkey % 9 as string), '. 02 .2010') else '' end, chr(10), case o_orderkey % 4 when 0 then concat('Justice B. N. Rao', chr(10), 'Hon''ble Mr. Justice A. Sen') when 1 then 'JUSTICE X' when 2 then 'Mr. Justice Roy' else '' end) as header, concat('1. Facts. ', case o_orderkey % 6 when 0 then 'The appeal is dismissed.' when 1 then 'It is disposed of; the PETITION ALLOWED.' when 2 then 'Writ petition is allowed, heard on 05-06-2007.' else 'No outcome.' end) as body from orders"""
+TITLES = """select o_orderkey as id, case o_orderkey % 9 when 0 then 'Ram Lal Through Sh. Mohan Singh Adv. vs State of Bihar' when 1 then 'Mr. A. K. Sharma, Advocate v. Union of India' when 2 then concat('Gopal S/o Ram R/o Delhi vs.', chr(10), ' M/s Acme Ltd. Registered Office Mumbai') when 3 then 'Sita Devi .... Petitioner v The State ...... Respondents' when 4 then concat('No parties here ', cast(o_custkey as string)) when 5 then 'Om Prakash, aged about 45 years VS Delhi Admin Represented by Counsel' when 6 then 'AB v. CD' when 7 then 'Acme Bank Ltd. Through its Manager v. Ravi Kumar, Sr. Counsel' else concat('Party ', cast(o_custkey % 97 as string), ' v. Other v. Third ... ') end as title from orders"""
+PAGES = """select o_custkey % 97 as doc, o_orderkey as page, concat(case o_orderkey % 3 when 0 then concat('carried on ', cast(o_orderkey as string), '. More text', chr(10)) when 1 then chr(10) else '' end, case o_orderkey % 5 when 0 then concat('2. Brief Facts:', chr(10), 'He went home.', chr(10), 'ORDER', chr(10)) when 1 then concat('RATIO DECIDENDI -', chr(10), chr(10), 'We hold so.', chr(10), 'Facts', chr(10), 'again ', cast(o_orderkey % 11 as string)) when 2 then concat('JUDGMENT', chr(10), '   ', chr(10), 'HELD.', chr(10)) when 3 then 'The facts and the order in a line.' else '  ' end) as txt from orders"""

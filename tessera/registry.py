@@ -318,4 +318,4 @@ def plan_strata(spark, d):
 
 
 # the themes register their own queries
-from .catalog import asking, corpus, documents, evidence, joins, measures  # noqa: E402, F401
+from .catalog import asking, corpus, documents, evidence, headers, joins, measures  # noqa: E402, F401
