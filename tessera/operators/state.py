@@ -100,3 +100,11 @@ def resume(built: DataFrame, stored: DataFrame, index: str, key: str, content: s
     """Store what remains, one folder a slice; folders of slices that are done stay as they are, so a run may stop and start again at any time."""
     todo = remaining(built, stored, index, key, content, size)
     todo.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(path)
+
+
+def provenance_status(recorded: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, status): a recorded file may be ok, changed or missing; one that is there without a record is unrecorded."""
+    f = found.select(key, F.col(digest).alias("_now"), F.lit(True).alias("_there"))
+    j = recorded.select(key, F.col(digest).alias("_then"), F.lit(True).alias("_known")).join(f, key, "full")
+    status = F.when(F.col("_known").isNull(), "unrecorded").when(F.col("_there").isNull(), "missing").when(F.col("_then").eqNullSafe(F.col("_now")), "ok").otherwise("changed")
+    return j.select(key, status.alias("status"))
