@@ -120,16 +120,16 @@ def signatures(lines: list[str], registers: int = REGISTERS) -> list[tuple[np.nd
         begin = np.concatenate(([0], np.cumsum(length[few])[:-1]))
         low = (h[small[owner]] >> U(32)).astype(np.uint32)
         seed = mix64(np.arange(1, registers + 1, dtype=U)).astype(np.uint32)
-        part = np.empty((len(few), registers), dtype=U)
-        for r in range(registers):  # the public 32-bit murmur finaliser, seeded for each register
-            y = low ^ seed[r]
+        part = np.empty((registers, len(few)), dtype=np.uint32)
+        y, z = np.empty_like(low), np.empty_like(low)
+        for r in range(registers):  # the runs' hashes are mixed already: one seeded round sets registers apart
+            np.bitwise_xor(low, seed[r], out=y)
             y *= np.uint32(0x85EBCA6B)
-            y ^= y >> np.uint32(13)
-            y *= np.uint32(0xC2B2AE35)
-            y ^= y >> np.uint32(16)
+            np.right_shift(y, np.uint32(15), out=z)
+            y ^= z
             y *= seed[r] | np.uint32(1)
-            part[:, r] = np.minimum.reduceat(y, begin)
-        out.append((few, part))
+            np.minimum.reduceat(y, begin, out=part[r])
+        out.append((few, part.T.astype(U)))
     many = np.flatnonzero(large)
     if len(many):
         x = h if large.all() else h[large[owner]]
