@@ -78,7 +78,7 @@ def test_blocks_under_the_kth_score_are_skipped_and_other_buckets_not_opened(spa
     assert limits.count() > 40 and rest.count() == 0
     close(got(inverted.search(spark, path, q, "q", "t", 5)), brute(data, asked, 5))
     files = lambda p: p.select(F.input_file_name()).distinct().count()
-    assert "PartitionFilters: [bucket" in post.select("term")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in post.select("term")._jdf.queryExecution().executedPlan().toString()
     assert files(post) == 1 < files(inverted.postings(spark, path))
 
 
