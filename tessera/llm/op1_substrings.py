@@ -482,7 +482,7 @@ def _halves(batches):
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows in groups of HOT_ROWS at most, and what is left of larger ones: groups of one string each."""
     schema = "key long, anchor long, seg_id long, off int, n long, bhi int, seg binary, x int, y int"
-    done, single = [], []
+    done, single, merged = [], [], False
     while True:
         hot = materialize(rows.groupBy("key").agg(F.count("*").alias("rows")).where(f"rows > {HOT_ROWS}").select("key"), "hot")
         n = hot.count()
@@ -490,7 +490,12 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             return _all([*done, rows]), _all(single)
         hot = F.broadcast(hot) if n <= 100_000 else hot
         done.append(rows.join(hot, "key", "left_anti"))
-        halves = materialize(rows.join(hot, "key", "left_semi").mapInArrow(_halves, schema), "halves")
+        over = rows.join(hot, "key", "left_semi")
+        if not merged:  # a segment has a row from each batch that holds it; one goes on, and halves of different rows stay apart
+            over = over.groupBy("key", "anchor", "seg_id", "off", "x", "y").agg(F.sum("n").alias("n"), F.first("bhi").alias("bhi"), F.first("seg").alias("seg"))
+            rows, merged = materialize(over.select(*rows.columns), "merged"), True
+            continue
+        halves = materialize(over.mapInArrow(_halves, schema), "halves")
         single.append(halves.where("x = y"))
         rows = halves.where("x < y")
 
@@ -507,6 +512,37 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("key"), F.hash(text).alias("more")]
 
 
+def _joined(runs: Column) -> Column:
+    """Sorted ranges with those that overlap or touch made one."""
+    def step(done, r):
+        last = F.get(done, F.size(done) - 1)
+        grown = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when((F.size(done) > 0) & (r["a"] <= last["b"]), F.concat(rest, F.array(grown))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<a: int, b: int>>"), step)
+
+
+def covers(found: DataFrame) -> DataFrame:
+    """(anchor, seg_id, runs): one row for each segment that holds repeated bytes, with their ranges."""
+    rows = found.select(F.col("anchor").alias("key"), "anchor", "seg_id", F.lit(0).alias("off"), "n", "bhi", "seg", F.lit(0).alias("x"), F.lit(SPREAD - 1).alias("y"))
+    dealt, single = _dealt(rows)
+    shards = dealt.select("key", "anchor", "seg_id", "off", "n", "bhi", "seg").repartition(n_shuffle(found.sparkSession), "key").sortWithinPartitions("key")
+    cover = shards.mapInArrow(_sharded, "anchor long, seg_id long, a int, b int")
+    if single is not None:
+        twice = single.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        cover = cover.unionByName(single.join(twice, "key", "left_semi").select("anchor", "seg_id", F.col("off").alias("a"), (F.col("off") + LENGTH).alias("b")))
+    # a segment has no more ranges than bytes
+    return cover.groupBy("anchor", "seg_id").agg(_joined(F.sort_array(F.collect_set(F.struct("a", "b")))).alias("runs"))
+
+
+def places(found: DataFrame, cover: DataFrame) -> DataFrame:
+    """(key, more, n_bytes, lo, runs): each place of a covered segment once; a segment of many batches meets its ranges in several tasks."""
+    salted = cover.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = found.select("anchor", "seg_id", "places").withColumn("salt", F.pmod(F.xxhash64("places"), F.lit(SALTS)))
+    return rows.join(salted, ["anchor", "seg_id", "salt"]).select("runs", F.explode("places").alias("at")).select("at.*", "runs")
+
+
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, more, n_bytes, spans): byte ranges to remove from each text that has some; key and more are Spark's xxhash64 and hash of it."""
     spark = df.sparkSession
@@ -515,17 +551,9 @@ def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     twice = texts.mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     keep = bitset(materialize(twice, "anchors"), "anchor")
     found = materialize(texts.mapInArrow(_segments(keep), SEGMENTS), "segments")
-    rows = found.select(F.col("anchor").alias("key"), "anchor", "seg_id", F.lit(0).alias("off"), "n", "bhi", "seg", F.lit(0).alias("x"), F.lit(SPREAD - 1).alias("y"))
-    dealt, single = _dealt(rows)
-    shards = dealt.select("key", "anchor", "seg_id", "off", "n", "bhi", "seg").repartition(n_shuffle(spark), "key").sortWithinPartitions("key")
-    cover = shards.mapInArrow(_sharded, "anchor long, seg_id long, a int, b int")
-    if single is not None:
-        twice = single.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-        cover = cover.unionByName(single.join(twice, "key", "left_semi").select("anchor", "seg_id", F.col("off").alias("a"), (F.col("off") + LENGTH).alias("b")))
-    cover = materialize(cover, "cover")
-    back = found.select("anchor", "seg_id", "places").join(cover, ["anchor", "seg_id"]).select("a", "b", F.explode("places").alias("at"))
-    back = back.select("at.*", F.struct((F.col("at.lo") + F.col("a")).alias("a"), (F.col("at.lo") + F.col("b")).alias("b")).alias("span"))
-    return back.groupBy("key", "more", "n_bytes").agg(F.collect_set("span").alias("spans"))
+    back = places(found, materialize(covers(found), "cover")).select("*", F.explode("runs").alias("r"))
+    span = F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
+    return back.groupBy("key", "more", "n_bytes").agg(F.collect_set(span).alias("spans"))
 
 
 def union(found) -> list[tuple[int, int]]:

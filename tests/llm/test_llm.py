@@ -106,6 +106,26 @@ def test_hot_anchor_is_dealt_over_tasks(spark, monkeypatch, hot):
         assert bytes(got[k].kept) == bytes(b for b, c in zip(r, cover) if not c)
 
 
+def test_the_way_back_of_a_hot_segment_grows_with_its_batches(spark, monkeypatch):
+    """One text in n batches: its segments are covered once each, and meet one row a batch and place."""
+    monkeypatch.setattr(op1_substrings, "HOT_ROWS", 4)
+    text = "".join(random.Random(9).choice("abcdefgh ") for _ in range(420))
+    common.prepare(spark)
+    whole = common.Bitset(np.full(1 << 12, 2**64 - 1, dtype=np.uint64))
+    keep = spark.sparkContext.broadcast(whole.words)
+    grown = []
+    for n in (6, 12):
+        d = spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string").repartition(n)
+        t = d.select(*op1_substrings._key(F.col("text")), "text")
+        found = common.materialize(t.mapInArrow(op1_substrings._segments(keep), op1_substrings.SEGMENTS), "test")
+        cover = common.materialize(op1_substrings.covers(found), "test")
+        assert cover.count() == cover.select("anchor", "seg_id").distinct().count() == found.select("anchor", "seg_id").distinct().count()
+        assert all(len(r.runs) == 1 for r in cover.collect())
+        grown.append((cover.count(), op1_substrings.places(found, cover).count()))
+    assert grown[0][0] == grown[1][0] and grown[1][1] <= 2 * grown[0][1]
+    assert {r.n_removed for r in op1_substrings.dedup(d).collect()} == {420}
+
+
 def test_substrings_of_an_empty_table_and_of_clashing_columns(spark):
     d = docs(spark, ["a" * 300, None]).withColumnsRenamed({"ids": "key", "n_tokens": "seg", "_doc": "spans"})
     assert op1_substrings.dedup(d.limit(0)).count() == 0
