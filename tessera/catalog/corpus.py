@@ -74,11 +74,29 @@ def yearly_cap(spark, d):
     return selection.capped_by_year(fixture(spark, d, JUDGMENTS), "court", "yr", [F.col("id").desc()], 40).select("id", "turn")
 
 
-@query()
+@query(_J + """, m AS (SELECT id, section IN ('KEY_POINTS', 'ORDER') AS m FROM j), r AS (SELECT id, m, row_number() OVER (PARTITION BY m ORDER BY CASE WHEN m THEN '' ELSE md5('7:' || id) END, id) AS r FROM m)
+SELECT id, row_number() OVER (ORDER BY CASE WHEN m THEN r + (r - 1) // 2 ELSE 3 * r END, m) AS place FROM r""")
 def candidate_order(spark, d):
-    """Others are drawn by Spark's hash, which SQL elsewhere lacks; ``tests`` check the shape."""
-    j = fixture(spark, d, JUDGMENTS)
-    return selection.interleave(j, F.col("section").isin("KEY_POINTS", "ORDER"), "id").select("id", "place")
+    return selection.interleave(fixture(spark, d, JUDGMENTS), F.col("section").isin("KEY_POINTS", "ORDER"), "id").select("id", "place")
+
+
+_CEILINGS = {"murder": 200, "bail": 150}
+_LIMITS = sorted({*selection.FLOORS, *_CEILINGS})
+_FULL = "[x FOR x IN [" + ", ".join(f"CASE WHEN counts[{_LIMITS.index(t) + 1}] >= {c} THEN '{t}' END" for t, c in _CEILINGS.items()) + "] IF x IS NOT NULL]"
+_SHORT = "[x FOR x IN [" + ", ".join(f"CASE WHEN counts[{_LIMITS.index(t) + 1}] < {f} THEN '{t}' END" for t, f in selection.FLOORS.items()) + "] IF x IS NOT NULL]"
+_COUNTED = "[" + ", ".join(f"counts[{i + 1}] + (took AND list_contains(topics, '{t}'))::INT" for i, t in enumerate(_LIMITS)) + "]"
+
+
+@query(_S.replace("WITH", "WITH RECURSIVE", 1) + f""", c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('h' || id), id) AS place, id, score, topics FROM s),
+walk AS (SELECT 0::BIGINT AS place, NULL::BIGINT AS id, CAST(NULL AS VARCHAR) AS reason, [{', '.join('0' for _ in _LIMITS)}] AS counts, 0 AS have
+UNION ALL SELECT place, id, reason, {_COUNTED} AS counts, have + took::INT FROM (SELECT *, reason LIKE 'quota%' OR reason = 'general_fill' AS took FROM (SELECT c.*, counts, have,
+CASE WHEN have >= {TARGET} THEN 'target_reached' WHEN len(topics) > 0 AND len([x FOR x IN topics IF NOT list_contains({_FULL}, x)]) = 0 THEN 'topic_ceiling' WHEN score >= 10 THEN 'general_fill'
+WHEN len(list_intersect(topics, {_SHORT})) > 0 THEN 'quota:' || list_min(list_intersect(topics, {_SHORT})) ELSE 'below_general_fill_score' END AS reason FROM walk JOIN c ON c.place = walk.place + 1)))
+SELECT id, reason LIKE 'quota%' OR reason = 'general_fill' AS accepted, reason FROM walk WHERE place > 0""")
+def harvest(spark, d):
+    """Candidates in a drawn order, each against the counts that the ones before have left."""
+    s = _scored(spark, d).withColumn("drawn", F.md5(F.concat(F.lit("h"), F.col("id").cast("string")).cast("binary")))
+    return selection.harvest(s, TARGET, ["drawn", "id"], ceilings=_CEILINGS).select("id", "accepted", "reason")
 
 
 @query(_J + """, p AS (SELECT id, 'missing dated' AS problem FROM j WHERE trim(dated) = '' UNION ALL SELECT id, 'duplicate txt' FROM (SELECT id, row_number() OVER (PARTITION BY txt ORDER BY id) AS k FROM j) WHERE k > 1

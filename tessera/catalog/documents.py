@@ -139,6 +139,15 @@ def section_whole_chunks(spark, d):
     return c.select("chunk_id", "ord", F.md5("text").alias("digest"), "chunk_index", "chunk_count")
 
 
+@query(_L + r""", w AS (SELECT ord, document, section, row_number() OVER () AS u, regexp_extract_all(head || ' ' || body, '\S+') AS ws FROM t), a AS (SELECT *, sum(len(ws)) OVER (ORDER BY ord) - len(ws) AS before, sum(len(ws)) OVER () AS total FROM w),
+x AS (SELECT ord, section, before + i AS pos, total, ws[i + 1] AS word FROM (SELECT *, unnest(range(len(ws))) AS i FROM a)), k AS (SELECT unnest(range(0, (SELECT ceil(greatest(max(total) - 220, 0) / 170.0)::BIGINT FROM x) + 1)) AS chunk_index)
+SELECT 'win-' || chunk_index AS chunk_id, arg_min(ord, pos) AS ord, arg_min(section, pos) AS section, count(*) AS n_words, md5(string_agg(word, ' ' ORDER BY pos)) AS digest FROM k JOIN x ON pos BETWEEN chunk_index * 170 AND chunk_index * 170 + 219 GROUP BY chunk_index""")
+def section_windows(spark, d):
+    """Windows run on over all sections; a window is the section's that its first word is from."""
+    c = chunking.build("fixed_window", fixture(spark, d, LAWS), ["ord", "section"])
+    return c.select("chunk_id", "ord", "section", "n_words", F.md5("text").alias("digest"))
+
+
 @query(_L + ", s AS (SELECT ord, regexp_split_to_array(regexp_replace(body, '([.;:])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM t) SELECT ord, len(s) AS n, s[1] AS first, s[-1] AS last FROM s")
 def sentences(spark, d):
     s = fixture(spark, d, LAWS).where("trim(txt) <> ''").select("ord", chunking.sentences(F.trim("txt")).alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .ordering import running
 
 
 def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 220, step: int = 170) -> DataFrame:
@@ -20,6 +21,28 @@ def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 220,
     return x.select("id", "chunk_index", F.size(part).alias("n_words"), F.array_join(part, " ").alias("text"))
 
 
+def windows_over(sections: DataFrame, order: str, keep: list[str], size: int = 220, step: int = 170) -> DataFrame:
+    """(keep, chunk_id, chunk_index, chunk_count, n_words, text, section_text, strategy): windows of ``size`` words each ``step`` over all sections in order, each the section's of its first word.
+
+    Sections without text take no part, the last window is the first to reach the end. A section's first word has the number of words before it, a running
+    sum over ranges; each section then cuts its own part of every window that it meets, and a window's parts (at most ``size``) are joined.
+    """
+    s = _headed(sections).withColumn("_w", words(F.concat_ws(" ", "_head", "section_text"))).withColumn("_n", F.size("_w"))
+    s, total = running(s.where("_n > 0"), [order], "_n", "_at")
+    last = max(0, -(-(total - size) // step))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_at") - size + 1) / step)).cast("long")
+    met = F.least(F.lit(last), F.floor((F.col("_at") + F.col("_n") - 1) / step)).cast("long")
+    s = s.where(first <= met).withColumn("chunk_index", F.explode(F.sequence(first, met)))
+    begin = F.greatest(F.col("chunk_index") * step - F.col("_at"), F.lit(0))
+    length = F.least(F.col("chunk_index") * step + size - F.col("_at"), F.col("_n")) - begin
+    part = F.slice("_w", (begin + 1).cast("int"), length.cast("int"))
+    s = s.select("chunk_index", F.struct("_at", F.array_join(part, " ").alias("t")).alias("p"), length.alias("n"), F.struct("_at", "section_text", *keep).alias("owner"))
+    w = s.groupBy("chunk_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["t"]), " ").alias("text"), F.sum("n").alias("n_words"), F.min_by("owner", "owner._at").alias("owner"))
+    return w.select(
+        *[F.col(f"owner.{c}") for c in keep], F.concat(F.lit("win-"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", F.lit(0).alias("chunk_count"), "n_words", "text",
+        F.col("owner.section_text").alias("section_text"), F.lit("fixed_window").alias("strategy"))
+
+
 def length_stats(chunks: DataFrame, by: list[str], n: str = "n_words") -> DataFrame:
     """Least, upper median and most words; the median from counts of equal lengths, so no group is gathered."""
     c = chunks.groupBy(*by, n).agg(F.count("*").alias("_c"))
@@ -124,8 +147,15 @@ def section_split(sections: DataFrame, keep: list[str], most: int = 220) -> Data
         "section_text", "chunk_index", "chunk_count", F.lit("section_split").alias("strategy"))
 
 
-#: Chunkers by name.
-STRATEGIES = {"section_whole": section_whole, "section_split": section_split}
+#: Chunkers of statute sections by name: (sections, columns to keep) to chunks.
+STRATEGIES = {"section_whole": section_whole, "section_split": section_split, "fixed_window": lambda sections, keep: windows_over(sections, "ord", keep)}
+
+
+def build(strategy: str, sections: DataFrame, keep: list[str]) -> DataFrame:
+    """The chunks of a strategy; an unknown name is an error."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy](sections, keep)
 
 
 def carry_forward(df: DataFrame, by: str, order: str, value: str, out: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, citations, evaluation, graph, lexical, ranking, state
+from .operators import chunking, citations, evaluation, graph, lexical, ordering, ranking, state
 from .plans.base import ORACLE_SQL, QUERIES, query
 from .plans.base import fixture as _sql
 from .plans.fixtures import CHUNKS, EDGES, LEGAL
@@ -267,8 +267,7 @@ def cross_references(spark, d):
 @query(f"WITH c AS ({CHUNKS}), f AS (SELECT *, row_number() OVER (PARTITION BY case_no ORDER BY chunk_id) k FROM c) SELECT case_no, chunk_id, court, yr, CAST(row_number() OVER (ORDER BY yr, case_no) AS INTEGER) AS place FROM f WHERE k = 1")
 def timeline(spark, d):
     f = ranking.first_per_key(_sql(spark, d, CHUNKS), ["case_no"], [F.col("chunk_id")])
-    # one row a case number: a few rows whatever the input
-    return f.select("case_no", "chunk_id", "court", "yr", F.row_number().over(Window.orderBy("yr", "case_no")).alias("place"))
+    return ordering.numbered(f, ["yr", "case_no"]).select("case_no", "chunk_id", "court", "yr", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), b(seed, node, hops) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src % 20 = 0 UNION SELECT b.seed, e.dst, b.hops + 1 FROM b JOIN e ON b.node = e.src WHERE b.hops < 2) SELECT seed, node, min(hops) AS hops FROM b GROUP BY 1, 2")
