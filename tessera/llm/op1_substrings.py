@@ -537,10 +537,13 @@ def covers(found: DataFrame) -> DataFrame:
 
 
 def places(found: DataFrame, cover: DataFrame) -> DataFrame:
-    """(key, more, n_bytes, lo, runs): each place of a covered segment once; a segment of many batches meets its ranges in several tasks."""
-    salted = cover.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = found.select("anchor", "seg_id", "places").withColumn("salt", F.pmod(F.xxhash64("places"), F.lit(SALTS)))
-    return rows.join(salted, ["anchor", "seg_id", "salt"]).select("runs", F.explode("places").alias("at")).select("at.*", "runs")
+    """(key, more, n_bytes, lo, runs): each place of a covered segment once.
+
+    ``cover`` has one row a segment, so the join grows with the batches that hold one; Spark deals a segment's many rows
+    over tasks, as both sides come from files (adaptive skew joins).
+    """
+    rows = found.select("anchor", "seg_id", "places").join(cover, ["anchor", "seg_id"])
+    return rows.select("runs", F.explode("places").alias("at")).select("at.*", "runs")
 
 
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
