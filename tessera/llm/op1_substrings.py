@@ -524,26 +524,28 @@ def _joined(runs: Column) -> Column:
 
 
 def covers(found: DataFrame) -> DataFrame:
-    """(anchor, seg_id, runs): one row for each segment that holds repeated bytes, with their ranges."""
+    """(anchor, seg_id, a, b): the ranges of repeated bytes of each segment, none twice."""
     rows = found.select(F.col("anchor").alias("key"), "anchor", "seg_id", F.lit(0).alias("off"), "n", "bhi", "seg", F.lit(0).alias("x"), F.lit(SPREAD - 1).alias("y"))
     dealt, single = _dealt(rows)
     shards = dealt.select("key", "anchor", "seg_id", "off", "n", "bhi", "seg").repartition(n_shuffle(found.sparkSession), "key").sortWithinPartitions("key")
-    cover = shards.mapInArrow(_sharded, "anchor long, seg_id long, a int, b int")
+    cover = shards.mapInArrow(_sharded, "anchor long, seg_id long, a int, b int")  # a key's rows are in one task, equal segments once
     if single is not None:
         twice = single.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-        cover = cover.unionByName(single.join(twice, "key", "left_semi").select("anchor", "seg_id", F.col("off").alias("a"), (F.col("off") + LENGTH).alias("b")))
-    # a segment has no more ranges than bytes
-    return cover.groupBy("anchor", "seg_id").agg(_joined(F.sort_array(F.collect_set(F.struct("a", "b")))).alias("runs"))
+        ones = single.join(twice, "key", "left_semi").select("anchor", "seg_id", F.struct(F.col("off").alias("a"), (F.col("off") + LENGTH).alias("b")).alias("r"))
+        # a segment has no more strings than bytes
+        runs = ones.groupBy("anchor", "seg_id").agg(_joined(F.sort_array(F.collect_set("r"))).alias("runs"))
+        cover = cover.unionByName(runs.select("anchor", "seg_id", F.inline("runs")))
+    return cover
 
 
 def places(found: DataFrame, cover: DataFrame) -> DataFrame:
-    """(key, more, n_bytes, lo, runs): each place of a covered segment once.
+    """(key, more, n_bytes, lo, a, b): each place of a covered segment with each of its ranges.
 
-    ``cover`` has one row a segment, so the join grows with the batches that hold one; Spark deals a segment's many rows
+    A segment's ranges stand once in ``cover``, so the join grows with the batches that hold the segment; Spark deals a segment's many rows
     over tasks, as both sides come from files (adaptive skew joins).
     """
     rows = found.select("anchor", "seg_id", "places").join(cover, ["anchor", "seg_id"])
-    return rows.select("runs", F.explode("places").alias("at")).select("at.*", "runs")
+    return rows.select("a", "b", F.explode("places").alias("at")).select("at.*", "a", "b")
 
 
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -554,8 +556,8 @@ def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     twice = texts.mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     keep = bitset(materialize(twice, "anchors"), "anchor")
     found = materialize(texts.mapInArrow(_segments(keep), SEGMENTS), "segments")
-    back = places(found, materialize(covers(found), "cover")).select("*", F.explode("runs").alias("r"))
-    span = F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
+    back = places(found, materialize(covers(found), "cover"))
+    span = F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
     return back.groupBy("key", "more", "n_bytes").agg(F.collect_set(span).alias("spans"))
 
 
