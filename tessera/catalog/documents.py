@@ -9,7 +9,7 @@ from ..functions import legal
 from ..functions import text as tx
 from ..operators import chunking, citations, statutes
 from ..plans.base import fixture, query
-from ..plans.fixtures import JUDGMENTS, LAWS
+from ..plans.fixtures import ACTS, JUDGMENTS, LAWS
 from ..sources.tables import table
 
 _J = f"WITH j AS ({JUDGMENTS})"
@@ -177,19 +177,85 @@ def merged_sections(spark, d):
     return chunking.merged(g, ["case_no", "section"], "id", "txt").select("case_no", "section", F.md5("txt").alias("digest"), "parts")
 
 
-@query()
+def _located(name: str, source: str, pattern: str, groups: int = 1) -> str:
+    """SQL for (id, i, start_, end_, text, g1, ...) of a pattern's matches: what lies between matches gives their places."""
+    p = pattern.replace("'", "''")
+    hits = ", ".join(f"regexp_extract_all(txt, '{p}', {g}) AS h{g}" for g in range(groups + 1))
+    more = "".join(f", h{g}[i] AS g{g}" for g in range(1, groups + 1))
+    kept = ", ".join(f"h{g}" for g in range(groups + 1))
+    before = "(list_sum([length(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([length(x) FOR x IN h0[1:i - 1]]), 0))::BIGINT"
+    return f"""{name} AS (SELECT id, i, {before} AS start_, {before} + length(h0[i]) AS end_, h0[i] AS hit{more}, pieces[i + 1] AS after
+FROM (SELECT id, pieces, {kept}, unnest(range(1, len(h0) + 1)) AS i FROM (SELECT id, regexp_split_to_array(txt, '{p}') AS pieces, {hits} FROM {source})))"""
+
+
+# RE2 knows no look-behind: a break's sign is not after a lone s or v, nor after No
+_BREAK = r"(?:^|[^sov]|\w[sv]|(?:^|[^N])o|\wNo)[.;]\s+[A-Z(\[]"
+_NAMED = ", ".join(_located(f"n{k}", "j", f"(?i){p}", 0) for k, p in enumerate(legal.STATUTES.values()))
+_NAMES = " UNION ALL ".join(f"SELECT id, start_, end_, '{n}' AS name FROM n{k}" for k, n in enumerate(legal.STATUTES))
+
+
+@query(_J + rf""", {_NAMED}, named AS ({_NAMES}), {_located("l", "j", f"(?i){citations.SECTION_LISTS}")},
+near AS (SELECT l.id, l.i, greatest(l.start_ - n.end_, n.start_ - l.end_, 0) AS far, n.start_ AS at_, name, substr(txt, least(n.end_, l.end_) + 1, greatest(n.start_, l.start_) - least(n.end_, l.end_)) AS gap FROM l JOIN named n USING (id) JOIN j USING (id)),
+own AS (SELECT id, i, arg_min(name, (far, at_, name)) AS name FROM near WHERE far <= {citations.REACH} AND NOT regexp_matches(gap, '{_BREAK}') GROUP BY 1, 2),
+x AS (SELECT l.id, l.i, name, upper(trim(v)) AS v, k FROM (SELECT id, i, unnest(regexp_split_to_array(g1, '(?i)\s*(?:,|and|&|/)\s*')) AS v, unnest(range(100)) AS k FROM l) l LEFT JOIN own USING (id, i) WHERE v IS NOT NULL),
+q AS (SELECT id, name || ' ' || v AS s, min((i, k)) AS o FROM x WHERE name IS NOT NULL GROUP BY 1, 2), u AS (SELECT id, v AS s, min((i, k)) AS o FROM x WHERE name IS NULL GROUP BY 1, 2)
+SELECT j.id, coalesce((SELECT string_agg(s, ';' ORDER BY o) FROM q WHERE q.id = j.id), '') AS qualified, coalesce((SELECT string_agg(s, ';' ORDER BY o) FROM u WHERE u.id = j.id), '') AS unqualified FROM j""")
 def attributed_sections(spark, d):
-    """Needs the place of every match: rows only; ``tests`` compare it with plain Python."""
     x = fixture(spark, d, JUDGMENTS).select("id", citations.attributed_sections(F.col("txt")).alias("s"))
     return x.select("id", F.array_join("s.qualified", ";").alias("qualified"), F.array_join("s.unqualified", ";").alias("unqualified"))
 
 
-@query()
+_NEAR = f"""{_located("l", "j", f"(?i){citations.NEAR_SECTIONS}")}, w AS (SELECT l.id, case_no, upper(g1) AS section, substr(txt, greatest(start_ - {citations.NEAR}, 0) + 1, end_ + {citations.NEAR} - greatest(start_ - {citations.NEAR}, 0)) AS around FROM l JOIN j USING (id)),
+s AS ({" UNION ALL ".join(f"SELECT id, case_no, '{n}' AS statute, section FROM w WHERE regexp_matches(around, '(?i){p}')" for n, p in citations.NEAR_STATUTES.items())})"""
+
+
+@query(_J + f", {_NEAR} SELECT statute || ':' || section AS section, count(DISTINCT case_no) AS cases FROM s GROUP BY 1")
 def sections_near_statutes(spark, d):
     x = fixture(spark, d, JUDGMENTS).select("case_no", F.explode(citations.sections_by_proximity(F.col("txt"))).alias("section")).distinct()
     return x.groupBy("section").agg(F.count("*").alias("cases"))
 
 
+_HELD_SECTIONS = "select case p_partkey % 2 when 0 then 'IPC' else 'BNS' end as document, cast(p_partkey % 512 as string) as section, p_name as title from part"
+
+
+@query(_J + f", h AS (SELECT DISTINCT document AS statute, section FROM ({_HELD_SECTIONS})), {_NEAR}, k AS (SELECT DISTINCT id, case_no, statute, section FROM s JOIN h USING (statute, section)) SELECT statute, section, count(*) AS judgments, count(DISTINCT case_no) AS cases, min(id) AS first_id FROM k GROUP BY 1, 2")
+def held_cross_references(spark, d):
+    """Judgments of each section that the corpus holds, by the statute named near it."""
+    x = citations.cross_references(fixture(spark, d, JUDGMENTS), fixture(spark, d, _HELD_SECTIONS), ["id", "case_no"], "txt")
+    return x.groupBy("statute", "section").agg(F.count("*").alias("judgments"), F.countDistinct("case_no").alias("cases"), F.min("id").alias("first_id"))
+
+
+@query(_J + f""", h AS (SELECT DISTINCT document AS statute, section FROM ({_HELD_SECTIONS})), {_NEAR}, k AS (SELECT DISTINCT id, statute, section FROM s JOIN h USING (statute, section)),
+b AS (SELECT DISTINCT id, upper(x) AS section FROM (SELECT id, unnest(regexp_extract_all(txt, '{citations.SECTION}', 1)) AS x FROM j)) SELECT (SELECT count(*) FROM j) AS judgments, (SELECT count(DISTINCT (statute, section)) FROM k) AS sections, (SELECT count(*) FROM k) AS links,
+(SELECT count(*) FROM b JOIN h ON h.statute = 'IPC' AND h.section = b.section) AS bare_links""")
+def cross_reference_totals(spark, d):
+    """How many links there are, and how many numbers alone would give."""
+    j, held = fixture(spark, d, JUDGMENTS), fixture(spark, d, _HELD_SECTIONS)
+    x = citations.cross_references(j, held, ["id"], "txt").agg(F.countDistinct("statute", "section").alias("sections"), F.count("*").alias("links"))
+    bare = j.select("id", F.explode(F.array_distinct(F.transform(citations.sections(F.col("txt")), F.upper))).alias("section"))
+    bare = bare.join(held.where("document = 'IPC'").select("section").distinct(), "section").agg(F.count("*").alias("bare_links"))
+    return j.agg(F.count("*").alias("judgments")).crossJoin(x).crossJoin(bare)  # one row each
+
+
+_HEADING = "length(x) BETWEEN 1 AND 90 AND NOT contains('.;:,', right(x, 1)) AND (starts_with(x, 'Of ') OR (upper(x) = x AND lower(x) <> x))"
+_RE2 = lambda p: p.replace("(?dms)", "(?ms)").replace("(?dm)", "(?m)")
+
+
+@query(rf"""WITH j AS (SELECT ord AS id, txt FROM ({ACTS})), {_located("m", "j", _RE2(statutes.SECTION), 2)}, {_located("c", "j", _RE2(statutes.CHAPTER))},
+k AS (SELECT *, trim(regexp_replace(g2, '\s+', ' ', 'g')) AS title, lpad(regexp_extract(g1, '^\d+'), 4, '0') || regexp_extract(g1, '[A-Z]*$') AS key FROM m),
+f AS (SELECT *, max(CASE WHEN NOT regexp_matches(title, '{statutes.FOOTNOTE}') THEN key END) OVER (PARTITION BY id ORDER BY start_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM k),
+o AS (SELECT *, NOT regexp_matches(title, '{statutes.FOOTNOTE}') AND (top IS NULL OR key > top) AS own FROM f), p AS (SELECT *, sum(own::INT) OVER (PARTITION BY id ORDER BY start_) - 1 AS position FROM o),
+g AS (SELECT id, position, min(start_) AS start_, arg_min(g1, start_) AS section, arg_min(title, start_) AS title, regexp_replace(string_agg(CASE WHEN own THEN after ELSE hit || after END, '' ORDER BY start_), '^\s+|\s+$', '', 'g') AS body FROM p WHERE position >= 0 GROUP BY 1, 2),
+l AS (SELECT *, string_split(body, chr(10)) AS x, list_min([n FOR n IN range(1, 7) IF regexp_matches(string_split(body, chr(10))[-n], '{statutes.MARGIN}')]) AS n FROM g),
+t AS (SELECT *, x[1:len(x) - coalesce(n, 0)] AS y FROM l), b AS (SELECT *, y[1:coalesce(list_max([z FOR z IN range(1, len(y) + 1) IF NOT ({_HEADING.replace("x", "trim(y[z])")})]), 0)] AS z FROM t),
+h AS (SELECT b.id, position, arg_max('CHAPTER ' || c.g1, c.start_) AS chapter, arg_max(trim(string_split(ltrim(substr(txt, c.end_ + 1, 200), chr(10)), chr(10))[1]), c.start_) AS chapter_title FROM b JOIN c ON c.id = b.id AND c.start_ <= b.start_ JOIN j ON j.id = b.id GROUP BY 1, 2)
+SELECT b.id AS ord, position::BIGINT AS position, section, title, trim(regexp_replace(array_to_string(z, chr(10)), '\s+', ' ', 'g')) AS text, coalesce(chapter, '') AS chapter, coalesce(chapter_title, '') AS chapter_title,
+regexp_matches(trim(array_to_string(z, chr(10))), '{statutes.REPEALED}') AS repealed FROM b LEFT JOIN h USING (id, position)""")
+def parsed_sections(spark, d):
+    """Sections of whole acts, with their chapters, margins and repeals."""
+    return statutes.parse(fixture(spark, d, ACTS), "ord", "txt")
+
+
 @query()
 def composed_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.cleaned(F.col("text"))).alias("digest"))

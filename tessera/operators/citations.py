@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import legal
+from ..functions.places import let, located
 from .ranking import first_per_key
 
 SECTION = r"(?i)section\s+(\d+[A-Z]?)"
@@ -41,58 +42,54 @@ def treated(mentions: DataFrame, by: list[str], text: str, order: list) -> DataF
     return best.withColumns({"status": F.coalesce("_t", F.lit("followed")), "confidence": F.when(F.col("_t").isNull(), 0.60).otherwise(0.95)}).drop("_t")
 
 
-_names = [(n, re.compile(p, re.I)) for n, p in legal.STATUTES.items()]
-_lists, _break = re.compile(SECTION_LISTS, re.I), re.compile(BREAK)
-_near_sections, _near = re.compile(NEAR_SECTIONS, re.I), {n: re.compile(p, re.I) for n, p in NEAR_STATUTES.items()}
+def attributed_sections(text: Column) -> Column:
+    """(qualified "IPC 302", unqualified numbers) of a text, in its order, once each, at most ``MOST`` qualified.
 
+    A number belongs to the nearest name of a statute within ``REACH`` characters, before or after, that no sentence break parts from it;
+    of two equally near the earlier one.
+    """
+    def places(name: str, pattern: str) -> Column:
+        return F.transform(located(text, f"(?i){pattern}"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(name).alias("name")))
 
-def attribute(text: str) -> tuple[list[str], list[str]]:
-    """(attributed "IPC 302", numbers alone) of one text, in order, once each.
+    named = F.concat(*[places(n, p) for n, p in legal.STATUTES.items()])
 
-    A number belongs to the nearest statute name before or after it that no sentence break parts from it.
-    """
-    named = sorted((m.start(), m.end(), n) for n, p in _names for m in p.finditer(text))
-    starts = [a for a, _, _ in named]
-    with_name: dict[str, None] = {}
-    alone: dict[str, None] = {}
-    for m in _lists.finditer(text):
-        lo, hi = m.span()
-        k = bisect_left(starts, hi)
-        near = []
-        for a, b, n in named[max(k - 1, 0):k + 1]:
-            far = max(lo - b, a - hi, 0)
-            if far <= REACH and not _break.search(text[min(b, hi):max(a, lo)]):
-                near.append((far, a, n))
-        statute = min(near)[2] if near else None
-        for number in re.split(r"(?i)\s*(?:,|and|&|/)\s*", m.group(1)):
-            number = number.strip().upper()
-            if statute:
-                with_name[f"{statute} {number}"] = None
-                if len(with_name) == MOST:
-                    return list(with_name), list(alone)
-            else:
-                alone[number] = None
-    return list(with_name), list(alone)
-
-
-@F.pandas_udf(T.StructType([T.StructField("qualified", T.ArrayType(T.StringType())), T.StructField("unqualified", T.ArrayType(T.StringType()))]))
-def attributed_sections(text: pd.Series) -> pd.DataFrame:
-    """Positions of every match are needed, which no built-in function gives."""
-    rows = [attribute(t or "") for t in text]
-    return pd.DataFrame({"qualified": [a for a, _ in rows], "unqualified": [b for _, b in rows]})
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sections_by_proximity(text: pd.Series) -> pd.Series:
-    """Sorted "IPC:302" of sections with a statute's name within NEAR characters on either side."""
-    def one(t):
-        out = set()
-        for m in _near_sections.finditer(t or ""):
-            around = t[max(0, m.start() - NEAR):m.end() + NEAR]
-            out |= {f"{n}:{m.group(1).upper()}" for n, p in _near.items() if p.search(around)}
-        return sorted(out)
-
-    return text.map(one)
+    def owned(t, names, m):
+        far = lambda n: F.greatest(m["start"] - n["end"], n["start"] - m["end"], F.lit(0))
+        begin = lambda n: F.least(n["end"], m["end"])
+        between = lambda n: F.substr(t, begin(n) + 1, F.greatest(n["start"], m["start"]) - begin(n))
+        near = F.filter(names, lambda n: (far(n) <= REACH) & ~between(n).rlike(BREAK))
+        statute = F.array_min(F.transform(near, lambda n: F.struct(far(n).alias("far"), n["start"].alias("start"), n["name"].alias("name"))))["name"]
+        numbers = F.split(m["g1"], r"(?i)\s*(?:,|and|&|/)\s*")
+        return let(statute, lambda s: F.transform(numbers, lambda x: F.struct(s.alias("statute"), F.upper(F.trim(x)).alias("number"))))
+
+    whole = F.struct(text.alias("t"), named.alias("names"), located(text, f"(?i){SECTION_LISTS}", 1).alias("lists"))
+    rows = let(whole, lambda w: F.flatten(F.transform(w["lists"], lambda m: owned(w["t"], w["names"], m))))
+
+    def parted(r):
+        known = F.transform(F.filter(r, lambda x: x["statute"].isNotNull()), lambda x: F.concat_ws(" ", x["statute"], x["number"]))
+        alone = F.transform(F.filter(r, lambda x: x["statute"].isNull()), lambda x: x["number"])
+        return F.struct(F.slice(F.array_distinct(known), 1, MOST).alias("qualified"), F.array_distinct(alone).alias("unqualified"))
+
+    return let(rows, parted)
+
+
+def sections_by_proximity(text: Column) -> Column:
+    """Sorted "IPC:302" of sections with a statute's name within ``NEAR`` characters on either side."""
+    def one(t, m):
+        begin = F.greatest(m["start"] - NEAR, F.lit(0))
+        return let(F.substr(t, begin + 1, m["end"] + NEAR - begin), lambda around: F.array_compact(F.array(*[
+            F.when(around.rlike(f"(?i){p}"), F.concat(F.lit(f"{n}:"), F.upper(m["g1"]))) for n, p in NEAR_STATUTES.items()])))
+
+    whole = F.struct(text.alias("t"), located(text, f"(?i){NEAR_SECTIONS}", 1).alias("found"))
+    return let(whole, lambda w: F.array_sort(F.array_distinct(F.flatten(F.transform(w["found"], lambda m: one(w["t"], m))))))
+
+
+def cross_references(judgments: DataFrame, sections: DataFrame, keep: list[str], text: str, statute: str = "document", number: str = "section") -> DataFrame:
+    """(statute, section, keep): the judgments that name an existing section near its statute; ``sections`` (statute, number) may repeat."""
+    known = sections.select(F.col(statute).alias("statute"), F.upper(number).alias("section")).distinct()
+    named = judgments.select(*keep, F.explode(sections_by_proximity(F.col(text))).alias("_s"))
+    named = named.select(F.substring_index("_s", ":", 1).alias("statute"), F.substring_index("_s", ":", -1).alias("section"), *keep)
+    return named.join(known, ["statute", "section"])
 
 
 def resolve_short(label: Column, recent: Column, paragraph: Column) -> Column:

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.legal import section_key
+from ..functions.places import let, located
 
 # The opening of a section, a number alone on a line, chapter headings, amendment footnotes, repeals in place.
-SECTION = r"(?ms)^(?:\d{1,2}\*+\s*\[\s*)?(?P<num>\d{1,3}[A-Z]{0,2})\.[ \t]+(?P<title>.{3,250}?)\.[ \t]*[-–—]{1,2}"
+SECTION = r"(?dms)^(?:\d{1,2}\*+\s*\[\s*)?(\d{1,3}[A-Z]{0,2})\.[ \t]+(.{3,250}?)\.[ \t]*[-–—]{1,2}"
 MARGIN = r"^\d{1,3}[A-Z]{0,2}\.[ \t]*$"
-CHAPTER = r"(?m)^CHAPTER\s+([IVXLC]+[A-Z]?)\s*$"
+CHAPTER = r"(?dm)^CHAPTER\s+([IVXLC]+[A-Z]?)\s*$"
 FOOTNOTE = r"(?i)^(?:Subs\.?|Ins\.?|Rep\.?|Added|Omitted|Certain|The\s+words|The\s+brackets|Clause|Chapter\s+[IVXLC]+[A-Z]?\s+(?:ins|inserted|added)|S\.\s*\d)"
 REPEALED = r"(?i)^\s*\[?.*?\]?\s*Rep(?:ealed)?\.?\s+by\b"
 
@@ -31,58 +28,62 @@ def monotone(sections: DataFrame, by: str, order: str, number: str, title: str |
 
 
 def chapters_in_force(sections: DataFrame, chapters: DataFrame, by: str, offset: str, chapter: str) -> DataFrame:
-    """Each section with the latest chapter at or before its offset: one ordered union, no range join."""
-    s = sections.withColumns({"_is": F.lit(1), chapter: F.lit(None).cast("string")})
+    """Each section with the latest chapter at or before its offset, before the first an empty text (null if ``chapter`` is no text): one ordered union, no range join."""
+    kind = chapters.schema[chapter].dataType
+    none = F.lit("" if kind.simpleString() == "string" else None).cast(kind)
+    s = sections.withColumns({"_is": F.lit(1), chapter: F.lit(None).cast(kind)})
     c = chapters.select(by, offset, chapter).withColumn("_is", F.lit(0))
     w = Window.partitionBy(by).orderBy(offset, "_is").rowsBetween(Window.unboundedPreceding, 0)
-    return s.unionByName(c, allowMissingColumns=True).withColumn(chapter, F.coalesce(F.last(chapter, ignorenulls=True).over(w), F.lit(""))).where("_is = 1").drop("_is")
-
-
-def without_margin(body: str) -> str:
-    """A section's text without the heading of the next one at its end: its marginal note, then cross-headings."""
-    lines = body.split("\n")
-    tail = [i for i in range(max(len(lines) - 6, 0), len(lines)) if re.match(MARGIN, lines[i])]
-    if tail:
-        lines = lines[:tail[-1]]
+    return s.unionByName(c, allowMissingColumns=True).withColumn(chapter, F.coalesce(F.last(chapter, ignorenulls=True).over(w), none)).where("_is = 1").drop("_is")
 
-    def heading(x: str) -> bool:
-        return 0 < len(x) <= 90 and x[-1] not in ".;:," and (x.startswith("Of ") or x.isupper())
 
-    while lines and heading(lines[-1].strip()):
-        lines.pop()
-    return "\n".join(lines).strip()
+def without_margin(body: Column) -> Column:
+    """A section's text without the heading of the next one at its end: from a number alone on one of the last six lines, then headings."""
+    heading = lambda x: (F.length(x) > 0) & (F.length(x) <= 90) & ~F.right(x, F.lit(1)).isin(list(".;:,")) & (x.startswith("Of ") | ((F.upper(x) == x) & (F.lower(x) != x)))
+    margin = F.filter(F.sequence(F.lit(1), F.lit(6)), lambda i: F.coalesce(F.try_element_at(F.split(body, "\n"), -i).rlike(MARGIN), F.lit(False)))
+    cut = let(F.struct(F.split(body, "\n").alias("x"), F.array_min(margin).alias("m")), lambda s: F.slice(s["x"], 1, F.size(s["x"]) - F.coalesce(s["m"], F.lit(0))))
+    begin = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
 
+    def step(acc, x):
+        drop = acc["open"] & heading(F.trim(x))
+        return F.struct(F.when(drop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"), (acc["open"] & drop).alias("open"))
 
-def openers(text: str) -> list[dict]:
-    """Accepted sections of one text, in order: number, title, body, chapter."""
-    def key(n):
-        m = re.match(r"(\d+)([A-Z]*)$", n)
-        return (int(m[1]), m[2])
+    left = F.aggregate(F.reverse(cut), begin, step, lambda acc: F.reverse(acc["kept"]))
+    return F.trim(F.array_join(left, "\n"))
 
-    found, top = [], (0, "")
-    for m in re.finditer(SECTION, text):
-        title = " ".join(m["title"].split())
-        if key(m["num"]) > top and not re.match(FOOTNOTE, title):
-            found.append((m, title))
-            top = key(m["num"])
-    heads = [(m.start(), m[1]) for m in re.finditer(CHAPTER, text)]
-    out = []
-    for i, (m, title) in enumerate(found):
-        end = found[i + 1][0].start() if i + 1 < len(found) else len(text)
-        body = without_margin(text[m.end():end].strip())
-        chapter = next((f"CHAPTER {n}" for at, n in reversed(heads) if at <= m.start()), "")
-        out.append({"section": m["num"], "title": title, "text": " ".join(body.split()), "chapter": chapter, "repealed": bool(re.match(REPEALED, body))})
-    return out
 
-
-@F.pandas_udf(T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("section", "title", "text", "chapter")), T.StructField("repealed", T.BooleanType())])))
-def _parsed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: openers(t or ""))
+def chapters(laws: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, start, chapter, chapter_title): chapter headings with the first line after each."""
+    c = laws.select(doc, F.col(text).alias("_t"), F.explode(located(F.col(text), CHAPTER, 1)).alias("m"))
+    tail = F.ltrim(F.substr("_t", F.col("m.end") + 1, F.lit(200)), F.lit("\n"))
+    return c.select(doc, F.col("m.start").alias("start"), F.concat(F.lit("CHAPTER "), "m.g1").alias("chapter"), F.trim(F.substring_index(tail, "\n", 1)).alias("chapter_title"))
 
 
 def parse(laws: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, position, section, title, text, chapter, repealed): the sections of each law's text; offsets of matches are needed, so one Arrow function."""
-    return laws.select(doc, F.posexplode(_parsed(F.col(text))).alias("position", "s")).select(doc, "position", "s.*")
+    """(doc, position, section, title, text, chapter, chapter_title, repealed): the sections of each law's text, in order.
+
+    A heading counts if its number is over all before it and it does not read like a footnote; a section runs up to the next heading that counts. A match takes along what
+    follows it up to the next match, so no text is repeated, and a section's parts are joined. Laws without a heading give no rows.
+    """
+    t = F.col(text)
+    heads = let(F.struct(located(t, SECTION, 1, 2).alias("m"), F.split(t, SECTION, -1).alias("p")), lambda s: F.arrays_zip(s["m"].alias("m"), F.slice(s["p"], 2, F.size(s["p"]) - 1).alias("after")))
+    m = laws.where(t.rlike(SECTION)).select(doc, F.explode(heads).alias("_h")).select(doc, "_h.m", "_h.after")
+    m = m.select(doc, F.col("m.start").alias("start"), F.col("m.g1").alias("section"), F.trim(F.regexp_replace("m.g2", r"\s+", " ")).alias("title"), F.col("m.text").alias("_match"), "after")
+    w = Window.partitionBy(doc).orderBy("start")
+    key = section_key(F.col("section"))
+    footnote = F.col("title").rlike(FOOTNOTE)
+    m = m.withColumn("_key", F.when(~footnote, key)).withColumn("_top", F.max("_key").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    counts = ~footnote & (F.col("_top").isNull() | (F.col("_key") > F.col("_top"))) & (key > F.struct(F.lit(0).alias("n"), F.lit("").alias("suffix")))
+    m = m.withColumn("_own", counts).withColumn("position", F.sum(F.col("_own").cast("int")).over(w) - 1).where("position >= 0")
+    part = F.struct("start", F.when(F.col("_own"), F.col("after")).otherwise(F.concat("_match", "after")).alias("t"))
+    g = m.groupBy(doc, "position").agg(
+        F.min("start").alias("start"), F.min_by("section", "start").alias("section"), F.min_by("title", "start").alias("title"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "").alias("_body"))
+    g = g.withColumn("_body", without_margin(F.trim(F.regexp_replace("_body", r"^\s+|\s+$", ""))))
+    g = chapters_in_force(g, chapters(laws, doc, text).withColumn("_c", F.struct("chapter", "chapter_title").cast("struct<chapter: string, chapter_title: string>")), doc, "start", "_c")
+    return g.select(
+        doc, F.col("position").cast("long").alias("position"), "section", "title", F.trim(F.regexp_replace("_body", r"\s+", " ")).alias("text"),
+        F.coalesce("_c.chapter", F.lit("")).alias("chapter"), F.coalesce("_c.chapter_title", F.lit("")).alias("chapter_title"), repealed(F.col("_body")).alias("repealed"))
 
 
 def repealed(body: Column) -> Column:

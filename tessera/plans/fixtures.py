@@ -15,3 +15,5 @@ LAWS = """select p_partkey as ord, case p_partkey % 2 when 0 then 'IPC' else 'BN
 HEADERS = """select o_orderkey as id, concat(case o_orderkey % 7 when 0 then concat('IN THE HIGH COURT OF DELHI AT NEW DELHI', chr(10)) when 1 then concat('IN THE SUPREME COURT OF INDIA', chr(10)) when 2 then concat('BEFORE THE COURT OF SH. A K JAIN, DISTRICT JUDGE, PUNE', chr(10)) when 3 then 'PETITIONER: Ram Lal & Sons Vs. RESPONDENT: State of Bihar DATE OF JUDGMENT: 12/03/1999 ' when 4 then concat('IN THE matter ARGUED before this COURT', chr(10), 'SESSIONS COURT OF THE ADDITIONAL JUDGE', chr(10)) when 5 then concat('NATIONAL GREEN TRIBUNAL, PRINCIPAL BENCH', chr(10)) else concat('Gopal (Retd.) And Anr vs Union Of India And Ors on 4 March, 1999', chr(10)) end, case o_orderkey % 5 when 0 then concat('Criminal Appeal No. ', cast(1 + o_orderkey % 900 as string), ' of 1998') when 1 then concat('W.P. (C) No. ', cast(1 + o_orderkey % 70 as string), '/2011') when 2 then 'Case No: X' when 3 then concat('O.S. No. 7-', cast(o_custkey % 97 as string)) else 'no number' end, chr(10), case o_orderkey % 3 when 0 then 'Dated this the 3 March 2001' when 1 then concat('Judgment reserved on: 0', cast(1 + o_orderkey % 9 as string), '. 02 .2010') else '' end, chr(10), case o_orderkey % 4 when 0 then concat('Justice B. N. Rao', chr(10), 'Hon''ble Mr. Justice A. Sen') when 1 then 'JUSTICE X' when 2 then 'Mr. Justice Roy' else '' end) as header, concat('1. Facts. ', case o_orderkey % 6 when 0 then 'The appeal is dismissed.' when 1 then 'It is disposed of; the PETITION ALLOWED.' when 2 then 'Writ petition is allowed, heard on 05-06-2007.' else 'No outcome.' end) as body from orders"""
 TITLES = """select o_orderkey as id, case o_orderkey % 9 when 0 then 'Ram Lal Through Sh. Mohan Singh Adv. vs State of Bihar' when 1 then 'Mr. A. K. Sharma, Advocate v. Union of India' when 2 then concat('Gopal S/o Ram R/o Delhi vs.', chr(10), ' M/s Acme Ltd. Registered Office Mumbai') when 3 then 'Sita Devi .... Petitioner v The State ...... Respondents' when 4 then concat('No parties here ', cast(o_custkey as string)) when 5 then 'Om Prakash, aged about 45 years VS Delhi Admin Represented by Counsel' when 6 then 'AB v. CD' when 7 then 'Acme Bank Ltd. Through its Manager v. Ravi Kumar, Sr. Counsel' else concat('Party ', cast(o_custkey % 97 as string), ' v. Other v. Third ... ') end as title from orders"""
 PAGES = """select o_custkey % 97 as doc, o_orderkey as page, concat(case o_orderkey % 3 when 0 then concat('carried on ', cast(o_orderkey as string), '. More text', chr(10)) when 1 then chr(10) else '' end, case o_orderkey % 5 when 0 then concat('2. Brief Facts:', chr(10), 'He went home.', chr(10), 'ORDER', chr(10)) when 1 then concat('RATIO DECIDENDI -', chr(10), chr(10), 'We hold so.', chr(10), 'Facts', chr(10), 'again ', cast(o_orderkey % 11 as string)) when 2 then concat('JUDGMENT', chr(10), '   ', chr(10), 'HELD.', chr(10)) when 3 then 'The facts and the order in a line.' else '  ' end) as txt from orders"""
+
+ACTS = """select p_partkey as ord, concat('Preamble text.', chr(10), 'CHAPTER I', chr(10), 'Of ', p_brand, chr(10), '1. ', p_name, '.--Whoever does ', p_type, ' shall be punished.', chr(10), '2.', chr(10), 'Next note', chr(10), 'Of things', chr(10), cast(2 + p_size % 3 as string), '. Second ', p_name, '.--Body two; see section 1.', chr(10), '1*[1. Subs. by Act 27 of 1870.--note', chr(10), case p_partkey % 4 when 0 then concat('CHAPTER II', chr(10), 'Of offences', chr(10)) when 1 then concat('OF MORE', chr(10)) else '' end, cast(4 + p_partkey % 9 as string), case p_partkey % 3 when 0 then 'A' else '' end, '. Third ', p_type, '. -- Rep. by Act 4 of 1898.', chr(10), '3. Back pointing.--ignored text', chr(10), '90. Added by Act 2.--not a section', chr(10), '99. Last.--End of ', p_name, chr(10), '100.') as txt from part"""

@@ -52,16 +52,43 @@ def test_a_source_without_a_weight_weighs_one(spark):
     assert ranking.fuse(df, ["q"], "source", "score", "id", {"a": 0.5}).first().fused == round(1.5 / 61, 9)
 
 
-def test_statute_sections_of_a_text():
+def test_statute_sections_of_a_text(spark):
     text = "CHAPTER II\nOf things\n1. Title one.--Body one.\n2.\nNext title\n2. Next title.--Body two, see s. 1.\nOf other things\n1. Subs. by Act 27 of 1870.--x\n3. Rep. by Act 4.--y\n1*[4. Acts done.--[Old words.] Rep. by Act 3."
-    got = statutes.openers(text)
-    assert [(r["section"], r["title"], r["chapter"]) for r in got] == [("1", "Title one", "CHAPTER II"), ("2", "Next title", "CHAPTER II"), ("4", "Acts done", "CHAPTER II")]
-    assert got[0]["text"] == "Body one." and got[2]["repealed"]
+    d = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "No section here."), (5, "9. Only one.--\n")], "law int, txt string")
+    got = [r for r in statutes.parse(d, "law", "txt").orderBy("law", "position").collect()]
+    assert [(r.section, r.title, r.chapter, r.chapter_title) for r in got[:3]] == [
+        ("1", "Title one", "CHAPTER II", "Of things"), ("2", "Next title", "CHAPTER II", "Of things"), ("4", "Acts done", "CHAPTER II", "Of things")]
+    assert got[0].text == "Body one." and got[2].repealed and not got[0].repealed
+    assert [(r.law, r.section, r.text, r.chapter) for r in got[3:]] == [(5, "9", "", "")]
 
 
-def test_sections_belong_to_the_nearest_statute():
-    text = "Under Sections 302, 34 and 120B of the Indian Penal Code. Clause 3 of the notification and section 5 of that circular. Section 27 of the Evidence Act; s. 27 again."
-    assert citations.attribute(text) == (["IPC 302", "IPC 34", "IPC 120B", "Evidence 27"], ["5"])
+@pytest.mark.parametrize("text, want", [
+    ("body\n421.\nDishonest removal of property", "body"), ("body line.\nOf fraudulent deeds", "body line."), ("a b.\nOF THEFT\nOf robbery", "a b."), ("keep 12.\nthis", "keep 12.\nthis"), ("OF ALL", ""), ("one", "one"), ("", "")])
+def test_margins_at_the_end_of_a_section(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(statutes.without_margin(F.col("t")).alias("t")).first().t == want
+
+
+def test_matches_have_their_places(spark):
+    import re
+
+    from tessera.functions.places import located
+
+    texts = ["", "abc", "x12y3", "12", "é1 \U0001f600 22\n333", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in d.select("i", located(F.col("t"), r"([0-9])([0-9]*)", 1, 2).alias("m")).collect():
+        want = [(m.start(), m.end(), m[0], m[1], m[2]) for m in re.finditer(r"([0-9])([0-9]*)", texts[r.i] or "")]
+        assert [tuple(m) for m in r.m] == want
+
+
+def test_sections_belong_to_the_nearest_statute(spark):
+    texts = [
+        "Under Sections 302, 34 and 120B of the Indian Penal Code. Clause 3 of the notification and section 5 of that circular. Section 27 of the Evidence Act; s. 27 again.",
+        "Section 4 of the Act. The Indian Penal Code is old.", "IPC u/s 420", "section 7 " + "x" * 130 + " IPC", "", None, "IPC section 1; BNS section 2, section 3 IPC"]
+    want = [(["IPC 302", "IPC 34", "IPC 120B", "Evidence 27"], ["5"]), ([], ["4"]), (["IPC 420"], []), ([], ["7"]), ([], []), ([], []), (["IPC 1", "BNS 2", "IPC 3"], [])]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", citations.attributed_sections(F.col("t")).alias("s"), citations.sections_by_proximity(F.col("t")).alias("n"))
+    rows = sorted(d.collect(), key=lambda r: r.i)
+    assert [((r.s.qualified or []), (r.s.unqualified or [])) if r.s else ([], []) for r in rows] == want
+    assert rows[0].n == ["IPC:302", "IPC:5"] and rows[2].n == ["IPC:420"]
 
 
 def test_short_citations_take_the_window(spark):
