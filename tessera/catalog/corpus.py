@@ -10,6 +10,7 @@ from ..operators import citations, graph, selection, state
 from ..operators.ranking import first_per_key, top_k
 from ..plans.base import fixture, query
 from ..plans.fixtures import CHUNKS, JUDGMENTS
+from ..sources.store import new_path
 from ..sources.tables import table
 
 _J = f"WITH j AS ({JUDGMENTS})"
@@ -182,7 +183,41 @@ def cases_by_statute(spark, d):
 
 @query(_G + ", w AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), k AS (SELECT DISTINCT item_id, w FROM w WHERE length(w) > 3), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), s AS (SELECT DISTINCT item_id, id FROM k JOIN n ON contains(string_split(id, '::')[2], w) WHERE id LIKE 'Case::%' OR id LIKE 'Section::%') SELECT item_id, count(*) AS seeds FROM s GROUP BY 1")
 def related_nodes(spark, d):
-    return graph.seeds(_edges(spark, d), table(spark, d, "benchmark"), "item_id", "text", 3).groupBy("item_id").agg(F.count("*").alias("seeds"))
+    return graph.seeds(_edges(spark, d), table(spark, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("seeds"))
+
+
+@query(_G + "SELECT src, dst, arg_min(relation, o) AS relation FROM e GROUP BY 1, 2")
+def merged_graph_edges(spark, d):
+    """The graph of three parts, the second first, stored one after the other; one part comes twice."""
+    j, path = fixture(spark, d, JUDGMENTS), new_path(spark, "graph")
+    for k in (1, 0, 2, 1):
+        part = j.where(F.pmod("case_no", F.lit(3)) == k)
+        graph.merge(graph.related(part, "title", "court", "txt", r"\(\d{4}\)\s*\d+\s*SCC\s*\d+", r"(?i)Section\s+(\d+)\s+of\s+the\s+(Indian\s+Penal\s+Code)"), path)
+    return graph.stored(spark, path).select("src", "dst", "relation")
+
+
+_SEEDS = """, w AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+s AS (SELECT DISTINCT item_id, id FROM w JOIN n ON length(w) > 3 AND contains(string_split(id, '::')[2], w) WHERE id LIKE 'Case::%' OR id LIKE 'Section::%')"""
+
+
+@query(_G + _SEEDS + """, k AS (SELECT item_id, id AS node FROM s WHERE id LIKE 'Case::%' UNION SELECT item_id, dst FROM s JOIN e ON e.src = s.id WHERE dst LIKE 'Case::%' UNION SELECT item_id, src FROM s JOIN e ON e.dst = s.id WHERE relation = 'interprets')
+SELECT item_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id, j.id, row_number() OVER (PARTITION BY item_id ORDER BY j.id) AS rank FROM k JOIN j ON k.node = 'Case::' || lower(trim(j.title))) WHERE rank <= 5""")
+def related_chunks(spark, d):
+    j = fixture(spark, d, JUDGMENTS)
+    return graph.related_chunks(_edges(spark, d), j, table(spark, d, "benchmark"), "item_id", "text", "title", "id", 5)
+
+
+_ASKED = "select distinct o_custkey % 97 as q, case o_custkey % 97 % 3 when 0 then concat('Case ', cast(o_custkey % 97 as string), ' v. State') when 1 then concat('the CASE of ', cast(100 + o_custkey % 97 as string), ' State') else 'nobody at all' end as title from orders"
+
+
+@query(_G + f""", a AS ({_ASKED}), cs AS (SELECT DISTINCT src AS id FROM e), t AS (SELECT id, unnest(list_distinct([x FOR x IN regexp_extract_all(string_split(id, '::')[2], '[a-z0-9]+') IF length(x) > 2])) AS t FROM cs),
+x AS (SELECT q, 'Case::' || lower(trim(title)) AS id FROM a WHERE 'Case::' || lower(trim(title)) IN (SELECT id FROM cs)), r AS (SELECT q, unnest(list_distinct([x FOR x IN regexp_extract_all(lower(title), '[a-z0-9]+') IF length(x) > 2])) AS t FROM a WHERE q NOT IN (SELECT q FROM x)),
+n AS (SELECT q, id, count(*) AS n FROM r JOIN t USING (t) GROUP BY 1, 2), s AS (SELECT * FROM x UNION ALL SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, id) AS k FROM n) WHERE k = 1),
+f AS (SELECT src, dst, arg_min(relation, o) AS relation FROM e GROUP BY 1, 2) SELECT q, id AS node, string_split(id, '::')[2] AS label, 0 AS hops, NULL AS parent, NULL AS relation FROM s
+UNION ALL SELECT q, dst, string_split(dst, '::')[2], 1, src, relation FROM s JOIN f ON f.src = s.id""")
+def citation_chain(spark, d):
+    """From a case's title, exact or by its words, to what it cites and what that cites."""
+    return graph.citation_chain(_edges(spark, d), fixture(spark, d, _ASKED), "q", "title", 2)
 
 
 @query("SELECT label, count(*) AS rows, count(DISTINCT vec_id) AS ids, min(len(embedding)) AS low, max(len(embedding)) AS high, bool_and(len(embedding) = 64) AS ok FROM embeddings GROUP BY 1")
