@@ -83,12 +83,13 @@ def question_kind(spark, d):
     return x.select("id", "kind", w["statute"].alias("statute_weight"), w["judgment"].alias("judgment_weight"), (F.col("kind") != "unsupported").alias("should_retrieve"))
 
 
-_ASSESS = f"""WITH h AS ({HITS}), c AS ({CHOICES}),
-t AS (SELECT c.query_id, c.law AS wl, c.section AS ws, h.score, h.law, h.section, row_number() OVER (PARTITION BY c.query_id ORDER BY h.score DESC) AS place FROM c LEFT JOIN h ON c.query_id = h.query_id),
+#: What is known of each query of ``c`` from its hits ``h``.
+ASSESSED = """t AS (SELECT c.query_id, c.law AS wl, c.section AS ws, h.score, h.law, h.section, row_number() OVER (PARTITION BY c.query_id ORDER BY h.score DESC) AS place FROM c LEFT JOIN h ON c.query_id = h.query_id),
 a AS (SELECT query_id, wl, ws, count(score) AS n, round(max(score), 4) AS peak, round(max(score) - CASE WHEN count(score) > 1 THEN min(score) FILTER (WHERE place <= 3) ELSE 0 END, 4) AS margin,
  count(*) FILTER (WHERE score >= 0.486) AS n_support, wl IS NULL OR coalesce(bool_or(law = wl), false) AS corpus_match, CASE WHEN ws IS NOT NULL THEN coalesce(bool_or(section = ws), false) END AS section_found FROM t GROUP BY 1, 2, 3),
 b AS (SELECT *, n = 0 OR peak < 0.40 OR NOT corpus_match OR (NOT coalesce(section_found, false) AND (n_support = 0 OR peak < 0.486)) AS abstain FROM a)
 """
+_ASSESS = f"WITH h AS ({HITS}), c AS ({CHOICES}),\n{ASSESSED}"
 
 
 def _assessed(spark, d):
@@ -101,6 +102,8 @@ def abstain_assess(spark, d):
     return _assessed(spark, d)
 
 
+REASON = "CASE WHEN n = 0 THEN 'no evidence' WHEN peak < 0.40 THEN 'below the floor' WHEN abstain THEN 'abstention advised' ELSE 'sufficient' END"
+CONFIDENCE = "CASE WHEN abstain THEN 'none' WHEN NOT section_found THEN 'low' WHEN section_found THEN 'high' WHEN peak < 0.486 OR n_support < 1 THEN 'low' WHEN peak >= 0.60 THEN 'high' ELSE 'medium' END"
 _REASONED = "SELECT query_id, CASE WHEN n = 0 THEN 'no evidence' WHEN n < 4 THEN 'too few sources' WHEN peak < 0.40 THEN 'below the floor' WHEN abstain THEN 'abstention advised' ELSE 'sufficient' END AS reason FROM b"
 
 

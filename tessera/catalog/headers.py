@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as h
 from ..functions import legal, maxims
 from ..operators import citations, splitting, state
-from ..plans.base import fixture, query
+from ..plans.base import counted_terms, counted_terms_sql, fixture, query
 from ..plans.fixtures import HEADERS, LEGAL, PAGES, TITLES
 from ..sources.tables import table
 
@@ -87,9 +87,13 @@ def marked_maxims(spark, d):
     return fixture(spark, d, _ANSWER).select("id", maxims.marked(F.col("answer")).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{_q(m)}')" for t, m in maxims.MAXIMS.items()) + ") g(term, definition)")
+_MAXIMS = list(maxims.MAXIMS.items())
+
+
+@query(counted_terms_sql(_ANSWER, "answer", ["term", "definition"], _MAXIMS))
 def maxims_table(spark, d):
-    return spark.createDataFrame(list(maxims.MAXIMS.items()), "term string, definition string")
+    """Maxims and meanings, and how many answers hold each."""
+    return counted_terms(fixture(spark, d, _ANSWER), "answer", ["term", "definition"], _MAXIMS)
 
 
 _NAMES = "MAP {" + ", ".join(f"'{a}': '{s}'" for a, s in splitting.SECTION_OF.items()) + "}"

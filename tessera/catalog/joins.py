@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import legal
 from ..functions import text as tx
 from ..operators import chunking, joins, ranking
-from ..plans.base import fixture, query
+from ..plans.base import counted_terms, counted_terms_sql, fixture, query
 from ..plans.fixtures import ANSWERS, ASK, CHUNKS, JUDGMENTS, LAWS
 from ..sources import nested
 from ..sources.tables import table
@@ -115,14 +115,20 @@ def answer_markers(spark, d):
     return fixture(spark, d, ASK).select("id", F.array_join(F.array_sort(legal.marked_citations(t)), ";").alias("marks"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{v}')" for t, v in legal.GLOSSES.items()) + ") g(term, gloss)")
+_GLOSSES = list(legal.GLOSSES.items())
+_CONCEPTS = [(a, t) for a, ts in legal.CONCEPTS.items() for t in ts]
+
+
+@query(counted_terms_sql(JUDGMENTS, "txt", ["term", "gloss"], _GLOSSES))
 def glossary(spark, d):
-    return spark.createDataFrame(list(legal.GLOSSES.items()), "term string, gloss string")
+    """Glosses, and how many judgments hold each term."""
+    return counted_terms(fixture(spark, d, JUDGMENTS), "txt", ["term", "gloss"], _GLOSSES)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, ts in legal.CONCEPTS.items() for t in ts) + ") g(anchor, term)")
+@query(counted_terms_sql(JUDGMENTS, "txt", ["anchor", "term"], _CONCEPTS))
 def concept_map(spark, d):
-    return spark.createDataFrame([(a, t) for a, ts in legal.CONCEPTS.items() for t in ts], "anchor string, term string")
+    """Concepts and their terms, and how many judgments hold each term."""
+    return counted_terms(fixture(spark, d, JUDGMENTS), "txt", ["anchor", "term"], _CONCEPTS)
 
 
 @query()

@@ -245,3 +245,8 @@ def section_key(number: Column) -> Column:
     ok = number.rlike(r"^\d+[A-Z]*$")
     return F.when(ok, F.struct(F.regexp_extract(number, r"^(\d+)", 1).try_cast("int").alias("n"), F.regexp_extract(number, r"^\d+([A-Z]*)$", 1).alias("suffix"))).otherwise(
         F.struct(F.lit(1_000_000).alias("n"), number.alias("suffix")))
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Those of some terms that a text holds, in any case."""
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(text), F.lower(t)))

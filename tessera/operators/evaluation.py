@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+from .ranking import first_per_key, top_k
+
 
 def closed_up(run: DataFrame, query: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     """(query, id, rank): the first of each id's places, and ranks without gaps."""
@@ -84,3 +89,62 @@ def rates(df: DataFrame, by: list[str], truth, decided) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), n(truth & decided).alias("tp"), n(~truth & decided).alias("fp"), n(truth & ~decided).alias("fn"), n(~truth & ~decided).alias("tn"),
         F.round(F.try_divide(n(truth & decided), n(truth)), 6).alias("tpr"), F.round(F.try_divide(n(~truth & decided), n(~truth)), 6).alias("fpr"))
+
+
+def sweep(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """(threshold, tp, fp, fn, tn, accuracy): every score as the threshold from which on a row counts as positive.
+
+    Rows of one score are counted first; sums over the scores above are then running sums over ranges of scores, so all thresholds cost one
+    scan. Rows without a score or without a truth take no part.
+    """
+    rows = df.select(F.col(score).alias("threshold"), positive.alias("_p")).where("threshold is not null and _p is not null")
+    n = rows.groupBy("threshold").agg(F.count("*").alias("_n"), F.sum(F.col("_p").cast("long")).alias("_pos")).withColumn("_down", -F.col("threshold"))
+    n, total = running(n, ["_down"], "_n", "_above")
+    n, positives = running(n, ["_down"], "_pos", "_hits")
+    tp = F.col("_hits") + F.col("_pos")
+    fp = F.col("_above") + F.col("_n") - tp
+    n = n.select("threshold", tp.alias("tp"), fp.alias("fp"), (F.lit(positives) - tp).alias("fn"), (F.lit(total - positives) - fp).alias("tn"))
+    return n.withColumn("accuracy", F.round((F.col("tp") + F.col("tn")) / total, 6))
+
+
+def best_threshold(swept: DataFrame) -> DataFrame:
+    """The row of the highest accuracy, of several the highest threshold."""
+    return swept.orderBy(F.desc("accuracy"), F.desc("threshold")).limit(1)
+
+
+def grid(values: dict[str, list[float]]) -> list[dict[str, float]]:
+    """All points of a grid, the last name running fastest."""
+    return [dict(zip(values, p)) for p in product(*values.values())]
+
+
+def tune(candidates: DataFrame, gold: DataFrame, points: list[dict[str, float]], query: str, case: str, id_col: str, semantic: str, least: float = 0.30, k: int = 5) -> DataFrame:
+    """(trial, the weights, queries, ndcg, rr, recall): each point of a weight grid by the ``k`` best cases of each query, best first.
+
+    ``candidates`` has a boolean for each weight's name. All points are scored in one array of a row, so candidates are read once; of a case the best row
+    that reaches ``least`` counts. Queries without gold take no part, queries without a hit count as 0.
+    """
+    names = list(points[0])
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False)).cast("double")
+    scores = F.array(*[F.round(F.col(semantic) + sum((flag(n) * p[n] for n in names), F.lit(0.0)), 4) for p in points])
+    s = candidates.select(F.col(query).alias("_q"), F.col(case).alias("_case"), F.col(id_col).alias("_id"), F.posexplode(scores).alias("trial", "_s")).where(F.col("_s") >= least)
+    best = first_per_key(s, ["trial", "_q", "_case"], [F.desc("_s"), F.col("_id")])
+    run = top_k(best, k, ["trial", "_q"], "_s", "_id").select(F.struct("trial", "_q").alias("_k"), "rank", F.col("_case").alias("_c"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1)))
+    want = gold.select(F.col(query).alias("_q"), F.col(case).alias("_c")).withColumn("trial", every).select(F.struct("trial", "_q").alias("_k"), "_c")
+    m = metrics_at(run, want, k, "_k", "_c").withColumn("trial", F.col("_k.trial"))
+    m = macro_average(m, ["trial"], ["ndcg", "rr", "recall"])
+    weight = lambda n: F.get(F.array(*[F.lit(p[n]) for p in points]), F.col("trial")).alias(n)
+    return m.select("trial", *map(weight, names), "queries", "ndcg", "rr", "recall").orderBy(F.desc("ndcg"), "trial")
+
+
+def without_each(hits: DataFrame, query: str, score: str, id_col: str, k: int) -> DataFrame:
+    """(query, removed, removed_rank, id_col, score): for each of a query's ``k`` best hits, the ``k`` best of the others.
+
+    One more hit a query than ``k`` is enough, so nothing is searched again: at most k * (k + 1) rows a query.
+    """
+    w = Window.partitionBy(query).orderBy(F.desc(score), F.col(id_col))
+    top = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+    # the hits that may go, beside each hit; a rank after the removed one moves up
+    gone = top.where(F.col("_r") <= k).select(query, F.col(id_col).alias("removed"), F.col("_r").alias("removed_rank"))
+    left = top.join(gone, query).where(F.col("_r") != F.col("removed_rank"))
+    return left.where(F.col("_r") - (F.col("_r") > F.col("removed_rank")).cast("int") <= k).drop("_r")

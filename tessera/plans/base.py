@@ -29,3 +29,20 @@ def fixture(spark: SparkSession, d: str, text: str) -> DataFrame:
     """A fixture's rows; its tables are passed in, not registered under shared names."""
     names = set(re.findall(_TABLES, text))
     return spark.sql(re.sub(_TABLES, r"from {\1}", text), **{n: table(spark, d, n) for n in names})
+
+
+def counted_terms(texts: DataFrame, text: str, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A fixed table (its first column but for a leading one is ``term``) with ``n_texts``, how many texts hold each term."""
+    from pyspark.sql import functions as F
+
+    from ..functions.legal import terms_in
+
+    n = texts.select(F.explode(F.array_distinct(terms_in(F.col(text), sorted({r[names.index("term")] for r in rows})))).alias("term")).groupBy("term").agg(F.count("*").alias("n_texts"))
+    fixed = texts.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
+    return fixed.join(n, "term", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0)).cast("long"))
+
+
+def counted_terms_sql(source: str, text: str, names: list[str], rows: list[tuple]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    return f"WITH g AS (SELECT * FROM (VALUES {values}) g({', '.join(names)})), s AS ({source}), n AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT term FROM g) k JOIN s ON contains(lower({text}), lower(term)) GROUP BY 1) SELECT g.*, coalesce(n, 0) AS n_texts FROM g LEFT JOIN n USING (term)"

@@ -317,4 +317,4 @@ def plan_strata(spark, d):
 
 
 # the themes register their own queries
-from .catalog import answering, asking, corpus, documents, evidence, headers, inverted, joins, measures, streams, vectors  # noqa: E402, F401
+from .catalog import answering, asking, corpus, documents, evidence, headers, inverted, joins, measures, path, streams, vectors  # noqa: E402, F401
