@@ -12,7 +12,7 @@ the round as mislabelled.
 
 Defined cases: null and empty texts score as the empty window of padding; whole texts are read, however long; repeated rows give
 repeated rows; labels, lang, source and doc_id are never inputs; with no labels to learn from every score is 0.5; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; a null id is scored and not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
-from .labels import labelled, remainder
+from .labels import held_out, labelled, remainder
 
 SAMPLE = 2400
 WINDOW, STRIDE = 24, 16
@@ -372,7 +372,7 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
                 p = rate(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, 4) == 2).alias("held_out"), text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, 4, 2).alias("held_out"), text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(df: DataFrame, model, text_col: str = "text") -> DataFrame:

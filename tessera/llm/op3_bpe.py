@@ -32,6 +32,8 @@ REMEMBERED = 8 << 20
 SLICE = 1 << 20
 SEP = (1 << 31) - 1
 SHIFT = 32
+#: The usual pre-token pattern: text can be split at its blanks before it.
+BLANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Places of a rank that are joined one by one rather than as arrays.
 FEW = 12
 
@@ -50,7 +52,10 @@ class Merges:
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-        self.find = regex.compile(pattern).findall
+        matches = regex.compile(pattern).finditer
+        self.find = lambda text: [m.group() for m in matches(text)]
+        #: whether a blank between two other characters always begins a pre-token
+        self.by_blanks = pattern == BLANK_PATTERN
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -192,8 +197,8 @@ class Merges:
 class Encoder:
     """Encodes texts shard by shard; remembers the words of this task only.
 
-    A blank between two other characters always begins a pre-token, so what stands between such blanks is split
-    into pre-tokens once for each distinct piece; a text with other white space beside a blank is split whole.
+    With the usual pattern a blank between two other characters always begins a pre-token, so what stands between such blanks is split
+    into pre-tokens once for each distinct piece; a text with other white space beside a blank is split whole, and so is every text under another pattern.
     """
 
     def __init__(self, merges: Merges):
@@ -221,6 +226,8 @@ class Encoder:
         if self.held > REMEMBERED:
             self.words, self.pieces, self.held = {}, {}, 0
         find, pieces = self.merges.find, self.pieces
+        if not self.merges.by_blanks:
+            return self._ids([find(t) for t in texts])
         cut = [t.split(" ") for t in texts]
         fresh = list({w for c in cut for w in c[1:] if w not in pieces})
         good = [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]

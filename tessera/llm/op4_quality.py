@@ -7,7 +7,7 @@ sum |v_i x_i|^2). Weights are learnt in numpy by Adagrad on a bounded sample of
 
 Defined cases: null and empty texts are scored by the bias and their statistics' bins; whole texts are read, however
 long; repeated rows give repeated rows; labels, lang, source and doc_id are never inputs; with no labels to learn from
-every score is 0.5; an empty table gives no rows; other columns are ignored.
+every score is 0.5; an empty table gives no rows; a null id is scored and not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
-from .labels import labelled, remainder
+from .labels import held_out, labelled, remainder
 
 SAMPLE = 4000
 WORDS = 1 << 16
@@ -148,7 +148,7 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, 5) == 0).alias("held_out"), text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

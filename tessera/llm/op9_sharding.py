@@ -40,7 +40,7 @@ def directory(hashed: DataFrame, limit: int) -> DataFrame:
     over = live.withColumn("open", F.lit(True)).drop("open")
     while True:
         last = min(depth + STEP, MAX_DEPTH)
-        depths = list(range(depth, last + 1)) if depth == 0 else list(range(depth + 1, last + 1))
+        depths = list(range(depth + (depth > 0), last + 1))
         sums = (
             over.select(F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", 32 - d).alias("prefix")) for d in depths])).alias("k"), "bytes")
             .groupBy("k.depth", "k.prefix").agg(F.sum("bytes").alias("shard_bytes"))
@@ -48,7 +48,7 @@ def directory(hashed: DataFrame, limit: int) -> DataFrame:
         sums = materialize(sums, "sums")
         fits = (F.col("shard_bytes") <= limit) | (F.col("depth") == MAX_DEPTH)
         parent = sums.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
-        top = sums.where(fits & (F.col("depth") == depths[0])) if depth == 0 else sums.where(fits & (F.col("depth") == depths[0]))
+        top = sums.where(fits & (F.col("depth") == depths[0]))
         below = sums.where(fits & (F.col("depth") > depths[0])).withColumn("up", F.shiftright("prefix", 1)).join(parent, ["depth", "up"], "left_semi").select("depth", "prefix", "shard_bytes")
         new = top.select("depth", "prefix", "shard_bytes").unionByName(below)
         found = new if found is None else found.unionByName(new)
@@ -75,9 +75,9 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the rows of each bucket to a folder of its own, one file a task and bucket."""
+    """Write the rows of each bucket to a folder of its own, named b and its bits, so that no reader takes the bits for a number."""
     name, shard = fresh(df, "id", "shard")
-    a = assign(df, id_col, text_col, limit).select(F.col("doc_id").alias(name), F.col("shard").alias(shard)).distinct()
+    a = assign(df, id_col, text_col, limit).select(F.col("doc_id").alias(name), F.concat(F.lit("b"), "shard").alias(shard)).distinct()
     df.join(a, F.col(id_col).eqNullSafe(F.col(name))).drop(name).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
