@@ -9,7 +9,7 @@ are then resolved. Bounds are computed for a whole block of queries by matrix pr
 is the same for all queries of one sign.
 
 Candidates and queries meet block by block (a grid of query blocks x candidate blocks), never row by row, and each
-meeting returns k rows a query at most.
+meeting returns k rows a query at most. A block of candidates is sorted once, into a row that holds its ids, values and lists.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate; a query meets
 vectors of its own length only; equal scores rank by the smaller id; a repeated id is kept as separate candidates,
@@ -20,8 +20,8 @@ give no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table
@@ -46,21 +46,22 @@ def quantize(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     ).select("vec_id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("v"))
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
+def lists_of(x: np.ndarray) -> np.ndarray:
+    """The values of each component in rising order: a list is read from its end for a positive weight, from its start for a negative one."""
+    return np.sort(x, axis=0)
 
 
-def bounded(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, kind):
-    """([(query row, candidate rows that bounds leave)], query rows that the rounds did not resolve)."""
+def bounded(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, kind, lists: np.ndarray | None = None):
+    """([(query row, candidate rows that bounds leave, share of the lists read)], query rows that the rounds did not resolve)."""
     n = len(x)
-    xs = np.sort(x, axis=0)
+    xs = lists_of(x) if lists is None else lists
     pos, neg = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
     w = np.hstack([pos, neg])
     low, high = xs[0], xs[-1]
     active = np.arange(len(q))
-    keep: list[tuple[np.ndarray, np.ndarray]] = []
+    keep: list[tuple[int, np.ndarray, float]] = []
     for part in ROUNDS:
-        if n <= 4 * k or not len(active):
+        if not len(active):
             break
         depth = max(1, int(n * part))
         top, bottom = xs[n - depth], xs[depth - 1]
@@ -77,20 +78,18 @@ def bounded(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: i
         counts = alive.sum(1)
         done = counts <= max(8 * k, n // 16)
         for row in np.flatnonzero(done):
-            keep.append((active[row], np.flatnonzero(alive[row])))
+            keep.append((int(active[row]), np.flatnonzero(alive[row]), part))
         active = active[~done]
     return keep, active
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int):
-    """The k best (query row, candidate row, score) of one block by bounded list reads."""
+def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, lists: np.ndarray | None = None):
+    """The k best (query, candidate, score) of one block by bounded list reads; ``cid`` in rising order."""
     n, d = x.shape
-    order = np.argsort(cid, kind="stable")
-    cid, x = cid[order], x[order]
     big = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d
     # whole numbers are exact in float32 under 2**24 and in float64 under 2**53
     kind = np.float32 if big < 2**23 else np.float64 if big < 2**52 else np.int64
-    keep, active = bounded(qid, q, cid, x, k, kind)
+    keep, active = bounded(qid, q, cid, x, k, kind, lists)
     rows_q, rows_c, scores = [], [], []
 
     def best(qi: int, cand: np.ndarray, s: np.ndarray) -> None:
@@ -107,7 +106,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray,
         scores.append(s[by].astype(np.int64))
 
     exact, xk = q.astype(kind), x.astype(kind)
-    for qi, cand in keep:
+    for qi, cand, _ in keep:
         best(qi, cand, xk[cand] @ exact[qi])
     if len(active):  # lists read to their ends: both bounds are the score
         s = exact[active] @ xk.T
@@ -117,29 +116,43 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray,
     return (np.concatenate(a) if a else np.empty(0, np.int64) for a in (rows_q, rows_c, scores))
 
 
+BLOCK = "b int, width int, ids binary, x binary, lists binary"
+
+
+def _blocks(df: DataFrame, n: int, sort: bool) -> DataFrame:
+    """One row for each of ``n`` blocks and each length of vectors: ids in rising order, their vectors, and with ``sort`` the sorted lists."""
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        ids = t.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.reshape(len(ids), -1)[order]
+        lists = lists_of(x).tobytes() if sort else b""
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "width": pa.array([key[1].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "x": [x.tobytes()], "lists": [lists]})
+
+    keyed = df.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"), "width": F.size("v")})
+    return keyed.groupBy("b", "width").applyInArrow(pack, BLOCK)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) over quantized (vec_id, v) tables."""
     spark = queries.sparkSession
     prepare(spark)
     n, nq = candidates.count(), queries.count()
     cb, qb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    c = candidates.withColumn("cb", block(cb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    q = queries.withColumn("qb", block(qb)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-
-    def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for width, part in left.groupby(left["v"].map(len)):
-            other = right[right["v"].map(len) == width]
-            if len(other):
-                a, b, s = search_block(part["vec_id"].to_numpy(np.int64), _matrix(part), other["vec_id"].to_numpy(np.int64), _matrix(other), k)
-                out.append(pd.DataFrame({"query_id": a, "vec_id": b, "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    met = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, OUT)
+    c = _blocks(candidates, cb, True).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    q = _blocks(queries, qb, False).select(F.col("b").alias("qb"), "width", F.col("ids").alias("qids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("b"))
+
+    def meet(batches):
+        long = lambda raw: np.frombuffer(raw.as_py(), dtype=np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, x, lists, qids, qs, width = (batch.column(name)[row] for name in ("ids", "x", "lists", "qids", "q", "width"))
+                d = width.as_py()
+                found = search_block(long(qids), long(qs).reshape(-1, d), long(ids), long(x).reshape(-1, d), k, long(lists).reshape(-1, d))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], ["query_id", "vec_id", "score"])
+
+    met = c.join(q, ["b", "qb", "width"]).select("ids", "x", "lists", "qids", "q", "width").mapInArrow(meet, OUT)
     # k rows of each candidate block at most meet again for a query
-    from pyspark.sql import Window
-
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -420,13 +420,27 @@ def test_bounds_resolve_queries_without_all_candidates():
     x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
     ids, at = np.arange(2000), np.arange(0, 2000, 20)
     keep, left = op7_topk.bounded(ids[at], x[at], ids, x, 20, np.float32)
-    assert len(left) == 0 and all(len(c) <= 160 for _, c in keep)
+    assert len(left) == 0 and all(len(c) <= 160 for _, c, _ in keep)
     q, c, s = op7_topk.search_block(ids[at], x[at], ids, x, 20)
     for i in at:
         want = sorted((-int(x[i] @ x[j]), j) for j in ids if j != i)[:20]
         assert [(-v, j) for v, j in sorted(zip(s[q == i], c[q == i]), key=lambda r: (-r[0], r[1]))] == want
 
 
+def test_queries_stop_early_where_few_values_are_large():
+    """Lists with a short head of large values: a quarter of them is enough, and the result is that of all products."""
+    rng = np.random.default_rng(17)
+    x = np.floor(rng.exponential(size=(1500, 12)) ** 4).astype(np.int64)
+    ids, at = np.arange(1500), np.arange(0, 1500, 50)
+    keep, left = op7_topk.bounded(ids[at], x[at] + 1, ids, x, 5, np.float64)
+    parts = [part for _, _, part in keep]
+    assert len(left) == 0 and len(keep) == len(at) and sum(p == op7_topk.ROUNDS[0] for p in parts) > len(at) // 2
+    q, c, s = op7_topk.search_block(ids[at], x[at] + 1, ids, x, 5)
+    for i in at:
+        want = sorted((-int((x[i] + 1) @ x[j]), j) for j in ids if j != i)[:5]
+        assert [(-v, j) for v, j in sorted(zip(s[q == i], c[q == i]), key=lambda r: (-r[0], r[1]))] == want
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(10)
     for _ in range(200):
