@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .places import let
+
 # Citation formats.
 CITATION_FORMATS = [
     r"\(\d{4}\)\s*\d+\s*SCC\s*\d+", r"AIR\s*\d{4}\s*[A-Z]+\s*\d+", r"\(\d{4}\)\s*\d+\s*SCR\s*\d+", r"\d{4}\s*CriLJ\s*\d+",
@@ -174,8 +176,11 @@ def title_ok(value: Column) -> Column:
 
 def court_city(text: Column) -> Column:
     """The recognised city with the longest name; of equal lengths the one listed first."""
-    up = F.upper(text)
-    return F.coalesce(*[F.when(up.rlike(rf"\b{c}\b"), c) for c in sorted(CITIES, key=len, reverse=True)])
+    order = sorted(CITIES, key=len, reverse=True)
+    # no city's name begins within another's and goes on after it, so one search finds all that matter
+    named = found(F.upper(text), r"\b(?:" + "|".join(order) + r")\b")
+    first = F.array_min(F.transform(named, lambda c: F.array_position(F.array(*map(F.lit, order)), c)))
+    return let(first, lambda i: F.get(F.array(*map(F.lit, order)), i.cast("int") - 1))
 
 
 def passage_kind(section: Column, text: Column) -> Column:

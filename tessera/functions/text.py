@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .places import let
+
 # Stop words of the lexical index.
 STOP_WORDS = [
     "the", "a", "an", "and", "or", "of", "in", "to", "is", "are", "was", "were", "that", "this", "it", "be", "has", "have",
@@ -127,9 +129,14 @@ MISREADINGS = [
 ]
 
 
+#: Any of the misread words: a text without one is left alone after one look.
+ANY_MISREADING = r"(?i)\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in MISREADINGS) + ")"
+
+
 def corrected(text: Column) -> Column:
     """Misread words mended, one after the other."""
-    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p[0], p[1]), MISREADINGS, text)
+    mended = lambda t: reduce(lambda x, p: F.regexp_replace(x, "(?i)" + p[0], p[1]), MISREADINGS, t)
+    return let(text, lambda t: F.when(t.rlike(ANY_MISREADING), mended(t)).otherwise(t))
 
 
 def without_leading_symbols(text: Column) -> Column:

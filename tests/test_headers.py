@@ -117,3 +117,22 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
     assert state.remaining(built, both, "i", "i", "t", 4).count() == 0
     empty = state.resume_plan(built.limit(0), both, "i", "i", "t", 4).first()
     assert (empty["total"], empty["first_to_do"], empty["slices_to_do"]) == (0, None, 0)
+
+
+def test_no_city_begins_within_another_and_goes_on_after_it():
+    from tessera.functions.legal import CITIES
+
+    for a in CITIES:
+        for b in CITIES:
+            words = a.split()
+            assert a == b or not any(b.startswith(" ".join(words[k:]) + " ") for k in range(1, len(words)))
+
+
+def test_the_longest_city_counts(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.legal import court_city
+
+    rows = [("court at pune and New Delhi", "NEW DELHI"), ("Delhi", "DELHI"), ("nowhere", None), ("", None), (None, None), ("DELHIX", None)]
+    got = spark.createDataFrame(rows, "t string, w string").select(court_city(F.col("t")).alias("c"), "w").collect()
+    assert [r.c for r in got] == [r.w for r in got]
