@@ -52,10 +52,11 @@ def writers_context(spark, d):
     return answering.context(fixture(spark, d, _RUNS), "query_id", 5, filters)
 
 
-@query("""WITH r AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 31 <> 0), f AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 37 <> 0)
+@query("""WITH r AS (SELECT doc_id, md5(text) AS h FROM documents), f AS (SELECT CASE WHEN doc_id % 37 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 29 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h FROM documents)
 SELECT doc_id, CASE WHEN r.doc_id IS NULL THEN 'unrecorded' WHEN f.doc_id IS NULL THEN 'missing' WHEN r.h = f.h THEN 'ok' ELSE 'changed' END AS status FROM r FULL JOIN f USING (doc_id)""")
 def provenance_check(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    # records lack some files, and some files were changed or lost since
-    found = docs.where("doc_id % 37 <> 0").withColumn("h", F.when(F.col("doc_id") % 29 == 0, "x").otherwise(F.col("h")))
-    return state.provenance_status(docs.where("doc_id % 31 <> 0"), found, "doc_id", "h")
+    """All documents on record, against the same files of which some were changed and others renamed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    now = F.md5(F.when(F.col("doc_id") % 29 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    found = docs.select(F.when(F.col("doc_id") % 37 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), now.alias("h"))
+    return state.provenance_status(docs.select("doc_id", F.md5("text").alias("h")), found, "doc_id", "h")

@@ -127,19 +127,19 @@ def candidate_keys(spark, d):
     return p.select("page_id", state.path_key(F.col("url")).alias("path_key"), state.object_url("https://store", F.col("year"), F.col("url")).alias("object_url"), F.concat_ws("/", "year", "url").alias("candidate"))
 
 
-_SEEN = ", seen AS (SELECT * FROM j WHERE id % 3 = 0), c AS (SELECT * FROM j WHERE id % 3 = 1)"
+_SEEN = ", seen AS (SELECT * FROM j WHERE id % 3 = 0), c AS (SELECT * FROM j WHERE id % 3 <> 0)"
 
 
 @query(_J + _SEEN + " SELECT id, CASE WHEN EXISTS (SELECT 1 FROM seen s WHERE s.txt = c.txt) THEN 'text' WHEN EXISTS (SELECT 1 FROM seen s WHERE s.title = c.title AND s.dated = c.dated AND s.dated <> '') THEN 'title' END AS reason FROM c")
 def seen_before(spark, d):
     j = fixture(spark, d, JUDGMENTS).withColumns({"sha": F.sha2("txt", 256), "named": F.when(F.col("dated") != "", F.concat_ws("/", "title", "dated"))})
-    return state.seen_reason(j.where("id % 3 = 1"), j.where("id % 3 = 0"), [("text", "sha"), ("title", "named")]).select("id", "reason")
+    return state.seen_reason(j.where("id % 3 <> 0"), j.where("id % 3 = 0"), [("text", "sha"), ("title", "named")]).select("id", "reason")
 
 
-@query("WITH m AS (SELECT doc_id AS k, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS k, md5(lang) AS h FROM documents WHERE doc_id % 5 = 0), u AS (SELECT * FROM m WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n) SELECT k, h FROM u WHERE k IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)")
+@query("WITH m AS (SELECT doc_id AS k, md5(text) AS h FROM documents), n AS (SELECT doc_id AS k, md5(lang) AS h FROM documents WHERE doc_id % 5 = 0), u AS (SELECT * FROM m WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n) SELECT k, h FROM u WHERE k IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)")
 def manifest_update(spark, d):
     x = table(spark, d, "documents")
-    m, n = x.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), F.md5("text").alias("h")), x.where("doc_id % 5 = 0").select(F.col("doc_id").alias("k"), F.md5("lang").alias("h"))
+    m, n = x.select(F.col("doc_id").alias("k"), F.md5("text").alias("h")), x.where("doc_id % 5 = 0").select(F.col("doc_id").alias("k"), F.md5("lang").alias("h"))
     return state.pruned(state.upsert(m, n, "k"), x.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("k")), "k")
 
 

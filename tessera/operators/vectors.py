@@ -29,10 +29,10 @@ CELL_ROWS = 64 * BLOCK
 ROUNDS = 12
 
 
-def _valid(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
+def _valid(df: DataFrame, id_col: str, vector: str, dim: int, more: list[str] | None = None) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     good = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return df.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), *(more or ()))
 
 
 def _matrix(column) -> np.ndarray:
@@ -198,10 +198,8 @@ def _met(spark: SparkSession, path: str, asked: DataFrame, columns: list[str]) -
     return blocks(spark, path).where(F.col("cell").isin(cells)).select("cell", "block", *columns).join(asked, "cell")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, dim: int, k: int, n_probe: int | None = 16, others_only: bool = True) -> DataFrame:
-    """(query_id, rank, id, score): the k best inner products among the rows of the ``n_probe`` nearest cells (None: all cells, so exact)."""
-    asked = written(probes(spark, path, queries, query_id, vector, dim, n_probe), "probes")
-
+def _multiplied(pairs: DataFrame, k: int, others_only: bool) -> DataFrame:
+    """(query_id, id, score): the k best of each meeting of a block (ids, vectors) and a block of queries (qids, q)."""
     def run(batches):
         for b in batches:
             for ids, raw, qids, q in zip(*(b.column(c) for c in ("ids", "vectors", "qids", "q"))):
@@ -213,10 +211,42 @@ def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, ve
                 at = np.concatenate(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[at]), pa.array(score[np.repeat(np.arange(len(qids)), n), at])], ["query_id", "id", "score"])
 
-    found = _met(spark, path, asked, ["ids", "vectors"]).select("ids", "vectors", "qids", "q").mapInArrow(run, "query_id long, id long, score double")
+    found = pairs.select("ids", "vectors", "qids", "q").mapInArrow(run, "query_id long, id long, score double")
     return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "score", "id").select("query_id", "rank", "id", "score")
 
 
+def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, dim: int, k: int, n_probe: int | None = 16, others_only: bool = True) -> DataFrame:
+    """(query_id, rank, id, score): the k best inner products among the rows of the ``n_probe`` nearest cells (None: all cells, so exact)."""
+    asked = written(probes(spark, path, queries, query_id, vector, dim, n_probe), "probes")
+    return _multiplied(_met(spark, path, asked, ["ids", "vectors"]), k, others_only)
+
+
+def _packed(vectors: DataFrame, n_blocks: int) -> DataFrame:
+    """(part, block, ids, vectors) of (part, id, v): unit vectors in ``n_blocks`` blocks of each part; a vector of length 0 stays 0."""
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("v"))
+        x = x / np.where(np.linalg.norm(x, axis=1) > 0, np.linalg.norm(x, axis=1), 1)[:, None]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([t.column("id").to_numpy()], pa.list_(pa.int64())), "vectors": pa.array([x.tobytes()], pa.binary())})
+
+    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    return keyed.groupBy("part", "block").applyInArrow(pack, "part long, block int, ids array<long>, vectors binary")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, dim: int, k: int, part: str | None = None, others_only: bool = True) -> DataFrame:
+    """(query_id, rank, id, score): the k best cosines of each query among all rows, or all of its ``part`` (a long), without an index.
+
+    Rows and queries meet block by block, in a grid of blocks, never row by row.
+    """
+    ship(rows.sparkSession)
+    of = lambda df: _valid(df.withColumn("_part", F.col(part).cast("long") if part else F.lit(0).cast("long")), id_col, vector, dim, ["_part"]).withColumnRenamed("_part", "part")
+    r, q = of(rows), of(queries)
+    nr, nq = max(1, -(-rows.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(r, nr).withColumn("asker", every(nq))
+    right = _packed(q, nq).select("part", F.col("block").alias("asker"), F.col("ids").alias("qids"), F.col("vectors").alias("q"), every(nr).alias("block"))
+    return _multiplied(left.join(right, ["part", "block", "asker"]), k, others_only)
+
+
 def candidates(spark: SparkSession, path: str, asked: DataFrame, k: int, others_only: bool = True) -> DataFrame:
     """(cell, block, part, query_id, place, id, upper): rows that may be among a query's k best by what their codes allow."""
     low, step = _read_scale(spark, path)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, citations, evaluation, graph, lexical, ordering, ranking, state
+from .operators import chunking, citations, evaluation, graph, lexical, ordering, ranking, state, vectors
 from .plans.base import ORACLE_SQL, QUERIES, query
 from .plans.base import fixture as _sql
 from .plans.fixtures import CHUNKS, EDGES, LEGAL
@@ -52,28 +52,20 @@ FROM v q JOIN v c ON q.vec_id <> c.vec_id {cond})
 SELECT query_id, CAST(rank AS INTEGER) rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s) WHERE rank <= 5"""
 
 
-def _queries(spark, d):
+def _cosine_top(spark, d, part=None):
     """Every hundredth vector asks."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    return v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-
-
-def _cosine_top(v, q, cond):
-    # a query set against all rows; Spark broadcasts it where its size allows
-    s = v.join(q, cond).select("query_id", "vec_id", F.round(tx.cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    return ranking.top_k(s, 5, ["query_id"], "score", "vec_id").select("query_id", "rank", "vec_id", "score")
+    v = table(spark, d, "embeddings")
+    return vectors.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 64, 5, part).withColumnRenamed("id", "vec_id")
 
 
 @query(_COS.format(cond="WHERE q.vec_id % 100 = 0"))
 def cosine_topk(spark, d):
-    v, q = _queries(spark, d)
-    return _cosine_top(v, q, F.col("query_id") != F.col("vec_id"))
+    return _cosine_top(spark, d)
 
 
 @query(_COS.format(cond="AND q.label = c.label WHERE q.vec_id % 100 = 0"))
 def cosine_topk_label_filter(spark, d):
-    v, q = _queries(spark, d)
-    return _cosine_top(v, q, (F.col("query_id") != F.col("vec_id")) & (F.col("ql") == F.col("label")))
+    return _cosine_top(spark, d, "label")
 
 
 @query("""WITH v AS (SELECT label, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) x, unnest(range(1, len(embedding) + 1)) dim FROM embeddings),
@@ -317,4 +309,5 @@ def plan_strata(spark, d):
 
 
 # the themes register their own queries
-from .catalog import answering, asking, corpus, documents, evidence, headers, inverted, joins, measures, path, streams, vectors  # noqa: E402, F401
+from .catalog import answering, asking, corpus, documents, evidence, headers, inverted, joins, measures, path, streams  # noqa: E402, F401
+from .catalog import vectors as _vectors  # noqa: E402, F401
