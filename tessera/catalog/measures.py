@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as ev
 from ..operators import lexical
 from ..plans.base import query
-from ..sources.tables import table
+from ..sources.store import new_path
+from ..sources.tables import store_by, stored_by, table
 
 _RUN = """WITH run AS (SELECT p_size AS query_id, p_partkey % 20 AS doc_id, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
 gold AS (SELECT DISTINCT p_size AS query_id, p_partkey % 20 AS doc_id FROM part WHERE p_brand = 'Brand#2' OR p_name LIKE 'red%'),
@@ -108,3 +109,15 @@ SELECT query_id, CAST(rank AS INTEGER) rank, doc_id, score FROM r WHERE rank <=
 def bm25_stop_topk(spark, d):
     """The production index: whole-word tokens without stop words."""
     return lexical.search(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", 10, stop_words=True).select("query_id", "rank", "doc_id", "score")
+
+
+@query("""WITH o AS (SELECT *, year(o_orderdate)::INT AS yr FROM orders), w AS (SELECT yr FROM o GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F') > count(*) / 4)
+SELECT yr, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o WHERE yr IN (SELECT yr FROM w) GROUP BY 1""")
+def yearly_partitions(spark, d):
+    """Orders stored by year; only the years that a filter over them leaves are read again."""
+    o = table(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
+    path = new_path(spark, "by-year")
+    store_by(o, path, "yr")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema.fields)
+    wanted = o.groupBy("yr").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f")).where("f > n / 4")
+    return stored_by(spark, path, schema, "yr", wanted).groupBy("yr").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
