@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import legal
 from ..functions import text as tx
 from ..operators import chunking, citations, statutes
-from ..plans.base import fixture, query
+from ..plans.base import fixture, located_sql, query
 from ..plans.fixtures import ACTS, JUDGMENTS, LAWS
 from ..sources.tables import table
 
@@ -177,24 +177,13 @@ def merged_sections(spark, d):
     return chunking.merged(g, ["case_no", "section"], "id", "txt").select("case_no", "section", F.md5("txt").alias("digest"), "parts")
 
 
-def _located(name: str, source: str, pattern: str, groups: int = 1) -> str:
-    """SQL for (id, i, start_, end_, text, g1, ...) of a pattern's matches: what lies between matches gives their places."""
-    p = pattern.replace("'", "''")
-    hits = ", ".join(f"regexp_extract_all(txt, '{p}', {g}) AS h{g}" for g in range(groups + 1))
-    more = "".join(f", h{g}[i] AS g{g}" for g in range(1, groups + 1))
-    kept = ", ".join(f"h{g}" for g in range(groups + 1))
-    before = "(list_sum([length(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([length(x) FOR x IN h0[1:i - 1]]), 0))::BIGINT"
-    return f"""{name} AS (SELECT id, i, {before} AS start_, {before} + length(h0[i]) AS end_, h0[i] AS hit{more}, pieces[i + 1] AS after
-FROM (SELECT id, pieces, {kept}, unnest(range(1, len(h0) + 1)) AS i FROM (SELECT id, regexp_split_to_array(txt, '{p}') AS pieces, {hits} FROM {source})))"""
-
-
 # RE2 knows no look-behind: a break's sign is not after a lone s or v, nor after No
 _BREAK = r"(?:^|[^sov]|\w[sv]|(?:^|[^N])o|\wNo)[.;]\s+[A-Z(\[]"
-_NAMED = ", ".join(_located(f"n{k}", "j", f"(?i){p}", 0) for k, p in enumerate(legal.STATUTES.values()))
+_NAMED = ", ".join(located_sql(f"n{k}", "j", f"(?i){p}", 0) for k, p in enumerate(legal.STATUTES.values()))
 _NAMES = " UNION ALL ".join(f"SELECT id, start_, end_, '{n}' AS name FROM n{k}" for k, n in enumerate(legal.STATUTES))
 
 
-@query(_J + rf""", {_NAMED}, named AS ({_NAMES}), {_located("l", "j", f"(?i){citations.SECTION_LISTS}")},
+@query(_J + rf""", {_NAMED}, named AS ({_NAMES}), {located_sql("l", "j", f"(?i){citations.SECTION_LISTS}")},
 near AS (SELECT l.id, l.i, greatest(l.start_ - n.end_, n.start_ - l.end_, 0) AS far, n.start_ AS at_, name, substr(txt, least(n.end_, l.end_) + 1, greatest(n.start_, l.start_) - least(n.end_, l.end_)) AS gap FROM l JOIN named n USING (id) JOIN j USING (id)),
 own AS (SELECT id, i, arg_min(name, (far, at_, name)) AS name FROM near WHERE far <= {citations.REACH} AND NOT regexp_matches(gap, '{_BREAK}') GROUP BY 1, 2),
 x AS (SELECT l.id, l.i, name, upper(trim(v)) AS v, k FROM (SELECT id, i, unnest(regexp_split_to_array(g1, '(?i)\s*(?:,|and|&|/)\s*')) AS v, unnest(range(100)) AS k FROM l) l LEFT JOIN own USING (id, i) WHERE v IS NOT NULL),
@@ -205,7 +194,7 @@ def attributed_sections(spark, d):
     return x.select("id", F.array_join("s.qualified", ";").alias("qualified"), F.array_join("s.unqualified", ";").alias("unqualified"))
 
 
-_NEAR = f"""{_located("l", "j", f"(?i){citations.NEAR_SECTIONS}")}, w AS (SELECT l.id, case_no, upper(g1) AS section, substr(txt, greatest(start_ - {citations.NEAR}, 0) + 1, end_ + {citations.NEAR} - greatest(start_ - {citations.NEAR}, 0)) AS around FROM l JOIN j USING (id)),
+_NEAR = f"""{located_sql("l", "j", f"(?i){citations.NEAR_SECTIONS}")}, w AS (SELECT l.id, case_no, upper(g1) AS section, substr(txt, greatest(start_ - {citations.NEAR}, 0) + 1, end_ + {citations.NEAR} - greatest(start_ - {citations.NEAR}, 0)) AS around FROM l JOIN j USING (id)),
 s AS ({" UNION ALL ".join(f"SELECT id, case_no, '{n}' AS statute, section FROM w WHERE regexp_matches(around, '(?i){p}')" for n, p in citations.NEAR_STATUTES.items())})"""
 
 
@@ -241,7 +230,7 @@ _HEADING = "length(x) BETWEEN 1 AND 90 AND NOT contains('.;:,', right(x, 1)) AND
 _RE2 = lambda p: p.replace("(?dms)", "(?ms)").replace("(?dm)", "(?m)")
 
 
-@query(rf"""WITH j AS (SELECT ord AS id, txt FROM ({ACTS})), {_located("m", "j", _RE2(statutes.SECTION), 2)}, {_located("c", "j", _RE2(statutes.CHAPTER))},
+@query(rf"""WITH j AS (SELECT ord AS id, txt FROM ({ACTS})), {located_sql("m", "j", _RE2(statutes.SECTION), 2)}, {located_sql("c", "j", _RE2(statutes.CHAPTER))},
 k AS (SELECT *, trim(regexp_replace(g2, '\s+', ' ', 'g')) AS title, lpad(regexp_extract(g1, '^\d+'), 4, '0') || regexp_extract(g1, '[A-Z]*$') AS key FROM m),
 f AS (SELECT *, max(CASE WHEN NOT regexp_matches(title, '{statutes.FOOTNOTE}') THEN key END) OVER (PARTITION BY id ORDER BY start_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM k),
 o AS (SELECT *, NOT regexp_matches(title, '{statutes.FOOTNOTE}') AND (top IS NULL OR key > top) AS own FROM f), p AS (SELECT *, sum(own::INT) OVER (PARTITION BY id ORDER BY start_) - 1 AS position FROM o),
@@ -261,13 +250,26 @@ def composed_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.cleaned(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(_L.replace("WITH", "WITH RECURSIVE", 1) + r""", s AS (SELECT ord, document, section, head, body, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(regexp_replace(body, '([.;:])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))] IF x <> ''] AS s FROM t),
+walk AS (SELECT ord, 0 AS i, CAST([] AS VARCHAR[]) AS now, 0 AS n, CAST([] AS VARCHAR[]) AS done FROM s UNION ALL SELECT ord, i + 1, CASE WHEN over_ THEN [now[-1], one] ELSE now || [one] END, CASE WHEN over_ THEN len(regexp_extract_all(now[-1], '\S+')) ELSE n END + w,
+CASE WHEN over_ THEN done || [array_to_string(now, ' ')] ELSE done END FROM (SELECT *, len(now) > 0 AND n + w > 12 AS over_ FROM (SELECT walk.*, s[i + 1] AS one, len(regexp_extract_all(s[i + 1], '\S+')) AS w FROM walk JOIN s USING (ord) WHERE i < len(s)))),
+p AS (SELECT s.*, CASE WHEN len(regexp_extract_all(body, '\S+')) <= 12 THEN [body] ELSE done || [array_to_string(now, ' ')] END AS pieces FROM s JOIN walk USING (ord) WHERE i = len(s.s)), x AS (SELECT *, unnest(range(len(pieces))) AS k FROM p)
+SELECT document || '-s' || section || '-' || k AS chunk_id, ord, k::INT AS chunk_index, len(pieces)::INT AS chunk_count, md5(head || ' ' || pieces[k + 1]) AS digest FROM x""")
 def packed_sentences(spark, d):
-    """Greedy packing of sentences with one carried over: a fold, so rows only."""
+    """Greedy packing of sentences with one carried over."""
     return chunking.section_split(fixture(spark, d, LAWS), ["ord"], 12).select("chunk_id", "ord", "chunk_index", "chunk_count", F.md5("text").alias("digest"))
 
 
-@query()
+_CANONICAL = "CASE " + " ".join(f"WHEN k = '{a}' THEN '{b}'" for a, b in legal.CANONICAL.items()) + " " + " ".join(f"WHEN regexp_replace(k, '[().]', '', 'g') = '{a}' THEN '{b}'" for a, b in legal.CANONICAL.items()) + " ELSE k END"
+
+
+@query(_J + rf""", t AS (SELECT case_no, id, txt || CASE id % 3 WHEN 0 THEN ' Ibid. applies.' WHEN 1 THEN ' See supra and ante.' ELSE ' As in id. before.' END AS txt FROM j),
+f AS (SELECT case_no, id, regexp_extract_all(txt, '(?i){citations.FULL_CITE}') AS c, regexp_extract_all(txt, '(?i){citations.SHORT_CITE}') AS short FROM t),
+e AS (SELECT case_no, id, pos, {_CANONICAL} AS name FROM (SELECT case_no, id, unnest(range(1, len(c) + 1)) AS pos, lower(trim(regexp_replace(unnest(c), '\s+', ' ', 'g'))) AS k FROM f)),
+w AS (SELECT case_no, id, pos, list(name) OVER (PARTITION BY case_no ORDER BY id, pos ROWS BETWEEN {citations.WINDOW - 1} PRECEDING AND CURRENT ROW) AS recent FROM e), l AS (SELECT case_no, id, arg_max(recent, pos) AS recent FROM w GROUP BY 1, 2),
+o AS (SELECT case_no, id, list(name ORDER BY pos) AS own FROM e GROUP BY 1, 2), r AS (SELECT f.case_no, f.id, f.short, own, last_value(recent IGNORE NULLS) OVER (PARTITION BY f.case_no ORDER BY f.id ROWS UNBOUNDED PRECEDING) AS recent FROM f LEFT JOIN l USING (case_no, id) LEFT JOIN o USING (case_no, id)),
+s AS (SELECT case_no, id, own, recent, unnest(short) AS label FROM r), x AS (SELECT case_no, id, label, CASE lower(replace(label, '.', '')) WHEN 'ibid' THEN coalesce(own[-1], recent[-1]) WHEN 'id' THEN recent[-1] WHEN 'supra' THEN coalesce(recent[-2], recent[-1]) WHEN 'ante' THEN recent[1] END AS resolved FROM s)
+SELECT DISTINCT * FROM x WHERE resolved IS NOT NULL""")
 def resolved_short_citations(spark, d):
     t = F.concat("txt", F.when(F.col("id") % 3 == 0, " Ibid. applies.").when(F.col("id") % 3 == 1, " See supra and ante.").otherwise(" As in id. before."))
     return citations.resolve_chunks(fixture(spark, d, JUDGMENTS).withColumn("txt", t), "case_no", "id", "txt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import headers as h
 from ..functions import legal, maxims
 from ..operators import citations, splitting, state
-from ..plans.base import counted_terms, counted_terms_sql, fixture, query
+from ..plans.base import counted_terms, counted_terms_sql, fixture, located_sql, query
 from ..plans.fixtures import HEADERS, LEGAL, PAGES, TITLES
 from ..sources.tables import table
 
@@ -129,9 +129,22 @@ def judgment_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(splitting.judgment_chunks(F.col("text"))).alias("idx", "text"))
 
 
-@query()
+_FORMATS = ", ".join(located_sql(f"f{k}", "j", p, 0) for k, p in enumerate(legal.CITATION_FORMATS))
+_CITED = " UNION ALL ".join(f"SELECT id, {k} AS f, start_, trim(regexp_replace(hit, '\\s+', ' ', 'g')) AS cite FROM f{k}" for k in range(len(legal.CITATION_FORMATS)))
+_SHORT = " UNION ALL ".join(f"SELECT id, {k} AS f, '{n}' AS label, unnest(regexp_extract_all(txt, '(?i){p}')) AS cite FROM j" for k, (n, p) in enumerate(citations.SHORT_FORMS.items()))
+
+
+@query(rf"""WITH RECURSIVE j AS ({LEGAL}), {_FORMATS}, {located_sql("p", "j", legal.PARTIES, 0)}, c AS ({_CITED}), s AS ({_SHORT}),
+near AS (SELECT c.id, f, c.start_, cite, arg_max(p.start_, p.start_) AS at_, arg_max(trim(regexp_replace(p.hit, '\s+', ' ', 'g')), p.start_) AS party FROM c LEFT JOIN p ON p.id = c.id AND p.start_ <= c.start_ GROUP BY ALL),
+o AS (SELECT id, cite, CAST(NULL AS VARCHAR) AS label, CASE WHEN start_ - at_ < {citations.NAME_REACH} THEN party END AS party, row_number() OVER (PARTITION BY id ORDER BY f, start_) AS n FROM near
+UNION ALL SELECT id, cite, label, CAST(NULL AS VARCHAR), 1000 + row_number() OVER (PARTITION BY id ORDER BY f) FROM s),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM o), l AS (SELECT case_no, id, (SELECT arg_max(trim(regexp_replace(hit, '\s+', ' ', 'g')), i) FROM p WHERE p.id = j.id) AS own FROM j),
+b AS (SELECT case_no, id, last_value(own IGNORE NULLS) OVER (PARTITION BY case_no ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+walk AS (SELECT id, 0::BIGINT AS k, before AS name, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS VARCHAR) AS citation, CAST(NULL AS VARCHAR) AS case_name, CAST(NULL AS VARCHAR) AS resolved_from, false AS new FROM b
+UNION ALL SELECT id, k, CASE WHEN new THEN coalesce(case_, name) ELSE name END, CASE WHEN new THEN keys || [key] ELSE keys END, upper(cite), case_, label, new FROM (SELECT *, (label IS NULL OR name IS NOT NULL) AND NOT list_contains(keys, key) AS new FROM (
+SELECT q.*, walk.name, walk.keys, coalesce(party, walk.name) AS case_, coalesce(party, walk.name, '') || chr(1) || upper(cite) AS key FROM walk JOIN q ON q.id = walk.id AND q.k = walk.k + 1)))
+SELECT case_no, walk.id, citation, case_name, resolved_from FROM walk JOIN b ON b.id = walk.id WHERE new""")
 def linked_citations(spark, d):
-    """Distances between matches are needed, which SQL does not give; tested against plain cases."""
     return citations.case_citations(fixture(spark, d, LEGAL), "case_no", "id", "txt")
 
 

@@ -131,9 +131,16 @@ def concept_map(spark, d):
     return counted_terms(fixture(spark, d, JUDGMENTS), "txt", ["anchor", "term"], _CONCEPTS)
 
 
-@query()
+@query(rf"""WITH RECURSIVE j AS ({JUDGMENTS}), g AS (SELECT case_no, string_agg(txt, ' ' ORDER BY id, txt) AS txt FROM j GROUP BY 1),
+s AS (SELECT case_no, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(regexp_replace(txt, '([.;:])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))] IF x <> ''] AS s FROM g),
+w AS MATERIALIZED (SELECT case_no, len(s) AS size, i, len([x FOR x IN regexp_split_to_array(s[i], '[ \t\n\r]+') IF x <> '']) AS n FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s)),
+walk AS (SELECT case_no, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS now, CAST([] AS BIGINT[]) AS done FROM s
+UNION ALL SELECT case_no, i, CASE WHEN over_ THEN now[coalesce(list_max([k FOR k IN range(1, len(now) + 1) IF list_sum(now[k:]) >= 40]), 1):] ELSE now END || [n], CASE WHEN over_ THEN done || [list_sum(now)::BIGINT] ELSE done END
+FROM (SELECT walk.case_no, w.i, now, done, w.n, len(now) > 0 AND list_sum(now) + w.n > 220 AS over_ FROM walk JOIN w ON w.case_no = walk.case_no AND w.i = walk.i + 1)),
+p AS (SELECT case_no, done || [list_sum(now)::BIGINT] AS pieces FROM walk JOIN (SELECT DISTINCT case_no, size FROM w) z USING (case_no) WHERE i = size)
+SELECT case_no, unnest(range(len(pieces)))::INT AS idx, unnest(pieces)::INT AS n_words FROM p""")
 def sentence_passages(spark, d):
-    """Passages of whole sentences that carry sentences of forty words or more over: a fold, so rows only."""
+    """Passages of whole sentences that carry sentences of forty words or more over."""
     j = fixture(spark, d, JUDGMENTS)
     return chunking.passages(j.groupBy("case_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "txt"))), lambda x: x["txt"]), " ").alias("txt")), ["case_no"], "txt").select("case_no", "idx", "n_words")
 

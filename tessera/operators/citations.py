@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from bisect import bisect_left
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import legal
 from ..functions.places import let, located
@@ -123,33 +117,42 @@ def resolve_chunks(chunks: DataFrame, doc: str, order: str, text: str) -> DataFr
 NAME_REACH = 200
 # Short forms, in order.
 SHORT_FORMS = {"ibid": r"\bibid\.?\b", "id": r"\bid\.?\b", "supra": r"\bsupra\b"}
-_cites = [re.compile(p) for p in legal.CITATION_FORMATS]
-_parties = re.compile(legal.PARTIES)
-_shorts = {n: re.compile(p, re.I) for n, p in SHORT_FORMS.items()}
-
-
-def link_citations(text: str, name: str | None) -> list[tuple[str, str | None, str | None]]:
-    """(citation, case, short form): each citation with the case named last before it, within NAME_REACH, else with the case linked before; formats in their order."""
-    line = lambda m: re.sub(r"\s+", " ", m.group()).strip()
-    named = list(_parties.finditer(text))
-    starts = [m.start() for m in named]
-    out: dict[tuple[str, str], tuple[str | None, str | None]] = {}
-    for m in (m for p in _cites for m in p.finditer(text)):
-        k = bisect_right(starts, m.start()) - 1
-        case = line(named[k]) if k >= 0 and m.start() - starts[k] < NAME_REACH else name
-        if (case or "", line(m).upper()) not in out:
-            out[case or "", line(m).upper()] = case, None
-            name = case or name
-    if name:
-        for label, p in _shorts.items():
-            for m in p.finditer(text):
-                out.setdefault((name, m.group().upper()), (name, label))
-    return [(cite, case, label) for (_, cite), (case, label) in out.items()]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("citation", "case_name", "resolved_from")])))
-def _linked(text: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([[{"citation": c, "case_name": n, "resolved_from": r} for c, n, r in link_citations(t or "", before or None)] for t, before in zip(text, name)])
+def linked(text: Column, name: Column) -> Column:
+    """Array of (citation, case_name, resolved_from): each citation with the case named last before it, within NAME_REACH, else with the case linked before.
+
+    Citations are taken format by format; a citation stands once with a case, and only one that is new moves the case on. Short forms belong to the case linked last.
+    """
+    line = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    cites = F.concat(*[located(text, p) for p in legal.CITATION_FORMATS])
+    shorts = F.concat(*[_shorts(text, n, p) for n, p in SHORT_FORMS.items()])
+    kind = "array<struct<key: string, citation: string, case_name: string, resolved_from: string>>"
+    key = lambda case, cite: F.concat(F.coalesce(case, F.lit("")), F.lit("\x01"), F.upper(cite))
+    row = lambda case, cite, label: F.struct(key(case, cite).alias("key"), F.upper(cite).alias("citation"), case.alias("case_name"), label.alias("resolved_from"))
+    has = lambda out, k: F.exists(out, lambda x: x["key"] == k)
+
+    def add(state, case, cite, label):
+        keep = F.struct(state["name"].alias("name"), state["out"].alias("out"))
+        new = F.struct(F.coalesce(case, state["name"]).alias("name"), F.concat(state["out"], F.array(row(case, cite, label))).alias("out"))
+        return F.when(has(state["out"], key(case, cite)), keep).otherwise(new)
+
+    def link(parties, state, m):
+        near = F.try_element_at(F.filter(parties, lambda p: p["start"] <= m["start"]), F.lit(-1))
+        case = F.when((m["start"] - near["start"]) < NAME_REACH, line(near["text"])).otherwise(state["name"])
+        return let(case, lambda c: add(state, c, line(m["text"]), F.lit(None).cast("string")))
+
+    begin = lambda n: F.struct(n.alias("name"), F.array().cast(kind).alias("out"))
+
+    def run(w):
+        after = F.aggregate(w["cites"], begin(w["name"]), lambda state, m: link(w["parties"], state, m))
+        short = lambda state, m: F.when(state["name"].isNull(), state).otherwise(add(state, state["name"], m["text"], m["label"]))
+        return F.aggregate(w["shorts"], after, short, lambda state: F.transform(state["out"], lambda x: F.struct(x["citation"].alias("citation"), x["case_name"].alias("case_name"), x["resolved_from"].alias("resolved_from"))))
+
+    whole = F.struct(cites.alias("cites"), located(text, legal.PARTIES).alias("parties"), shorts.alias("shorts"), name.alias("name"))
+    return let(whole, run)
+
+
+def _shorts(text: Column, label: str, pattern: str) -> Column:
+    return F.transform(legal.found(text, f"(?i){pattern}"), lambda m: F.struct(m.alias("text"), F.lit(label).alias("label")))
 
 
 def case_citations(pages: DataFrame, doc: str, order: str, text: str) -> DataFrame:
@@ -158,4 +161,4 @@ def case_citations(pages: DataFrame, doc: str, order: str, text: str) -> DataFra
     last = line(F.try_element_at(legal.found(F.col(text), legal.PARTIES), F.lit(-1)))
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     p = pages.select(doc, order, F.col(text).alias("_text"), last.alias("_own")).withColumn("_before", F.last("_own", ignorenulls=True).over(w))
-    return p.select(doc, order, F.inline(_linked("_text", "_before")))
+    return p.select(doc, order, F.inline(linked(F.coalesce("_text", F.lit("")), F.nullif(F.col("_before"), F.lit("")))))
