@@ -52,8 +52,8 @@ class Merges:
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-        matches = regex.compile(pattern).finditer
-        self.find = lambda text: [m.group() for m in matches(text)]
+        compiled = regex.compile(pattern)
+        self.find = compiled.findall if not compiled.groups else lambda text: [m.group() for m in compiled.finditer(text)]
         #: whether a blank between two other characters always begins a pre-token
         self.by_blanks = pattern == BLANK_PATTERN
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
