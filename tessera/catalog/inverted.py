@@ -25,7 +25,7 @@ def stored_bm25_topk(spark, d):
     return inverted.search(spark, _index(spark, d), table(spark, d, "benchmark"), "item_id", "text", 10)
 
 
-@query("""SELECT term, count(*) AS df, sum(tf) AS words, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT term, count(*) AS df, sum(tf)::BIGINT AS words, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""")
 def stored_postings(spark, d):
     """What the index holds of each term."""
     p = inverted.postings(spark, _index(spark, d))
