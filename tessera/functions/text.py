@@ -82,22 +82,31 @@ def has_phrase(phrase: Column, normalized_text: Column) -> Column:
     return F.concat(F.lit(" "), normalized_text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def _in_script(text: Column, lang: str) -> Column:
+    # what leaves is replaced in runs, so a script that a text lacks costs one scan and no copy
+    a, b = SCRIPTS[lang]
+    return F.length(text) - F.length(F.regexp_replace(text, f"[\\x{{{a:x}}}-\\x{{{b:x}}}]+", ""))
+
+
 def script_counts(text: Column) -> Column:
     """Map from language to the number of code points in its range."""
-    pairs = []
-    for lang, (a, b) in SCRIPTS.items():
-        pairs += [F.lit(lang), F.length(F.regexp_replace(text, f"[^\\x{{{a:x}}}-\\x{{{b:x}}}]", ""))]
-    return F.create_map(*pairs)
+    return F.create_map(*[x for lang in SCRIPTS for x in (F.lit(lang), _in_script(text, lang))])
 
 
 def languages(text: Column) -> Column:
     """(primary, secondary): the script with most code points, of equal ones English, then the one listed first; others over a twentieth."""
     order = ["en", *[x for x in SCRIPTS if x != "en"]]
-    counts = F.array(*[F.struct(F.length(F.regexp_replace(text, f"[^\\x{{{SCRIPTS[x][0]:x}}}-\\x{{{SCRIPTS[x][1]:x}}}]", "")).alias("n"), F.lit(-i).alias("o"), F.lit(x).alias("lang")) for i, x in enumerate(order)])
-    top = F.array_max(counts)["lang"]
-    total = F.greatest(F.aggregate(counts, F.lit(0), lambda s, c: s + c["n"]), F.lit(1))
-    other = F.filter(counts, lambda c: (c["lang"] != top) & (c["n"] / total > 0.05))
-    return F.struct(top.alias("primary"), F.transform(other, lambda c: c["lang"]).alias("secondary"))
+    rows = lambda n: F.array(*[F.struct(n(x).alias("n"), F.lit(-i).alias("o"), F.lit(x).alias("lang")) for i, x in enumerate(order)])
+    none = F.when(text.isNotNull(), 0)
+    rare = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for x, (a, b) in SCRIPTS.items() if x != "en")
+    counts = F.when(text.rlike(f"[{rare}]"), rows(lambda x: _in_script(text, x))).otherwise(rows(lambda x: _in_script(text, x) if x == "en" else none))
+
+    def chosen(c):
+        total = F.greatest(F.aggregate(c["all"], F.lit(0), lambda s, x: s + x["n"]), F.lit(1))
+        return let(F.struct(c["all"].alias("all"), F.array_max(c["all"])["lang"].alias("top"), total.alias("total")), lambda t: F.struct(
+            t["top"].alias("primary"), F.transform(F.filter(t["all"], lambda x: (x["lang"] != t["top"]) & (x["n"] / t["total"] > 0.05)), lambda x: x["lang"]).alias("secondary")))
+
+    return let(F.struct(counts.alias("all")), chosen)
 
 
 def document_type(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import math
 import os
+import time
 
 import duckdb
 import pandas as pd
@@ -208,3 +209,12 @@ def test_bfs_has_least_hops(spark):
 def test_court_multiplier_takes_first_substring(spark):
     df = spark.createDataFrame([("Supreme Court of India",), ("Delhi High Court",), ("Tribunal",)], "c string")
     assert [r[0] for r in df.select(ranking.court_multiplier(F.col("c"))).collect()] == [1.25, 1.05, 1.0]
+
+
+def test_languages_of_a_long_text_cost_one_scan_a_script(spark):
+    text = "plain words, " * 80_000 + "अआ" * 40_000
+    rows = spark.createDataFrame([(1, text), (2, "ab அஆ"), (3, ""), (4, None), (5, "à 1")], "id long, t string")
+    t = time.time()
+    got = {r["id"]: (r["l"]["primary"], r["l"]["secondary"]) for r in rows.select("id", tx.languages(F.col("t")).alias("l")).collect()}
+    assert time.time() - t < 20
+    assert got[1] == ("en", ["hi"]) and got[2] == ("en", ["ta"]) and got[3] == ("en", []) and got[4][0] == "en" and got[5] == ("en", [])
