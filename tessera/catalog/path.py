@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import rounded, tokens
 from ..operators import evaluation, path, ranking, vectors
 from ..plans.base import ORACLE_SQL, query
 from ..sources.tables import table
@@ -69,7 +69,7 @@ SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (ps - tp)::BIGINT AS fn, (
 def threshold_sweep(spark, d):
     """Every threshold on a text's share of different words, against its quality."""
     ts = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    s = ts.select("doc_id", F.round(F.size(F.array_distinct("ts")) / F.size("ts"), 4).alias("s")).join(table(spark, d, "labels"), "doc_id")
+    s = ts.select("doc_id", rounded(F.size(F.array_distinct("ts")) / F.size("ts"), 4).alias("s")).join(table(spark, d, "labels"), "doc_id")
     return evaluation.sweep(s, "s", F.col("quality") == 1)
 
 

@@ -38,6 +38,11 @@ SCRIPTS = {
 }
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL engines round it: the scaled double's half goes up. ``round`` takes the halves of the shortest decimal, so 57/800 differs."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
 def tokens(text: Column, stop_words: bool = False) -> Column:
     """Lower-case ASCII word tokens. Those without ``stop_words`` are whole words: no part of one with other letters, digits or underscores."""
     if not stop_words:

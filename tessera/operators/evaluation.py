@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from .ordering import running
 from .ranking import first_per_key, top_k
 
@@ -32,8 +33,8 @@ def metrics_at(run: DataFrame, gold: DataFrame, k: int | list[int], query: str =
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_gold", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     z = lambda c: F.coalesce(c, F.lit(0))
     return n_gold.join(per, [query, "k"], "left").select(
-        query, *(["k"] if isinstance(k, list) else []), F.round(F.coalesce(F.col("hits") / F.least("k", "n"), F.lit(0.0)), 6).alias("precision"),
-        F.round(z(F.col("hits")) / F.col("n_gold"), 6).alias("recall"), (z(F.col("hits")) > 0).cast("int").alias("hit"),
+        query, *(["k"] if isinstance(k, list) else []), rounded(F.coalesce(F.col("hits") / F.least("k", "n"), F.lit(0.0)), 6).alias("precision"),
+        rounded(z(F.col("hits")) / F.col("n_gold"), 6).alias("recall"), (z(F.col("hits")) > 0).cast("int").alias("hit"),
         F.round(F.coalesce(1.0 / F.col("best"), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
@@ -88,7 +89,7 @@ def rates(df: DataFrame, by: list[str], truth, decided) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), n(truth & decided).alias("tp"), n(~truth & decided).alias("fp"), n(truth & ~decided).alias("fn"), n(~truth & ~decided).alias("tn"),
-        F.round(F.try_divide(n(truth & decided), n(truth)), 6).alias("tpr"), F.round(F.try_divide(n(~truth & decided), n(~truth)), 6).alias("fpr"))
+        rounded(F.try_divide(n(truth & decided), n(truth)), 6).alias("tpr"), rounded(F.try_divide(n(~truth & decided), n(~truth)), 6).alias("fpr"))
 
 
 def sweep(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -104,7 +105,7 @@ def sweep(df: DataFrame, score: str, positive: Column) -> DataFrame:
     tp = F.col("_hits") + F.col("_pos")
     fp = F.col("_above") + F.col("_n") - tp
     n = n.select("threshold", tp.alias("tp"), fp.alias("fp"), (F.lit(positives) - tp).alias("fn"), (F.lit(total - positives) - fp).alias("tn"))
-    return n.withColumn("accuracy", F.round((F.col("tp") + F.col("tn")) / total, 6))
+    return n.withColumn("accuracy", rounded((F.col("tp") + F.col("tn")) / total, 6))
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:

@@ -218,3 +218,12 @@ def test_languages_of_a_long_text_cost_one_scan_a_script(spark):
     got = {r["id"]: (r["l"]["primary"], r["l"]["secondary"]) for r in rows.select("id", tx.languages(F.col("t")).alias("l")).collect()}
     assert time.time() - t < 20
     assert got[1] == ("en", ["hi"]) and got[2] == ("en", ["ta"]) and got[3] == ("en", []) and got[4][0] == "en" and got[5] == ("en", [])
+
+
+def test_thresholds_round_halves_as_sql_does(spark, duck):
+    rows = [(57, 800), (69, 800), (3, 160), (1, 32), (799, 800)]
+    got = spark.createDataFrame(rows, "k long, n long").select(tx.rounded(F.col("k") / F.col("n"), 4).alias("s"), F.lit(True).alias("p"))
+    want = [r[0] for r in duck.execute("select round(k / n, 4) from (values (57, 800), (69, 800), (3, 160), (1, 32), (799, 800)) t(k, n)").fetchall()]
+    assert sorted(r["threshold"] for r in evaluation.sweep(got, "s", F.col("p")).collect()) == sorted(map(float, want))
+    n = evaluation.sweep(spark.range(800).selectExpr("cast(1 as double) as s", "id < 57 as p"), "s", F.col("p")).first()
+    assert n["accuracy"] == 57 / 800
