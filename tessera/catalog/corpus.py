@@ -24,7 +24,7 @@ TARGET = 1500
 
 def _scored(spark, d):
     t = F.col("txt")
-    return fixture(spark, d, JUDGMENTS).withColumns({"statutes": legal.statutes_in(t), "topics": legal.topics_in(t), "score": legal.criminal_score(t)})
+    return fixture(spark, d, JUDGMENTS).withColumns({"statutes": legal.statutes_in(t), "topics": legal.topics_in(t)}).withColumn("score", legal.criminal_score(t, F.col("statutes")))
 
 
 @query(_S + " SELECT id, score, array_to_string(statutes, ',') AS statutes, CASE WHEN list_contains(statutes, 'BNS') THEN 'BNS' WHEN list_contains(statutes, 'IPC') THEN 'IPC' ELSE coalesce(statutes[1], 'other') END AS law, array_to_string(topics, ',') AS topics FROM s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,6 +92,23 @@ TOPICS = {
     "arms": r"\barms act\b",
 }
 
+_dotted = lambda letters: ["".join(a + b for a, b in zip(letters, d)) + letters[-1] for d in product(("", "."), repeat=len(letters) - 1)]
+
+#: Of each statute's and topic's pattern, lower-case strings of which any match holds one: a text without them is not searched.
+NEEDS = {
+    "IPC": ["penal", *_dotted("ipc")], "BNS": ["nyaya", *_dotted("bns")], "CrPC": ["procedure", "cr"], "BNSS": ["nagarik", *_dotted("bns")],
+    "Evidence": ["evidence", "sakshya"], "NDPS": ["narcotic", *_dotted("ndps")], "POCSO": ["pocso", "protection"],
+    "murder": ["299", "300", "302", "304", "homicide"], "dowry_cruelty": ["304", "498", "dowry"], "attempt": ["307", "511", "attempt"],
+    "common_intention": ["34", "149", "common intention", "unlawful assembly"], "conspiracy": ["120", "conspiracy"], "abetment": ["107", "109", "306", "abetment"],
+    "cheating": ["415", "417", "420", "cheating"], "breach_of_trust": ["405", "406", "409", "breach of trust"],
+    "theft_robbery": ["378", "379", "380", "392", "395", "397", "dacoity", "robbery", "theft"], "sexual_offences": ["354", "375", "376", "rape", "outraging"],
+    "pocso": ["pocso", "protection"], "ndps": ["ndps", "narcotic"], "bail": ["437", "438", "439", "bail"], "quashing": ["482", "inherent"],
+    "sentencing": ["rarest of", "sentencing policy", "mitigating", "death sentence", "life imprisonment"], "dying_declaration": ["dying declaration"],
+    "confession_recovery": ["27", "judicial confession", "disclosure"], "circumstantial": ["circumstan"], "new_codes": ["bharatiya", "bns"],
+    "juvenile": ["juvenile", "jj act", "child in"], "pmla": ["pmla", "laundering"], "uapa": ["uapa", "unlawful activities", "tada", "pota"],
+    "corruption": ["corruption", "pc act"], "arms": ["arms act"],
+}
+
 # Canonical names of citations, anchor concepts, plain-language glosses.
 CANONICAL = {"air 1978 sc 597": "maneka_gandhi", "(1978) 1 scc 248": "maneka_gandhi", "(2017) 10 scc 1": "puttaswamy_2017", "air 2017 sc 4161": "puttaswamy_2017"}
 CONCEPTS = {
@@ -197,13 +215,19 @@ def pinpoint_page(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?i)\((\d{4})\)\s*\d+\s*SCC\s*(\d+).*?p(?:age)?[\.:]?\s*(\d+)", 3), F.lit(""))
 
 
+def _matching(text: Column, patterns: dict[str, str]) -> Column:
+    """Names of the patterns that a text matches in any case; null texts match none."""
+    held = lambda low, name: reduce(lambda a, b: a | b, [low.contains(x) for x in NEEDS[name]])
+    return F.array_compact(let(F.lower(text), lambda low: F.array(*[F.when(held(low, n) & text.rlike("(?i)" + p), n) for n, p in patterns.items()])))
+
+
 def statutes_in(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), name) for name, p in STATUTES.items()]))
+    return _matching(text, STATUTES)
 
 
-def criminal_score(text: Column) -> Column:
-    """Four for each core statute, two for each other, and a third of the criminal terms, of which 30 count."""
-    weights = reduce(lambda a, b: a + b, [F.when(text.rlike("(?i)" + p), 4 if n in CORE_STATUTES else 2).otherwise(0) for n, p in STATUTES.items()])
+def criminal_score(text: Column, statutes: Column | None = None) -> Column:
+    """Four for each core statute, two for each other, and a third of the criminal terms, of which 30 count; ``statutes``, if they are known."""
+    weights = F.aggregate(statutes_in(text) if statutes is None else statutes, F.lit(0), lambda n, x: n + F.when(x.isin(CORE_STATUTES), 4).otherwise(2))
     return weights + F.floor(F.least(F.regexp_count(text, F.lit("(?i)" + CRIMINAL_TERMS)), F.lit(30)) / 3).cast("int")
 
 
@@ -212,7 +236,7 @@ def primary_law(statutes: Column) -> Column:
 
 
 def topics_in(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), name) for name, p in TOPICS.items()]))
+    return _matching(text, TOPICS)
 
 
 def canonical(cite: Column) -> Column:
@@ -223,10 +247,12 @@ def canonical(cite: Column) -> Column:
 
 def concepts_of(keywords: Column) -> Column:
     """Anchor concepts whose name equals a keyword, or of which a term holds a keyword or is held by one."""
-    def near(terms, name):
-        return F.exists(keywords, lambda k: (F.lower(k) == name.lower()) | reduce(lambda a, b: a | b, [F.lower(k).contains(t) | F.lit(t).contains(F.lower(k)) for t in terms]))
+    def near(low, terms, name):
+        return F.exists(low, lambda k: (k == name.lower()) | reduce(lambda a, b: a | b, [k.contains(t) | F.lit(t).contains(k) for t in terms]))
 
-    return F.array_compact(F.array(*[F.when(near(terms, name), name) for name, terms in CONCEPTS.items()]))
+    # keywords are worked out and lowered once, however many concepts ask
+    low = F.array_distinct(F.transform(keywords, lambda k: F.lower(k)))
+    return F.array_compact(let(low, lambda x: F.array(*[F.when(near(x, terms, name), name) for name, terms in CONCEPTS.items()])))
 
 
 def with_glosses(text: Column) -> Column:

@@ -21,7 +21,8 @@ LEAST_SCORE, FILL_SCORE, LEAST_CHARS = 6, 10, 3000
 
 
 def topic_counts(rows: DataFrame, topics: str = "topics") -> DataFrame:
-    return rows.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    # an inner explode would have the topics worked out again for a filter on their number
+    return rows.select(F.explode_outer(topics).alias("topic")).where("topic is not null").groupBy("topic").agg(F.count("*").alias("n"))
 
 
 def quota_state(counts: DataFrame, target: int) -> DataFrame:

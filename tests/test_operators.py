@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
+from tessera.functions import legal
 from tessera.functions import text as tx
 from tessera.operators import chunking, citations, evaluation, gate, graph, joins, ranking, selection, state, statutes
 from tessera.sources import nested, tables
@@ -227,3 +228,27 @@ def test_thresholds_round_halves_as_sql_does(spark, duck):
     assert sorted(r["threshold"] for r in evaluation.sweep(got, "s", F.col("p")).collect()) == sorted(map(float, want))
     n = evaluation.sweep(spark.range(800).selectExpr("cast(1 as double) as s", "id < 57 as p"), "s", F.col("p")).first()
     assert n["accuracy"] == 57 / 800
+
+
+@pytest.mark.parametrize("patterns", [legal.STATUTES, legal.TOPICS])
+def test_searches_behind_a_literal_find_all_that_the_patterns_find(spark, patterns):
+    samples = [
+        "under Section 302 of", "U/S 304", "CULPABLE HOMICIDE", "498A", "dowry death", "511 of the Penal", "attempt to murder", "section34", "149 IPC", "unlawful assembly", "120B", "306 ipc", "420 of penal", "409 IPC",
+        "dacoity", "Robbery", "395 penal", "rape", "outraging her modesty", "pocso", "protection of  children from sexual offences", "Narcotic drugs and psychotropic", "n.d.P.S.", "438 Cr.P.C", "BAIL",
+        "482 code", "inherent power to quash", "rarest of rare", "life imprisonment", "Dying Declaration", "section 27 of the Evidence", "extrajudicial confession", "disclosure statement", "chain of circumstances",
+        "bharatiya sakshya", "B.N.S.S.", "bns", "i.p.C", "I.P.C.", "ip.c", "Indian  Penal Code", "JJ Act", "child in conflict with law", "PMLA", "money-laundering", "prevention of money laundering", "TADA", "uapa",
+        "unlawful activities (prevention)", "prevention of corruption act", "PC Act", "Arms Act", "cr pc", "code of criminal  procedure", "evidence act", "nagarik bharatiya nagarik suraksha sanhita", "", None, "plain",
+    ]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(samples)], "i int, t string")
+    plain_ = F.array_compact(F.array(*[F.when(F.col("t").rlike("(?i)" + p), n) for n, p in patterns.items()]))
+    rows = t.select("t", legal._matching(F.col("t"), patterns).alias("got"), plain_.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and {x for r in rows for x in r["want"]} == set(patterns)
+
+
+def test_topics_of_many_judgments_are_found_soon(spark):
+    text = F.concat(F.lit("In Ram Kumar v. State at p. 7. The accused was convicted under Section 305 of the Code; see Para 9 and others. " * 3), F.col("id").cast("string"))
+    found = spark.range(60_000).repartition(4).select(F.size(legal.topics_in(text)).alias("n"))
+    found.limit(1).collect()
+    t = time.time()
+    assert found.agg(F.count("n")).first()[0] == 60_000
+    assert time.time() - t < 8
