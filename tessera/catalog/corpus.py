@@ -97,7 +97,7 @@ SELECT id, reason LIKE 'quota%' OR reason = 'general_fill' AS accepted, reason F
 def harvest(spark, d):
     """Candidates in a drawn order, each against the counts that the ones before have left."""
     s = _scored(spark, d).withColumn("drawn", F.md5(F.concat(F.lit("h"), F.col("id").cast("string")).cast("binary")))
-    return selection.harvest(s, TARGET, ["drawn", "id"], ceilings=_CEILINGS).select("id", "accepted", "reason")
+    return selection.harvest(s.select("id", "drawn", "score", "topics"), TARGET, ["drawn", "id"], ceilings=_CEILINGS).select("id", "accepted", "reason")
 
 
 @query(_J + """, p AS (SELECT id, 'missing dated' AS problem FROM j WHERE trim(dated) = '' UNION ALL SELECT id, 'duplicate txt' FROM (SELECT id, row_number() OVER (PARTITION BY txt ORDER BY id) AS k FROM j) WHERE k > 1

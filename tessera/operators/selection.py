@@ -91,7 +91,9 @@ def harvest(candidates: DataFrame, target: int, order: list[str], held: dict[str
     usual = _limits(target)
     floors, ceilings = usual[0] if floors is None else floors, usual[1] if ceilings is None else ceilings
     watched = sorted({*floors, *ceilings})
-    rows = numbered(candidates.withColumns({"score": F.coalesce("score", F.lit(0)), "topics": F.array_distinct(F.coalesce("topics", F.array().cast("array<string>")))}), order, "_place")
+    # written first: dealing by ranges reads its input twice, and scores and topics are dear
+    rows = written(candidates, "candidates")
+    rows = numbered(rows.withColumns({"score": F.coalesce("score", F.lit(0)), "topics": F.array_distinct(F.coalesce("topics", F.array().cast("array<string>")))}), order, "_place")
     rows = written(rows, "numbered")
     slim = rows.select("_place", "score", F.array_intersect("topics", F.array(*map(F.lit, watched))).alias("limited"), "topics")
     n = rows.count()
