@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import let
 from ..functions.text import words
 from .ordering import running
 
@@ -96,43 +99,52 @@ def section_whole(sections: DataFrame, keep: list[str]) -> DataFrame:
         F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), F.lit("section_whole").alias("strategy"))
 
 
+def _pieces(parts: Column, most: int, tail: Callable[[Column, Column], Column], whole: bool) -> Column:
+    """Pieces of at most ``most`` words; ``tail`` of the words' counts and a piece (a, b, n) is (a, n) of the sentences that the next begins with.
+
+    Only places and counts go through the fold: a sentence's words are counted once, and texts are cut at the end.
+    """
+    state = F.struct(F.array().cast("array<struct<a: int, b: int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+    piece = lambda acc: F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
+
+    def bounds(counts):
+        def step(acc, x):
+            go_on = F.struct(acc["done"].alias("done"), acc["a"].alias("a"), (acc["b"] + 1).alias("b"), (acc["n"] + x).alias("n"))
+            cut = let(tail(counts, acc), lambda t: F.struct(F.concat(acc["done"], piece(acc)).alias("done"), t["a"].alias("a"), (acc["b"] + 1).alias("b"), (t["n"] + x).alias("n")))
+            return F.when((acc["b"] > acc["a"]) & (acc["n"] + x > most), cut).otherwise(go_on)
+
+        return F.aggregate(counts, state, step, lambda acc: F.concat(acc["done"], piece(acc)))
+
+    def cut_up(p):
+        found = let(F.transform(p, lambda s: F.size(words(s))), bounds)
+        found = found if whole else F.filter(found, lambda x: x["b"] > x["a"])
+        return F.transform(found, lambda x: F.array_join(F.slice(p, x["a"] + 1, x["b"] - x["a"]), " "))
+
+    return let(parts, cut_up)
+
+
 def packed(parts: Column, most: int, carry: int = 1) -> Column:
     """Sentences packed in order into pieces of at most ``most`` words, each piece but the first beginning with the last ``carry`` of the one before."""
-    size = lambda s: F.size(words(s))
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    def tail(counts, acc):
+        return let(F.greatest(acc["b"] - carry, acc["a"]), lambda a: F.struct(a.alias("a"), F.aggregate(F.slice(counts, a + 1, acc["b"] - a), F.lit(0), lambda k, x: k + x).alias("n")))
 
-    def step(acc, s):
-        full = (F.size(acc["now"]) > 0) & (acc["n"] + size(s) > most)
-        tail = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - carry + 1, F.lit(1)), F.lit(carry))
-        begin = F.when(full, tail).otherwise(acc["now"])
-        n = F.when(full, F.aggregate(tail, F.lit(0), lambda k, x: k + size(x))).otherwise(acc["n"])
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.concat(begin, F.array(s)).alias("now"), (n + size(s)).alias("n"))
-
-    return F.aggregate(parts, state, step, lambda acc: F.transform(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.array_join(p, " ")))
+    return _pieces(parts, most, tail, True)
 
 
 def packed_passages(parts: Column, most: int, carry_words: int) -> Column:
     """As ``packed``, but a passage begins with as many of the last sentences as it takes to reach ``carry_words`` words."""
-    size = lambda s: F.size(words(s))
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
-
-    def tail_of(now):
-        begin = F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).alias("n"))
-        return F.aggregate(F.reverse(now), begin, lambda a, s: F.when(a["n"] >= carry_words, a).otherwise(F.struct(F.concat(F.array(s), a["t"]).alias("t"), (a["n"] + size(s)).alias("n"))))
-
-    def step(acc, s):
-        full = (F.size(acc["now"]) > 0) & (acc["n"] + size(s) > most)
-        tail = tail_of(acc["now"])
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.concat(F.when(full, tail["t"]).otherwise(acc["now"]), F.array(s)).alias("now"), (F.when(full, tail["n"]).otherwise(acc["n"]) + size(s)).alias("n"))
+    def tail(counts, acc):
+        begin = F.struct(acc["b"].alias("a"), F.lit(0).alias("n"))
+        back = F.reverse(F.slice(counts, acc["a"] + 1, acc["b"] - acc["a"]))
+        return F.aggregate(back, begin, lambda t, x: F.when(t["n"] >= carry_words, t).otherwise(F.struct((t["a"] - 1).alias("a"), (t["n"] + x).alias("n"))))
 
-    return F.aggregate(parts, state, step, lambda acc: F.transform(F.filter(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.size(p) > 0), lambda p: F.array_join(p, " ")))
+    return _pieces(parts, most, tail, False)
 
 
 def passages(docs: DataFrame, keep: list[str], text: str, most: int = 220, carry_words: int = 40) -> DataFrame:
     """(keep, idx, text, n_words): passages of whole sentences."""
-    p = docs.select(*keep, F.posexplode(packed_passages(sentences(F.col(text)), most, carry_words)).alias("idx", "text"))
+    # an inner explode would fold the sentences again for a filter on the number of pieces
+    p = docs.select(*keep, F.posexplode_outer(packed_passages(sentences(F.col(text)), most, carry_words)).alias("idx", "text")).where("idx is not null")
     return p.withColumn("n_words", F.size(words(F.col("text"))))
 
 

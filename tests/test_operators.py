@@ -252,3 +252,13 @@ def test_topics_of_many_judgments_are_found_soon(spark):
     t = time.time()
     assert found.agg(F.count("n")).first()[0] == 60_000
     assert time.time() - t < 8
+
+
+def test_packing_many_sentences_takes_time_by_their_number(spark):
+    n = 40_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("some words of sentence number "), i.cast("string"))).alias("s"))
+    t = time.time()
+    got = df.select(F.size(chunking.packed_passages(F.col("s"), 60, 12)).alias("p"), F.size(chunking.packed(F.col("s"), 60, 2)).alias("q")).first()
+    assert time.time() - t < 20
+    # ten sentences of six words fill a piece; each later one begins with two of the one before
+    assert got["p"] == got["q"] == 1 + -(-(n - 10) // 8)
