@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal
 from ..functions.headers import stripped
+from ..functions.places import let
 from ..functions.text import words
 from .chunking import packed
 
@@ -82,17 +83,15 @@ def recursive_split(text: Column, most: int, overlap: int, paragraphs: bool = Fa
     default ``overlap`` of them too. That is the established result, but it makes a piece of each sentence and repeats it up to ``overlap`` times; a small
     ``carry`` keeps the output near the size of the input.
     """
-    sentences = _kept(F.split(text, SENTENCE_START))
-    parts = F.when(F.size(sentences) > 1, sentences)
+    several = lambda found, other: let(found, lambda p: F.when(F.size(p) > 1, p).otherwise(other))
+    parts = several(_kept(F.split(text, SENTENCE_START)), F.lit(None).cast("array<string>"))
     if paragraphs:
-        marked = _kept(F.split(text, PARAGRAPH))
-        parts = F.when(F.size(marked) > 1, marked).otherwise(parts)
-    w = words(text)
+        parts = several(_kept(F.split(text, PARAGRAPH)), parts)
 
-    def cut(p):
-        return F.when(p.isNull(), _word_windows(w, most, most - overlap)).otherwise(packed(p, most, overlap if carry is None else carry))
+    def cut(w):
+        return let(parts, lambda p: F.when(p.isNull(), _word_windows(w, most, most - overlap)).otherwise(packed(p, most, overlap if carry is None else carry)))
 
-    return F.when(F.size(w) <= most, F.array(text)).otherwise(F.get(F.transform(F.array(parts), cut), F.lit(0)))
+    return let(words(text), lambda w: F.when(F.size(w) <= most, F.array(text)).otherwise(cut(w)))
 
 
 def judgment_chunks(text: Column, most: int = 512, overlap: int = 50) -> Column:
@@ -127,9 +126,9 @@ def judgment_chunks(text: Column, most: int = 512, overlap: int = 50) -> Column:
 def parents_and_children(sections: DataFrame, source: Column, page: str, section: str, text: str, keep: list[str], parent_words: int = 512, child_words: int = 256, overlap: int = 50, carry: int | None = None) -> DataFrame:
     """One row a child: its and its parent's text and stable ids, paragraph numbers, pinpoint page and kind of passage. Blank sections have none."""
     s = sections.where(stripped(F.col(text)) != "")
-    p = s.select(*keep, page, section, source.alias("_source"), F.posexplode(recursive_split(F.col(text), parent_words, overlap, True, carry)).alias("_i", "_parent"))
+    p = s.select(*keep, page, section, source.alias("_source"), F.posexplode_outer(recursive_split(F.col(text), parent_words, overlap, True, carry)).alias("_i", "_parent")).where("_i is not null")
     p = p.withColumn("parent_chunk_id", legal.stable_id(F.col("_source"), F.col(page).cast("string"), F.col(section), F.col("_i").cast("string"), F.substring("_parent", 1, 200)))
-    c = p.select("*", F.posexplode(recursive_split(F.col("_parent"), child_words, overlap, False, carry)).alias("_j", "_child")).where(stripped(F.col("_child")) != "")
+    c = p.select("*", F.posexplode_outer(recursive_split(F.col("_parent"), child_words, overlap, False, carry)).alias("_j", "_child")).where("_j is not null").where(stripped(F.col("_child")) != "")
     return c.select(
         *keep, page, section, "parent_chunk_id", legal.stable_id(F.col("parent_chunk_id"), F.col("_j").cast("string"), F.substring("_child", 1, 160)).alias("chunk_id"),
         stripped(F.col("_child")).alias("text"), stripped(F.col("_parent")).alias("parent_text"), legal.paragraph_numbers(F.col("_child")).alias("para_numbers"),
