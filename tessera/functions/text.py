@@ -5,7 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,43 @@ def tokens(text: Column, stop_words: bool = False) -> Column:
     return F.filter(t, lambda x: x.rlike("^[a-z0-9]+$") & ~x.isin(STOP_WORDS))
 
 
+def token_text(text: Column, stop_words: bool = False) -> Column:
+    """A text as ``cut_tokens`` takes it: lower case, null as empty; for whole words, letters and digits beyond ASCII become underscores."""
+    low = F.coalesce(F.lower(text), F.lit(""))
+    return F.regexp_replace(low, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_") if stop_words else low
+
+
+#: 1 a letter or digit of a token, 2 an underscore.
+_KINDS = np.array([1 if chr(i) in "0123456789abcdefghijklmnopqrstuvwxyz" else 2 if i == 95 else 0 for i in range(256)], np.uint8)
+
+
+def cut_tokens(texts: pa.Array, stop_words: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of a column of ``token_text``, and the row of each: inside tasks, over the bytes of all rows at once."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_string())
+    none = (pa.array([], pa.large_string()), np.zeros(0, np.int64))
+    if not len(texts) or texts.buffers()[2] is None:
+        return none
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    kind = _KINDS[np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]]]
+    word = kind > 0 if stop_words else kind == 1
+    if not word.any():
+        return none
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    edge = (at[:-1] - at[0])[at[1:] > at[:-1]]
+    first[edge] = word[edge]  # a text's first token does not go on from the text before
+    starts = np.flatnonzero(first)
+    begin = np.flatnonzero(first[word])
+    chars = np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]][word]
+    found = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(begin, len(chars)).astype(np.int64)), pa.py_buffer(chars)])
+    row = np.searchsorted(at[1:] - at[0], starts, side="right")
+    if stop_words:
+        good = (np.maximum.reduceat(kind[word], begin) == 1) & ~pc.is_in(found, value_set=pa.array(STOP_WORDS, pa.large_string())).to_numpy(zero_copy_only=False)
+        found, row = found.filter(pa.array(good)), row[good]
+    return found, row
+
+
 def words(text: Column) -> Column:
     """White-space words; none for empty text."""
     return F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
