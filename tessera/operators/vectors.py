@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import new_path, ship, written
+from .lexical import best_rows
 from .ranking import top_k
 
 #: Most rows that the cells are fitted on, drawn by a hash of the id; all rows are indexed.
@@ -27,6 +28,8 @@ BLOCK, QUERY_BLOCK = 1024, 256
 #: Rows of a cell that go to one task when its blocks are made: a hot cell is dealt over many.
 CELL_ROWS = 64 * BLOCK
 ROUNDS = 12
+#: Rows and queries of one group where all queries meet all rows.
+GROUP_ROWS, GROUP_QUERIES = 64 * BLOCK, 2048
 
 
 def _valid(df: DataFrame, id_col: str, vector: str, dim: int, more: list[str] | None = None) -> DataFrame:
@@ -215,36 +218,85 @@ def _multiplied(pairs: DataFrame, k: int, others_only: bool) -> DataFrame:
     return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "score", "id").select("query_id", "rank", "id", "score")
 
 
+def _k_best(parts, qids: np.ndarray, q: np.ndarray, k: int, others_only: bool) -> pa.Table:
+    """(query_id, id, score): the k best of each query over (ids, vectors) parts, one part in memory at a time with what is best so far."""
+    found, waiting, least = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})], 0, np.full(len(qids), -np.inf)
+    for ids, x in parts:
+        score = _own(ids, qids, np.round(q @ x.T, 6), others_only)
+        if score.shape[1] > k:
+            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+        who, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        found.append(pa.table({"query_id": qids[who], "id": ids[at], "score": score[who, at]}))
+        waiting += len(who)
+        if waiting > 4 * k * len(qids):
+            found, waiting = [best_rows(pa.concat_tables(found), k)], 0
+    return best_rows(pa.concat_tables(found), k)
+
+
+def _every(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _groups(rows: int, queries: int) -> tuple[int, int]:
+    return max(1, -(-rows // GROUP_ROWS)), max(1, -(-queries // GROUP_QUERIES))
+
+
+def _dealt_blocks(spark: SparkSession, path: str, queries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Blocks and (id, v, ...) of queries by (deal, asker): every query meets every block, in groups of bounded rows on both sides."""
+    rows = blocks(spark, path).agg(F.sum(F.size("ids"))).first()[0] or 0
+    n, m = _groups(rows, queries.count())
+    b = blocks(spark, path).select(*columns).withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")).withColumn("asker", _every(m))
+    return b, queries.withColumn("asker", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("deal", _every(n))
+
+
+def _searched(spark: SparkSession, path: str, queries: DataFrame, k: int, others_only: bool) -> DataFrame:
+    """``search`` over all cells: no query is copied to each cell, and a group of many blocks gives k rows a query."""
+    def run(b: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = ((np.array(ids.as_py()), np.frombuffer(raw.as_py(), "<f8").reshape(len(ids), -1)) for ids, raw in zip(b.column("ids"), b.column("vectors")))
+        return _k_best(parts if asked.num_rows else (), asked.column("id").to_numpy(), _matrix(asked.column("v")), k, others_only)
+
+    ship(spark)
+    b, asked = _dealt_blocks(spark, path, queries, ["block", "ids", "vectors"])
+    return b.groupBy("deal", "asker").cogroup(asked.groupBy("deal", "asker")).applyInArrow(run, "query_id long, id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "score", "id").select("query_id", "rank", "id", "score")
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, dim: int, k: int, n_probe: int | None = 16, others_only: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the k best inner products among the rows of the ``n_probe`` nearest cells (None: all cells, so exact)."""
+    if n_probe is None:
+        return _ranked(_searched(spark, path, _valid(queries, query_id, vector, dim), k, others_only), k)
     asked = written(probes(spark, path, queries, query_id, vector, dim, n_probe), "probes")
     return _multiplied(_met(spark, path, asked, ["ids", "vectors"]), k, others_only)
 
 
-def _packed(vectors: DataFrame, n_blocks: int) -> DataFrame:
-    """(part, block, ids, vectors) of (part, id, v): unit vectors in ``n_blocks`` blocks of each part; a vector of length 0 stays 0."""
-    def pack(key: tuple, t: pa.Table) -> pa.Table:
-        x = _matrix(t.column("v"))
-        x = x / np.where(np.linalg.norm(x, axis=1) > 0, np.linalg.norm(x, axis=1), 1)[:, None]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([t.column("id").to_numpy()], pa.list_(pa.int64())), "vectors": pa.array([x.tobytes()], pa.binary())})
-
-    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    return keyed.groupBy("part", "block").applyInArrow(pack, "part long, block int, ids array<long>, vectors binary")
-
-
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, dim: int, k: int, part: str | None = None, others_only: bool = True) -> DataFrame:
     """(query_id, rank, id, score): the k best cosines of each query among all rows, or all of its ``part`` (a long), without an index.
 
-    Rows and queries meet block by block, in a grid of blocks, never row by row.
+    Rows and queries meet in a grid of groups of bounded size, never row by row; a group gives k rows a query, and nothing is broadcast.
     """
     ship(rows.sparkSession)
     of = lambda df: _valid(df.withColumn("_part", F.col(part).cast("long") if part else F.lit(0).cast("long")), id_col, vector, dim, ["_part"]).withColumnRenamed("_part", "part")
     r, q = of(rows), of(queries)
-    nr, nq = max(1, -(-rows.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = _packed(r, nr).withColumn("asker", every(nq))
-    right = _packed(q, nq).select("part", F.col("block").alias("asker"), F.col("ids").alias("qids"), F.col("vectors").alias("q"), every(nr).alias("block"))
-    return _multiplied(left.join(right, ["part", "block", "asker"]), k, others_only)
+    n, m = _groups(rows.count(), queries.count())
+    block = BLOCK
+
+    def unit(column) -> np.ndarray:
+        x = _matrix(column)
+        size = np.linalg.norm(x, axis=1)
+        return x / np.where(size > 0, size, 1)[:, None]
+
+    def run(t: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = ((t.column("id").slice(a, block).to_numpy(), unit(t.column("v").slice(a, block))) for a in range(0, t.num_rows if asked.num_rows else 0, block))
+        return _k_best(parts, asked.column("id").to_numpy(), unit(asked.column("v")) if asked.num_rows else np.zeros((0, dim)), k, others_only)
+
+    keys = ["part", "deal", "asker"]
+    left = r.where("part is not null").withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("asker", _every(m))
+    right = q.where("part is not null").withColumn("asker", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("deal", _every(n))
+    met = left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys))
+    return _ranked(met.applyInArrow(run, "query_id long, id long, score double"), k)
 
 
 def candidates(spark: SparkSession, path: str, asked: DataFrame, k: int, others_only: bool = True) -> DataFrame:
@@ -278,26 +330,60 @@ def candidates(spark: SparkSession, path: str, asked: DataFrame, k: int, others_
 
 
 def search_coded(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, dim: int, k: int, n_probe: int | None = 16, others_only: bool = True) -> DataFrame:
-    """The rows of ``search``, with components read only for rows whose codes leave them a chance."""
-    asked = written(probes(spark, path, queries, query_id, vector, dim, n_probe), "probes")
-    left = written(candidates(spark, path, asked, k, others_only), "left")
-    keys = ["cell", "block", "part"]
+    """The rows of ``search``, with components read only for rows whose codes leave them a chance.
+
+    Over all cells, the k-th score in a query's nearest cells is found first: it is a floor that the k-th of all rows cannot be under, so a code's row
+    leaves its task only if it may reach that.
+    """
+    if n_probe is None:
+        asked = written(_valid(queries, query_id, vector, dim), "asked")
+        near = search(spark, path, queries, query_id, vector, dim, k, 16, others_only)
+        floor = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
+        left = written(_may_reach(spark, path, asked.join(floor, "id", "left"), k, others_only), "left")
+    else:
+        asked = _valid(queries, query_id, vector, dim)
+        probed = written(probes(spark, path, queries, query_id, vector, dim, n_probe), "probes")
+        left = written(candidates(spark, path, probed, k, others_only), "left").select("cell", "block", "query_id", "place", "id")
     cells = [r.cell for r in left.select("cell").distinct().collect()]  # at most 4,096 numbers
-    data = blocks(spark, path).where(F.col("cell").isin(cells)).join(left.select(*keys).distinct(), keys[:2]).select(*keys, "ids", "vectors").join(asked, ["cell", "part"])
+    data = blocks(spark, path).where(F.col("cell").isin(cells)).select("block", "ids", "vectors")
+    wanted = left.join(asked.dropDuplicates(["id"]).select(F.col("id").alias("query_id"), "v"), "query_id").select("block", "query_id", "place", "id", "v")
 
-    def rescore(one, other):
-        rows = one.to_pylist()
-        if not rows or not other.num_rows:
+    def rescore(b: pa.Table, other: pa.Table) -> pa.Table:
+        if not b.num_rows or not other.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        r = rows[0]
-        x = np.frombuffer(r["vectors"], "<f8").reshape(len(r["ids"]), -1)
-        q = np.frombuffer(r["q"], "<f8").reshape(len(r["qids"]), -1)
-        row = {v: i for i, v in enumerate(r["qids"])}
-        who = np.array([row[v] for v in other.column("query_id").to_pylist()])
-        return pa.table({"query_id": other.column("query_id"), "id": other.column("id"), "score": np.einsum("ij,ij->i", q[who], x[other.column("place").to_numpy()])})
-
-    scored = data.groupBy(*keys).cogroup(left.toDF(*left.columns).groupBy(*keys)).applyInArrow(rescore, "query_id long, id long, score double")
-    return top_k(scored.withColumn("score", F.round("score", 6)), k, ["query_id"], "score", "id").select("query_id", "rank", "id", "score")
+        x = np.frombuffer(b.column("vectors")[0].as_py(), "<f8").reshape(len(b.column("ids")[0]), -1)
+        return pa.table({"query_id": other.column("query_id"), "id": other.column("id"), "score": np.einsum("ij,ij->i", _matrix(other.column("v")), x[other.column("place").to_numpy()])})
+
+    scored = data.groupBy("block").cogroup(wanted.toDF(*wanted.columns).groupBy("block")).applyInArrow(rescore, "query_id long, id long, score double")
+    return _ranked(scored, k)
+
+
+def _may_reach(spark: SparkSession, path: str, asked: DataFrame, k: int, others_only: bool) -> DataFrame:
+    """(cell, block, query_id, place, id): rows of all cells whose codes let them reach ``least`` of (id, v, least), or the k-th of their group where it is null."""
+    low, step = _read_scale(spark, path)
+    shared = spark.sparkContext.broadcast((low, step))  # two numbers a component
+
+    def run(b: pa.Table, asked: pa.Table) -> pa.Table:
+        low, step = shared.value
+        out = [pa.table({"cell": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "place": pa.array([], pa.int32()), "id": pa.array([], pa.int64())})]
+        qids, q = asked.column("id").to_numpy(), _matrix(asked.column("v"))
+        # the scores that made the floor are rounded to six places
+        least = np.nan_to_num(asked.column("least").to_numpy().astype(float), nan=-np.inf, neginf=-np.inf) - 1e-6
+        for cell, block, ids, raw in zip(*(b.column(c) for c in ("cell", "block", "ids", "codes"))) if asked.num_rows else ():
+            ids = np.array(ids.as_py())
+            x = low + np.frombuffer(raw.as_py(), np.uint8).reshape(len(ids), -1) * step
+            # a code is wrong by half a step at most; the last part is rounding
+            slack = np.abs(q) @ (step / 2 * (1 + 1e-9)) + 1e-6
+            score = _own(ids, qids, q @ x.T, others_only)
+            if score.shape[1] > k:
+                least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - slack)
+            who, place = np.nonzero((score + slack[:, None] >= least[:, None]) & np.isfinite(score))
+            one = lambda v, kind: pa.array(np.full(len(who), v.as_py()), kind)
+            out.append(pa.table({"cell": one(cell, pa.int32()), "block": one(block, pa.int64()), "query_id": pa.array(qids[who]), "place": pa.array(place, pa.int32()), "id": pa.array(ids[place])}))
+        return pa.concat_tables(out)
+
+    b, q = _dealt_blocks(spark, path, asked, ["cell", "block", "ids", "codes"])
+    return b.groupBy("deal", "asker").cogroup(q.groupBy("deal", "asker")).applyInArrow(run, "cell int, block long, query_id long, place int, id long")
 
 
 def rescored(left: DataFrame, rows: int) -> DataFrame:
