@@ -135,8 +135,12 @@ def starts(edges: DataFrame, queries: DataFrame, id_col: str, title: str) -> Dat
 
 
 def citation_chain(edges: DataFrame, queries: DataFrame, id_col: str, title: str, depth: int = 2) -> DataFrame:
-    """(query id, node, label, hops, parent, relation): the breadth-first tree from each query's case."""
-    start = starts(edges, queries, id_col, title)
+    """(query id, node, label, hops, parent, relation): the breadth-first tree from each query's case.
+
+    Edges are asked for at each step, so they are made once.
+    """
+    edges = written(edges.select("src", "dst", "relation"), "edges")
+    start = written(starts(edges, queries, id_col, title), "starts")
     tree = neighbours_within(edges.select("src", "dst"), start.select("id").distinct(), depth)
     rel = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "relation")
     tree = tree.join(rel, ["parent", "node"], "left").withColumn("label", F.split("node", "::", 2)[1])
