@@ -18,7 +18,8 @@ def _replayed(spark, d, rows):
     """The events as files of a folder, streamed in two runs of one checkpoint; a late last event moves the watermark past all others."""
     folder, out, at = new_path(spark, "events"), new_path(spark, "streamed"), new_path(spark, "checkpoint")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(4, "ts", "event_id").write.parquet(f"{folder}/log")
+    ranges = max(4, min(spark.sparkContext.defaultParallelism, 500))  # one batch takes up to 1,000 files
+    e.repartitionByRange(ranges, "ts", "event_id").write.parquet(f"{folder}/log")
     clock = e.limit(1).select("event_id", F.lit(_FAR).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), "event_type", "value", "props")
     clock.limit(0).write.parquet(f"{folder}/clock")
     run = lambda: events.drain(rows(events.source(spark, [f"{folder}/log", f"{folder}/clock"], _EVENTS)), events.append_once(out), at)

@@ -2,7 +2,8 @@
 
 ``settled`` gives one row for each burst of a key's events, when nothing more has come for ``quiet`` seconds: what was written last is then stable.
 ``debounced`` lets an event of a key through if ``gap`` seconds have passed since the last one that went through. Both wait for the watermark, so events that come
-within ``lateness`` out of order count in their own order; state holds the events of that time and one number a key, and goes when the gap is over.
+within ``lateness`` out of order count in their own order; state holds the events of that time and one number a key, and goes when the gap is over. The keys of a bucket
+are one state, so a batch calls Python once a bucket, not once a key.
 ``append_once`` makes a sink that may be given a batch again after a failure. Nothing is lost on a restart: what waits is in the checkpoint.
 
 Events without a time or a key take no part; equal times go by ``id``; repeated events are events of their own.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.store import ship
 
+#: States that a debounced stream's keys are dealt over.
+BUCKETS = 1024
+
 
 def settled(events: DataFrame, key: str, ts: str, size: str, quiet: str, lateness: str = "10 minutes") -> DataFrame:
     """(key, started, ended, n_events, size): each burst of a key, with the size of its latest event (the largest of equally late ones)."""
@@ -28,52 +33,55 @@ def settled(events: DataFrame, key: str, ts: str, size: str, quiet: str, latenes
     return g.select(key, "started", "ended", "n_events", F.col(f"_last.{size}").alias(size))
 
 
-def _let_through(rows: list[tuple[int, int]], last: int | None, gap: int) -> tuple[list[tuple[int, int]], int | None]:
-    out = []
-    for at, event in rows:
-        if last is None or at - last >= gap:
-            out.append((at, event))
-            last = at
-    return out, last
+def _let_through(rows: np.ndarray, last: dict[int, int], gap: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Of rows (key, at, none, id), which are put in order, those that go through, and when a key's last one did; without an id (none is 1) comes last."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    through = np.zeros(rows.shape[1], bool)
+    starts = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))
+    for key, start, end in zip(rows[0][starts].tolist(), starts.tolist(), [*starts[1:].tolist(), rows.shape[1]]):
+        before = last.get(key)
+        for i, at in enumerate(rows[1, start:end].tolist(), start):
+            if before is None or at - before >= gap:
+                through[i] = True
+                before = at
+        last[key] = before
+    return rows[:, through], last
 
 
-def debounced(events: DataFrame, key: str, ts: str, id_col: str, gap: float, lateness: str = "10 minutes") -> DataFrame:
-    """(key, id): the events that go through, ``key`` and ``id`` as long."""
+def debounced(events: DataFrame, key: str, ts: str, id_col: str, gap: float, lateness: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
+    """(key, id): the events that go through, ``key`` and ``id`` as long. A stream's keys share ``buckets`` states, as many in each run of a checkpoint."""
     ship(events.sparkSession)
     wait = int(gap * 1_000_000)
     e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).cast("long").alias("id"))
-    e = e.withColumn("at", F.unix_micros("ts"))
+    e = e.withColumns({"at": F.unix_micros("ts"), "none": F.col("id").isNull().cast("long"), "id": F.coalesce("id", F.lit(0).cast("long"))})
+    names, kinds = ["key", "at", "none", "id"], "key long, none long, id long"
+    named = lambda df: df.select(F.col("key").alias(key), F.when(F.col("none") == 0, F.col("id")).alias(id_col))
+    frame = lambda r: pd.DataFrame({"key": r[0], "none": r[2], "id": r[3]})
     if not events.isStreaming:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows, _ = _let_through(sorted(zip(pdf["at"], pdf["id"])), None, wait)
-            return pd.DataFrame({"key": pdf["key"].iloc[0], "id": pd.Series([i for _, i in rows], dtype="int64")})
-
-        return e.groupBy("key").applyInPandas(whole, "key long, id long").withColumnsRenamed({"key": key, "id": id_col})
+        return named(e.groupBy("key").applyInPandas(lambda pdf: frame(_let_through(pdf[names].to_numpy("int64").T, {}, wait)[0]), kinds))
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held, ids = state.get if state.exists else (None, [], [])
-        rows = list(zip(held, ids))
-        for p in parts:
-            rows += zip(p["at"].tolist(), p["id"].tolist())
-        rows.sort()
+        last, held = (np.frombuffer(x, "<i8").reshape(n, -1) for n, x in zip((2, 4), state.get if state.exists else (b"", b"")))
+        rows = np.concatenate([held, *(p[names].to_numpy("int64").T for p in parts)], axis=1)
         line = state.getCurrentWatermarkMs() * 1000
-        ready = [r for r in rows if r[0] <= line]
-        rows = rows[len(ready):]
-        through, last = _let_through(ready, last, wait)
-        # the next row to be let through, or the time after which the last one no longer matters
-        due = rows[0][0] if rows else last + wait
-        if not rows and due <= line:
+        ripe = rows[1] <= line
+        ready, held = rows[:, ripe], rows[:, ~ripe]
+        through, last = _let_through(ready, dict(zip(*last.tolist())), wait)
+        # a gap that is over no longer matters
+        last = [(k, a) for k, a in last.items() if a + wait > line]
+        if not last and not held.shape[1]:
             if state.exists:
                 state.remove()
         else:
-            state.update((last, [a for a, _ in rows], [i for _, i in rows]))
+            state.update((np.array(last, "<i8").reshape(-1, 2).T.tobytes(), held.astype("<i8").tobytes()))
+            due = int(held[1].min()) if held.shape[1] else max(a for _, a in last) + wait
             state.setTimeoutTimestamp(max(due // 1000 + 1, line // 1000 + 1))
-        if through:
-            yield pd.DataFrame({"key": name[0], "id": [i for _, i in through]})
+        if through.shape[1]:
+            yield frame(through)
 
-    s = e.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(
-        step, "key long, id long", "last long, held array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return s.withColumnsRenamed({"key": key, "id": id_col})
+    s = e.withWatermark("ts", lateness).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(
+        step, kinds, "last binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return named(s)
 
 
 def append_once(path: str) -> Callable[[DataFrame, int], None]:

@@ -84,6 +84,22 @@ def test_state_goes_when_the_gap_is_over(spark):
     assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 40
 
 
+def test_keys_share_states(spark):
+    """Three thousand keys that wait are no more states than there are buckets; keys of one bucket, equal times and missing ids stay apart."""
+    folder, at = new_path(spark, "t-log"), new_path(spark, "t-check")
+    frame(spark, [(k, START + timedelta(seconds=k), k, 1) for k in range(3000)]).coalesce(1).write.parquet(folder)
+    found = []
+    s = events.debounced(events.source(spark, [folder], SCHEMA, 1), "path", "ts", "id", 60, "2 hours")
+    q = s.writeStream.foreachBatch(lambda df, n: found.append(df.count())).option("checkpointLocation", at).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= events.BUCKETS
+    rows = [(p - 3, t, i, s) for p, t, i, s in log(200, 5)] + [(2, START, i, 1) for i in (7, -7)]
+    parts = sorted(rows, key=lambda r: r[1])
+    got = replay(spark, [parts[:80], parts[80:], [(2, START + timedelta(days=1), None, 1)]], lambda e: events.debounced(e, "path", "ts", "id", 120, buckets=2).where("path <> -1 or id <> -1").withColumn("path", F.col("path") + 3))
+    want = {(p + 3, i) for p, i in loop(rows, 120)} | {(5, None)}
+    assert {(r.path, r.id) for r in got.collect()} == want and got.count() == len(want)
+
+
 ROUTES = {"all": lambda: F.lit(True), "even": lambda: F.col("id") % 2 == 0}
 CHUNKS = "id long, source string, version int, body string"
 
