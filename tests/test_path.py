@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,14 @@ def test_a_question_meets_both_searches_and_the_gate(spark):
     assert [(r.query_id, r.chunk_id) for r in got] == [*((100, c) for c, _ in want), (101, None)]
     assert [r.score for r in got[:9]] == [pytest.approx(s, abs=2e-9) for _, s in want]
     assert got[0].allowed and got[-1].reason == "no evidence" and not got[-1].allowed
+
+
+def test_an_answer_moves_neither_postings_nor_probes_of_cells(spark):
+    """Of the texts only k rows a task and question move, of the index each block once for a group of questions: no exchange by term, document or cell is left."""
+    p = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} other", "HIGH COURT", "IPC", "302") for i in range(60)], "chunk_id long, text string, court string, law string, section string")
+    v = spark.createDataFrame([(i, [float(i % 5 == k) for k in range(4)]) for i in range(60)], "vec_id long, vector array<double>")
+    q = spark.createDataFrame([(i, f"word{i}", [1.0, 0.0, 0.0, 0.0]) for i in range(6)], "query_id long, text string, vector array<double>")
+    near = path.dense(q, vectors.temporary(v, "vec_id", "vector", 4), 4, 20, None)
+    moved = [x for df in (near, path.sparse(q, p, 20)) for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    keys = {re.search(r"hashpartitioning\((.*?), \d+\)", x)[1] for x in moved}
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"query_id", "deal, asker"}
