@@ -48,9 +48,20 @@ def cell_count(rows: int) -> int:
     return 1 if rows <= 256 else max(4, min(rows // 100, 4096))
 
 
-def centroids(vectors: DataFrame, n_cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centres of the cells, by k-means for inner products on at most ``sample`` rows (drawn by a hash of the id, so each run draws alike)."""
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+def draw(vectors: DataFrame, rows: int, sample: int) -> DataFrame:
+    """The ``sample`` rows of least hash of the id; where these are few of the ``rows``, only rows of small hashes move for it."""
+    hashed = F.xxhash64("id")
+    if rows > 2 * sample:
+        most = int(-(1 << 63) + (1 << 64) * (1.1 * sample + 1000) / rows)
+        near = vectors.where(hashed <= most)
+        # ids that repeat may leave too few
+        vectors = near if most < 1 << 63 and near.count() >= sample else vectors
+    return vectors.orderBy(hashed, "id").limit(sample)
+
+
+def centroids(vectors: DataFrame, n_cells: int, rows: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit centres of the cells, by k-means for inner products on at most ``sample`` of the ``rows`` (drawn by a hash of the id, so each run draws alike)."""
+    drawn = draw(vectors, rows, sample).select("v").toArrow()
     if not drawn.num_rows:
         return np.zeros((0, 0))
     x = _matrix(drawn.column("v"))
@@ -85,8 +96,9 @@ def build(df: DataFrame, path: str, id_col: str, vector: str, dim: int, n_cells:
     spark = df.sparkSession
     ship(spark)
     vectors = _valid(df, id_col, vector, dim)
-    n_cells = n_cells or cell_count(vectors.count())
-    centres = centroids(vectors, n_cells, sample)
+    rows = vectors.count()
+    n_cells = n_cells or cell_count(rows)
+    centres = centroids(vectors, n_cells, rows, sample)
     spark.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     _scale(vectors).coalesce(1).write.mode("overwrite").parquet(f"{path}/scale")
     low, step = _read_scale(spark, path)

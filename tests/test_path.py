@@ -104,3 +104,17 @@ def test_an_answer_moves_neither_postings_nor_probes_of_cells(spark):
     moved = [x for df in (near, path.sparse(q, p, 20)) for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     keys = {re.search(r"hashpartitioning\((.*?), \d+\)", x)[1] for x in moved}
     assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"query_id", "deal, asker"}
+
+
+def test_the_vectors_with_a_document_are_made_once(spark, tmp_path):
+    """Index and questions read files: the join with the documents, which stood in each of five readings, is in none."""
+    from tessera import registry  # noqa: F401  registers the SQL that the catalog builds on
+    from tessera.catalog.path import _inputs
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i == k) for k in range(64)]) for i in range(4, 12)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(3, "a"), (5, "b"), (9, "c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    _, index, q, _ = _inputs(spark, str(tmp_path))
+    assert "documents.parquet" not in "".join(q.inputFiles()) and "LeftSemi" not in q._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.query_id: r.vector is not None for r in q.collect()} == {3: False, 5: True, 9: False}
+    assert sorted(i for r in vectors.blocks(spark, index).collect() for i in r.ids) == [4, 5, 6, 7]

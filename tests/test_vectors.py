@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import vectors
 from tessera.sources.store import new_path
@@ -97,3 +98,13 @@ def test_an_empty_table_has_an_empty_index(spark):
     one = spark.createDataFrame([(1, [1.0] * 8)], "vec_id long, e array<double>")
     assert vectors.search(spark, path, one, "vec_id", "e", DIM, 5, None).count() == 0
     assert vectors.search_coded(spark, path, one, "vec_id", "e", DIM, 5, None).count() == 0
+
+
+def test_a_sample_is_drawn_from_few_rows_and_is_the_same(spark):
+    moved = lambda df: [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "xxhash64" in x]
+    for n, ids, few in ((6000, "id", True), (6000, "id * 0", False), (90, "id", False)):
+        v = spark.range(n).selectExpr(f"{ids} AS id", "array(double(id)) AS v")
+        got = vectors.draw(v, n, 100)
+        assert bool(moved(got)) == few
+        assert [r.id for r in got.collect()] == [r.id for r in v.selectExpr("id", "v").sort("id").orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert vectors.draw(spark.range(6000).selectExpr("id", "array(double(id)) AS v"), 6000, 100).count() == 100
