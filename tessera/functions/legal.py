@@ -159,8 +159,9 @@ def case_names(text: Column) -> Column:
 
 
 def paragraph_numbers(text: Column) -> Column:
+    """Any run of digits can stand where a paragraph's number does, a card's too: exact up to 38 digits; of longer ones, which no type holds, a null at the end says that there are some."""
     every = F.concat(*[found(text, p, 1) for p in PARAGRAPHS])
-    return F.array_sort(F.array_distinct(F.transform(every, lambda n: n.cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(every, lambda n: n.try_cast("decimal(38,0)"))))
 
 
 def treatment(text: Column) -> Column:

@@ -92,6 +92,14 @@ def test_parents_and_children(spark):
     assert {r["f"] for r in rows} == {"a.pdf", "b.pdf"} and all(r["page"] == 1 for r in rows)
 
 
+def test_numbers_that_are_no_int_are_kept(spark):
+    """A card's number that begins a line stopped the whole query."""
+    t = "4614064946860265. Paid [3] and Para 2147483648, [07] [7]\n" + "9" * 38 + ". End"
+    s = spark.createDataFrame([("a", 1, "FACTS", t), ("b", 1, "FACTS", "[" + "1" * 39 + "] and [5] [" + "2" * 40 + "]"), ("c", 1, "FACTS", "none")], "f string, page int, section string, t string")
+    rows = splitting.parents_and_children(s, F.col("f"), "page", "section", "t", ["f"]).collect()
+    assert {r["f"]: r["para_numbers"] for r in rows} == {"a": [3, 7, 2147483648, 4614064946860265, 10**38 - 1], "b": [5, None], "c": []}
+
+
 def test_case_citations(spark):
     p = "Ram Lal Singh v. State of Bihar, "
     pages = spark.createDataFrame([
