@@ -12,6 +12,10 @@ from ..functions.text import words
 from .ordering import running
 
 
+#: Where a sentence ends and another begins.
+SENTENCE = r"(?<=[.;:])\s+(?=[A-Z(\[])"
+
+
 def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 220, step: int = 170) -> DataFrame:
     """(id, chunk_index, n_words, text): windows of ``size`` words each ``step``; the last is the first to reach the end.
 
@@ -72,7 +76,7 @@ def without_lines(text: Column, lines: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end in .;: before white space and a capital or a bracket."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+(?=[A-Z(\[])"), lambda x: F.trim(x)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def guarded(sections: DataFrame, section: str, text: str, meta: str = "CASE_METADATA", most: int = 300, least_words: int = 5) -> DataFrame:
